@@ -1 +1,235 @@
+"""Forensic detectors, set-at-a-time: one DataFrame of all entities in, one scored DataFrame out."""
 
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+#: Upper bounds of the risk levels.
+LEVELS = (("LOW", 30), ("MODERATE", 60), ("HIGH", 80), ("VERY_HIGH", 100))
+
+
+def level(score: Column) -> Column:
+    out = F.lit(LEVELS[-1][0])
+    for name, most in reversed(LEVELS[:-1]):
+        out = F.when(score <= most, name).otherwise(out)
+    return out
+
+
+def _risk_parts(t: Tables) -> DataFrame:
+    """Per person: contracts won by directed companies, own orders, a digit in the assets, late line items as cases."""
+    won = t.won.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    directed = t.director.join(won, "comp").groupBy("pol").agg(F.sum("n").alias("directed"))
+    own = t.contract.groupBy(F.col("cust").alias("pol")).agg(F.count(F.lit(1)).alias("own"), F.sum(F.when(F.col("total") > 300_000, 1).otherwise(0)).alias("cases"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return t.politician.join(directed, "pol", "left").join(own, "pol", "left").select("pol", "party", "assets", zero("directed").alias("directed"), zero("own").alias("own"), zero("cases").alias("cases"))
+
+
+@query("dt01_risk_score", """, won_n AS (SELECT comp, count(*) AS n FROM won GROUP BY comp), d AS (SELECT pol, CAST(sum(n) AS BIGINT) AS directed FROM director JOIN won_n USING (comp) GROUP BY pol), o AS (SELECT cust AS pol, count(*) AS own, CAST(sum(CASE WHEN total > 300000 THEN 1 ELSE 0 END) AS BIGINT) AS cases FROM contract GROUP BY cust), x AS (SELECT p.pol, least(10 * coalesce(directed, 0), 35) + least(8 * coalesce(own, 0), 25) + CASE WHEN regexp_matches(CAST(assets AS VARCHAR), '[0-9]') THEN 5 ELSE 0 END + least(3 * coalesce(cases, 0), 5) AS s FROM politician p LEFT JOIN d USING (pol) LEFT JOIN o USING (pol)) SELECT pol, CAST(least(s, 100) AS BIGINT) AS score, CASE WHEN s <= 30 THEN 'LOW' WHEN s <= 60 THEN 'MODERATE' WHEN s <= 80 THEN 'HIGH' ELSE 'VERY_HIGH' END AS level FROM x""")
+def risk_score(t: Tables) -> DataFrame:
+    x = _risk_parts(t)
+    raw = F.least(10 * F.col("directed"), F.lit(35)) + F.least(8 * F.col("own"), F.lit(25)) + F.when(F.col("assets").cast("string").rlike("[0-9]"), 5).otherwise(0) + F.least(3 * F.col("cases"), F.lit(5))
+    return x.select("pol", F.least(raw, F.lit(100)).cast("long").alias("score")).withColumn("level", level(F.col("score")))
+
+
+@query("dt03_batch_ranking", """, o AS (SELECT cust AS pol, count(*) AS own FROM contract GROUP BY cust) SELECT pol, CAST(least(8 * coalesce(own, 0), 25) AS BIGINT) AS score FROM politician LEFT JOIN o USING (pol) ORDER BY score DESC, pol LIMIT 50""")
+def batch_ranking(t: Tables) -> DataFrame:
+    own = t.contract.groupBy(F.col("cust").alias("pol")).agg(F.count(F.lit(1)).alias("own"))
+    return t.politician.select("pol").join(own, "pol", "left").select("pol", F.least(8 * F.coalesce("own", F.lit(0)), F.lit(25)).cast("long").alias("score")).orderBy(F.col("score").desc(), "pol").limit(50)
+
+
+@query("dt04_ghost_company", """, f AS (SELECT w.comp, min(c.day) AS first_day, count(*) AS n, sum(w.amount) AS value FROM won w JOIN contract c USING (contract) GROUP BY w.comp), g AS (SELECT l_suppkey AS comp, min(CAST(l_shipdate AS DATE)) AS registered FROM lineitem GROUP BY 1), d AS (SELECT comp, count(*) AS directors FROM director GROUP BY comp), x AS (SELECT k.comp, (CASE WHEN date_diff('day', registered, first_day) BETWEEN 0 AND 90 THEN 30 ELSE 0 END) + (CASE WHEN coalesce(directors, 1) = 1 THEN 20 ELSE 0 END) + (CASE WHEN value > 10 * capital THEN 20 ELSE 0 END) + (CASE WHEN n = 1 THEN 10 ELSE 0 END) AS s FROM company k LEFT JOIN f USING (comp) LEFT JOIN g USING (comp) LEFT JOIN d USING (comp)) SELECT comp, CAST(s AS INTEGER) AS score, s >= 60 AS flagged FROM x""")
+def ghost_company(t: Tables) -> DataFrame:
+    first = t.won.join(t.contract, "contract").groupBy("comp").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"))
+    registered = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("comp")).agg(F.min(F.to_date("l_shipdate")).alias("registered"))
+    directors = t.director.groupBy("comp").agg(F.count(F.lit(1)).alias("directors"))
+    x = t.company.join(first, "comp", "left").join(registered, "comp", "left").join(directors, "comp", "left")
+    points = lambda c, n: F.when(c, n).otherwise(0)
+    score = points(F.datediff("first_day", "registered").between(0, 90), 30) + points(F.coalesce("directors", F.lit(1)) == 1, 20) + points(F.col("value") > 10 * F.col("capital"), 20) + points(F.col("n") == 1, 10)
+    return x.select("comp", score.alias("score")).withColumn("flagged", F.col("score") >= 60)
+
+
+@query("dt05_shadow_director", """, a AS (SELECT nk, count(*) AS at_address FROM company GROUP BY nk HAVING count(*) >= 3), m AS (SELECT pol, count(*) AS n FROM director GROUP BY pol HAVING count(*) >= 2) SELECT 'address' AS kind, CAST(nk AS BIGINT) AS id, at_address AS n FROM a UNION ALL SELECT 'person', pol, n FROM m""")
+def shadow_director(t: Tables) -> DataFrame:
+    a = t.company.groupBy("nk").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select(F.lit("address").alias("kind"), F.col("nk").cast("long").alias("id"), "n")
+    return a.union(t.director.groupBy("pol").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(F.lit("person"), "pol", "n"))
+
+
+@query("dt07_benford", """, d AS (SELECT CAST(left(ltrim(replace(printf('%.2f', o_totalprice), '.', ''), '0'), 1) AS INTEGER) AS digit FROM orders WHERE o_totalprice >= 1), n AS (SELECT count(*) AS n FROM d), x AS (SELECT g.digit, (SELECT count(*) FROM d WHERE d.digit = g.digit) AS observed, n * log10(1 + 1.0 / g.digit) AS expected, n FROM (SELECT unnest(generate_series(1, 9)) AS digit) g, n) SELECT CAST(digit AS INTEGER) AS digit, observed, round(expected, 4) AS expected, round(sum((observed - expected) ** 2 / expected) OVER (), 4) AS chi_squared, abs(observed / n - expected / n) > 0.05 AS deviates FROM x""")
+def benford(t: Tables) -> DataFrame:
+    """Leading digits against Benford's law; the significant digit is that of the value itself, so 0.045 would give 4."""
+    v = t.raw("orders").filter("o_totalprice >= 1").select(F.substring(F.ltrim(F.translate(F.format_string("%.2f", "o_totalprice"), ".", ""), F.lit("0")), 1, 1).cast("int").alias("digit"))
+    seen = v.groupBy("digit").agg(F.count(F.lit(1)).alias("observed"))
+    law = t.spark.range(1, 10).select(F.col("id").cast("int").alias("digit"), F.log10(1 + 1.0 / F.col("id")).alias("p"))
+    x = law.join(seen, "digit", "left").withColumn("observed", F.coalesce("observed", F.lit(0)))
+    all_ = Window.partitionBy()
+    x = x.withColumn("n", F.sum("observed").over(all_)).withColumn("expected", F.col("n") * F.col("p"))
+    return x.select("digit", "observed", F.round("expected", 4).alias("expected"), F.round(F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).over(all_), 4).alias("chi_squared"), (F.abs(F.col("observed") / F.col("n") - F.col("p")) > 0.05).alias("deviates"))
+
+
+@query("dt09_benami", """, x AS (SELECT d.pol, count(DISTINCT d.comp) AS companies, count(DISTINCT q.pol) - 1 AS fellows FROM director d JOIN director q USING (comp) GROUP BY d.pol) SELECT pol, round(100 * (0.25 * least(1.0, 0.3 * fellows) + 0.25 * least(1.0, greatest(0, companies - 2) * 0.2)), 2) AS score FROM x""")
+def benami(t: Tables) -> DataFrame:
+    a, b = t.director, t.director.withColumnRenamed("pol", "q")
+    x = a.join(b, "comp").groupBy("pol").agg(F.count_distinct("comp").alias("companies"), (F.count_distinct("q") - 1).alias("fellows"))
+    one = F.lit(1.0)
+    return x.select("pol", F.round(100 * (0.25 * F.least(one, 0.3 * F.col("fellows")) + 0.25 * F.least(one, F.greatest(F.lit(0), F.col("companies") - 2) * 0.2)), 2).alias("score"))
+
+
+def _yearly(t: Tables) -> DataFrame:
+    return t.contract.groupBy(F.col("cust").alias("pol"), F.year("day").alias("year")).agg(F.sum("total").alias("assets"))
+
+
+YEARLY = "yearly AS (SELECT cust AS pol, year(day) AS year, sum(total) AS assets FROM contract GROUP BY 1, 2)"
+
+
+@query("wn02_surge", f""", {YEARLY} SELECT pol, year, round(assets / prev, 4) AS ratio FROM (SELECT *, lag(assets) OVER (PARTITION BY pol ORDER BY year) AS prev FROM yearly) WHERE prev > 0 AND assets / prev > 1.5""")
+def surge(t: Tables, ratio: float = 1.5) -> DataFrame:
+    x = _yearly(t).withColumn("prev", F.lag("assets").over(Window.partitionBy("pol").orderBy("year")))
+    return x.filter((F.col("prev") > 0) & (F.col("assets") / F.col("prev") > ratio)).select("pol", "year", F.round(F.col("assets") / F.col("prev"), 4).alias("ratio"))
+
+
+@query("wn03_first_last", f""", {YEARLY} SELECT pol, round(min_by(assets, year), 2) AS first_assets, round(max_by(assets, year), 2) AS last_assets, CAST(max(year) - min(year) AS INTEGER) AS years FROM yearly GROUP BY pol""")
+def first_last(t: Tables) -> DataFrame:
+    return _yearly(t).groupBy("pol").agg(F.round(F.min_by("assets", "year"), 2).alias("first_assets"), F.round(F.max_by("assets", "year"), 2).alias("last_assets"), (F.max("year") - F.min("year")).alias("years"))
+
+
+#: Fixed values of the filter: process and measurement noise, first variance.
+KALMAN_Q, KALMAN_R, KALMAN_P = 0.001, 0.01, 1.0
+
+
+@query("wn01_kalman", f""", {YEARLY}, s AS (SELECT pol, year, assets / 100000.0 AS z, row_number() OVER (PARTITION BY pol ORDER BY year) AS k FROM yearly), r AS (SELECT pol, k, z AS x, 1.0::DOUBLE AS p, 0.0::DOUBLE AS residual FROM s WHERE k = 1 UNION ALL SELECT s.pol, s.k, r.x + (r.p + 0.001) / (r.p + 0.001 + 0.01) * (s.z - r.x), (1 - (r.p + 0.001) / (r.p + 0.001 + 0.01)) * (r.p + 0.001), greatest(r.residual, abs(s.z - r.x)) FROM r JOIN s ON s.pol = r.pol AND s.k = r.k + 1) SELECT pol, round(max_by(x, k), 5) AS state, round(max(residual), 5) AS residual FROM r GROUP BY pol""")
+def kalman(t: Tables) -> DataFrame:
+    """A scalar Kalman filter folded over each person's ordered series by aggregate()."""
+    series = _yearly(t).groupBy("pol").agg(F.sort_array(F.collect_list(F.struct("year", (F.col("assets") / 100_000.0).alias("z")))).alias("s"))
+    start = F.struct(F.get("s", F.lit(0))["z"].alias("x"), F.lit(KALMAN_P).alias("p"), F.lit(0.0).alias("residual"))
+
+    def step(a: Column, o: Column) -> Column:
+        p = a["p"] + KALMAN_Q
+        gain = p / (p + KALMAN_R)
+        return F.struct((a["x"] + gain * (o["z"] - a["x"])).alias("x"), ((1 - gain) * p).alias("p"), F.greatest(a["residual"], F.abs(o["z"] - a["x"])).alias("residual"))
+
+    end = F.aggregate(F.slice("s", F.lit(2), F.size("s")), start, step)
+    return series.select("pol", end.alias("e")).select("pol", F.round("e.x", 5).alias("state"), F.round("e.residual", 5).alias("residual"))
+
+
+@query("dt12_cartel_rotation", """, v AS (SELECT a.ministry, w.comp, count(*) AS n FROM won w JOIN awarded a USING (contract) GROUP BY 1, 2), s AS (SELECT ministry, comp, n / sum(n) OVER (PARTITION BY ministry) AS share, count(*) OVER (PARTITION BY ministry) AS vendors FROM v) SELECT ministry, vendors, round(greatest(0, 1 - 10 * vendors * avg((share - 1.0 / vendors) ** 2)), 6) AS rotation FROM s WHERE vendors >= 3 GROUP BY ministry, vendors""")
+def cartel_rotation(t: Tables) -> DataFrame:
+    w = Window.partitionBy("ministry")
+    v = t.won.join(t.awarded, "contract").groupBy("ministry", "comp").agg(F.count(F.lit(1)).alias("n"))
+    s = v.select("ministry", (F.col("n") / F.sum("n").over(w)).alias("share"), F.count(F.lit(1)).over(w).alias("vendors")).filter("vendors >= 3")
+    return s.groupBy("ministry", "vendors").agg(F.round(F.greatest(F.lit(0.0), 1 - 10 * F.first("vendors") * F.avg((F.col("share") - 1 / F.col("vendors")) ** 2)), 6).alias("rotation"))
+
+
+@query("dt12_cobid_dates", """, d AS (SELECT DISTINCT w.comp, c.day FROM won w JOIN contract c USING (contract) WHERE c.day < DATE '1996-01-01') SELECT a.comp AS a, b.comp AS b, count(*) AS days FROM d a JOIN d b ON a.day = b.day AND a.comp < b.comp GROUP BY 1, 2 HAVING count(*) >= 2""")
+def cobid_dates(t: Tables) -> DataFrame:
+    d = t.won.join(t.contract.filter("day < date'1996-01-01'"), "contract").select("comp", "day").distinct()
+    return d.withColumnRenamed("comp", "a").join(d.withColumnRenamed("comp", "b"), "day").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("days")).filter("days >= 2")
+
+
+@query("dt13_revolving_door", """, e AS (SELECT pol, kind, CAST(ts AS DATE) AS day FROM event) SELECT a.pol, a.day AS left_day, min(b.day) AS joined_day, CAST(min(date_diff('day', a.day, b.day)) AS INTEGER) AS gap FROM e a JOIN e b ON a.pol = b.pol AND a.kind = 'signup' AND b.kind = 'purchase' AND b.day > a.day AND date_diff('day', a.day, b.day) < 10 GROUP BY 1, 2""")
+def revolving_door(t: Tables, days: int = 10) -> DataFrame:
+    e = t.event.select("pol", "kind", F.to_date("ts").alias("day"))
+    a, b = e.filter("kind = 'signup'").select("pol", F.col("day").alias("left_day")).distinct(), e.filter("kind = 'purchase'").select("pol", F.col("day").alias("joined_day")).distinct()
+    gap = F.datediff("joined_day", "left_day")
+    return a.join(b, "pol").filter((gap > 0) & (gap < days)).groupBy("pol", "left_day").agg(F.min("joined_day").alias("joined_day"), F.min(gap).alias("gap"))
+
+
+@query("dt16_event_study", """, e AS (SELECT pol, ts, value, kind FROM event) SELECT p.pol, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN -5 AND -1 THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN 0 AND 5 THEN 1 ELSE 0 END) AS BIGINT) AS after FROM e p JOIN e q ON p.pol = q.pol AND p.kind = 'signup' AND q.kind = 'purchase' GROUP BY p.pol""")
+def event_study(t: Tables, days: int = 5) -> DataFrame:
+    p = t.event.filter("kind = 'signup'").select("pol", F.to_date("ts").alias("p"))
+    q = t.event.filter("kind = 'purchase'").groupBy("pol", F.to_date("ts").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    gap = F.datediff("q", "p")
+    return p.join(q, "pol").groupBy("pol").agg(F.sum(F.when(gap.between(-days, -1), F.col("n")).otherwise(0)).alias("before"), F.sum(F.when(gap.between(0, days), F.col("n")).otherwise(0)).alias("after"))
+
+
+@query("dt16_transfer_entropy", """, s AS (SELECT pol, value, row_number() OVER (PARTITION BY pol ORDER BY ts, event_id) AS k, min(value) OVER (PARTITION BY pol) AS lo, max(value) OVER (PARTITION BY pol) AS hi, count(*) OVER (PARTITION BY pol) AS n FROM event), b AS (SELECT pol, k, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((value - lo) / (hi - lo) * 4) AS INTEGER), 3) END AS bin FROM s WHERE n >= 8), p AS (SELECT pol, bin, lag(bin) OVER (PARTITION BY pol ORDER BY k) AS prev FROM b), j AS (SELECT pol, prev, bin, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2, 3) SELECT pol, round(sum(n / t * log2((n / m))) * -1, 5) AS conditional FROM (SELECT *, sum(n) OVER (PARTITION BY pol, prev) AS m, sum(n) OVER (PARTITION BY pol) AS t FROM j) GROUP BY pol""")
+def transfer_entropy(t: Tables, bins: int = 4, least: int = 8) -> DataFrame:
+    """Conditional entropy of a person's binned series given its previous value, the term of transfer entropy that its own past leaves."""
+    own = Window.partitionBy("pol")
+    order = own.orderBy("ts", "event_id")
+    s = t.event.select("pol", "value", F.row_number().over(order).alias("k"), F.min("value").over(own).alias("lo"), F.max("value").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("n")).filter(F.col("n") >= least)
+    b = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"), F.lit(bins - 1)))
+    p = s.select("pol", "k", b.alias("bin")).withColumn("prev", F.lag("bin").over(own.orderBy("k"))).filter("prev is not null")
+    j = p.groupBy("pol", "prev", "bin").agg(F.count(F.lit(1)).alias("n"))
+    j = j.withColumns({"m": F.sum("n").over(Window.partitionBy("pol", "prev")), "t": F.sum("n").over(own)})
+    return j.groupBy("pol").agg(F.round(-F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") / F.col("m"))), 5).alias("conditional"))
+
+
+@query("dt17_fourier", """, s AS (SELECT cust AS pol, total / 1000.0 AS v, row_number() OVER (PARTITION BY cust ORDER BY day, contract) - 1 AS i, count(*) OVER (PARTITION BY cust) AS n, avg(total / 1000.0) OVER (PARTITION BY cust) AS m FROM contract), f AS (SELECT pol, k, n, sum((v - m) * cos(2 * pi() * k * i / n)) AS re, sum((v - m) * sin(2 * pi() * k * i / n)) AS im FROM s, LATERAL (SELECT unnest(generate_series(1, n // 2)) AS k) WHERE n >= 4 GROUP BY pol, k, n), w AS (SELECT pol, k, n, re * re + im * im AS power FROM f) SELECT pol, round(max(power) / sum(power), 4) AS share FROM w GROUP BY pol""")
+def fourier(t: Tables, least: int = 4) -> DataFrame:
+    """Share of the strongest frequency in a person's ordered contract series; the transform is a group sum over (person, frequency)."""
+    own = Window.partitionBy("cust")
+    s = t.contract.select(F.col("cust").alias("pol"), (F.col("total") / 1000.0).alias("v"), (F.row_number().over(own.orderBy("day", "contract")) - 1).alias("i"), F.count(F.lit(1)).over(own).alias("n"), F.avg(F.col("total") / 1000.0).over(own).alias("m")).filter(F.col("n") >= least)
+    x = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("n") / 2))))
+    angle = 2 * math.pi * F.col("k") * F.col("i") / F.col("n")
+    f = x.groupBy("pol", "k").agg(F.sum((F.col("v") - F.col("m")) * F.cos(angle)).alias("re"), F.sum((F.col("v") - F.col("m")) * F.sin(angle)).alias("im"))
+    return f.select("pol", (F.col("re") ** 2 + F.col("im") ** 2).alias("power")).groupBy("pol").agg(F.round(F.max("power") / F.sum("power"), 4).alias("share"))
+
+
+#: Pairs of event kinds that converge within so many days.
+RULES = (("signup", "purchase", 3), ("click", "purchase", 1), ("view", "error", 1))
+
+
+@query("dt19_convergence", """, r AS (SELECT * FROM (VALUES ('signup', 'purchase', 3), ('click', 'purchase', 1), ('view', 'error', 1)) v(a, b, w)), d AS (SELECT DISTINCT pol, kind, CAST(ts AS DATE) AS day FROM event) SELECT x.pol, r.a, r.b, x.day AS day, CAST(date_diff('day', x.day, y.day) AS INTEGER) AS gap, CASE WHEN date_diff('day', x.day, y.day) <= r.w // 3 THEN 'HIGH' WHEN date_diff('day', x.day, y.day) <= r.w // 2 THEN 'MODERATE' ELSE 'LOW' END AS severity FROM r JOIN d x ON x.kind = r.a JOIN d y ON y.kind = r.b AND y.pol = x.pol AND date_diff('day', x.day, y.day) BETWEEN 0 AND r.w""")
+def convergence(t: Tables) -> DataFrame:
+    """A band join of typed events: the rules (a fixed handful) are broadcast, the events meet by person and by day buckets, so each meets only its window."""
+    rules = F.broadcast(t.spark.createDataFrame(list(RULES), "a string, b string, w int"))
+    d = t.event.select("pol", "kind", F.to_date("ts").alias("day")).distinct()
+    x = d.withColumnRenamed("kind", "a").join(rules, "a").withColumn("next", F.explode(F.expr("sequence(day, date_add(day, w))")))
+    y = d.select("pol", F.col("kind").alias("b"), F.col("day").alias("next"))
+    gap = F.datediff("next", "day")
+    severity = F.when(gap <= F.floor(F.col("w") / 3), "HIGH").when(gap <= F.floor(F.col("w") / 2), "MODERATE").otherwise("LOW")
+    return x.join(y, ["pol", "b", "next"]).select("pol", "a", "b", "day", gap.alias("gap"), severity.alias("severity"))
+
+
+@query("dt20_timeline", """SELECT pol, 'order' AS source, CAST(day AS VARCHAR) AS at, buyer AS title FROM (SELECT cust AS pol, day, buyer FROM contract) UNION ALL SELECT pol, 'event', CAST(CAST(ts AS DATE) AS VARCHAR), kind FROM event""")
+def timeline(t: Tables) -> DataFrame:
+    return t.contract.select(F.col("cust").alias("pol"), F.lit("order").alias("source"), F.col("day").cast("string").alias("at"), F.col("buyer").alias("title")).union(t.event.select("pol", F.lit("event"), F.to_date("ts").cast("string"), "kind"))
+
+
+@query("dt33_report_hash", """SELECT pol, sha256(CAST(pol AS VARCHAR) || '|' || name || '|' || party) AS hash FROM politician""")
+def report_hash(t: Tables) -> DataFrame:
+    return t.politician.select("pol", F.sha2(F.concat_ws("|", F.col("pol").cast("string"), "name", "party"), 256).alias("hash"))
+
+
+@query("dt34_audit_roots", """SELECT CAST(ts AS DATE) AS day, sha256(string_agg(sha256(CAST(event_id AS VARCHAR) || kind), '|' ORDER BY ts, event_id)) AS root FROM event GROUP BY 1""")
+def audit_roots(t: Tables) -> DataFrame:
+    e = t.event.select(F.to_date("ts").alias("day"), F.struct("ts", "event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "kind"), 256).alias("h")).alias("e"))
+    return e.groupBy("day").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["h"]), "|"), 256).alias("root"))
+
+
+@query("wn09_chain_check", """SELECT event_id, lag(event_id) OVER (PARTITION BY pol ORDER BY ts, event_id) AS previous FROM event""")
+def chain_check(t: Tables) -> DataFrame:
+    return t.event.select("event_id", F.lag("event_id").over(Window.partitionBy("pol").orderBy("ts", "event_id")).alias("previous"))
+
+
+@query("wn10_rate_limit", """SELECT event_id, count(*) OVER (PARTITION BY pol ORDER BY epoch(ts) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, pol, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM event)""")
+def rate_limit(t: Tables, seconds: int = 3600) -> DataFrame:
+    w = Window.partitionBy("pol").orderBy("s").rangeBetween(-(seconds - 1), 0)
+    return t.event.select("event_id", "pol", F.unix_timestamp("ts").alias("s")).select("event_id", F.count(F.lit(1)).over(w).alias("n"))
+
+
+@query("wn07_znormalise", """SELECT doc_id, round((n_chars - avg(n_chars) OVER ()) / stddev_pop(n_chars) OVER (), 5) AS z FROM documents""")
+def znormalise(t: Tables) -> DataFrame:
+    d = t.raw("documents")
+    stats = F.broadcast(d.agg(F.avg("n_chars").alias("m"), F.stddev_pop("n_chars").alias("s")))
+    return d.crossJoin(stats).select("doc_id", F.round((F.col("n_chars") - F.col("m")) / F.col("s"), 5).alias("z"))
+
+
+@query("dt30_schema_drift", """SELECT k AS field, count(*) AS n, min(event_id) AS sample FROM (SELECT event_id, unnest(json_keys(props)) AS k FROM events) GROUP BY k""")
+def schema_drift(t: Tables, known: tuple[str, ...] = ()) -> DataFrame:
+    keys = t.raw("events").select("event_id", F.explode(F.json_object_keys("props")).alias("field"))
+    return keys.filter(~F.col("field").isin(*known) if known else F.lit(True)).groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("sample"))
+
+
+@query("dt32_similar_cases", """, k AS (SELECT DISTINCT pol, kind FROM event), q AS (SELECT kind FROM k WHERE pol = (SELECT min(pol) FROM event)) SELECT pol, count(*) AS overlap FROM k JOIN q USING (kind) GROUP BY pol ORDER BY overlap DESC, pol LIMIT 10""")
+def similar_cases(t: Tables) -> DataFrame:
+    k = t.event.select("pol", "kind").distinct()
+    least = t.event.agg(F.min("pol").alias("pol"))
+    q = k.join(least, "pol", "left_semi").select("kind")
+    return k.join(q, "kind").groupBy("pol").agg(F.count(F.lit(1)).alias("overlap")).orderBy(F.col("overlap").desc(), "pol").limit(10)
