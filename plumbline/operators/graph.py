@@ -1 +1,175 @@
+"""Graph algorithms as iterated joins; each round's state is cut by a checkpoint in the shared folder."""
 
+from __future__ import annotations
+
+import tempfile
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.operators.patterns import edges
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Ends the lineage with a reliable checkpoint; on a local master without a folder, in a temporary one."""
+    spark: SparkSession = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="plumbline-"))
+    return df.checkpoint()
+
+
+def undirected(t: Tables) -> DataFrame:
+    e = edges(t).select("src", "dst")
+    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+
+
+@query("jn09_paths", """, e AS (SELECT src, dst FROM owns), p AS (SELECT src, dst, 1 AS hops, [src || '>' || dst] AS used FROM e UNION ALL SELECT p.src, e.dst, p.hops + 1, list_append(p.used, e.src || '>' || e.dst) FROM p JOIN e ON p.dst = e.src WHERE p.hops < 3 AND NOT list_contains(p.used, e.src || '>' || e.dst)) SELECT src, dst, CAST(hops AS INTEGER) AS hops FROM p""")
+def paths(t: Tables, depth: int = 3) -> DataFrame:
+    """Trails of up to `depth` relationships: a node may return, a relationship may not."""
+    e = t.owns.withColumn("edge", F.concat_ws(">", "src", "dst"))
+    out = step = e.select("src", "dst", F.lit(1).alias("hops"), F.array("edge").alias("used"))
+    for k in range(2, depth + 1):
+        nxt = e.select(F.col("src").alias("dst"), F.col("dst").alias("to"), "edge")
+        step = step.join(nxt, "dst").filter(~F.array_contains("used", F.col("edge"))).select("src", F.col("to").alias("dst"), F.lit(k).alias("hops"), F.concat("used", F.array("edge")).alias("used"))
+        out = out.union(step)
+    return out.select("src", "dst", "hops")
+
+
+@query("jn10_shortest_paths", """, e AS (SELECT 'p' || pol AS a, 'c' || comp AS b FROM director UNION SELECT 'c' || comp, 'p' || pol FROM director UNION SELECT 'c' || src, 'c' || dst FROM owns UNION SELECT 'c' || dst, 'c' || src FROM owns), r AS (SELECT min(a) AS id, 0 AS d FROM e UNION SELECT e.b, r.d + 1 FROM r JOIN e ON e.a = r.id WHERE r.d < 5) SELECT id, CAST(min(d) AS INTEGER) AS hops FROM r WHERE id IS NOT NULL GROUP BY id""")
+def shortest_paths(t: Tables, most: int = 5) -> DataFrame:
+    """Hops from the first vertex, by a frontier that meets only unseen vertices."""
+    e = undirected(t)
+    seen = frontier = e.agg(F.min("src").alias("id")).filter("id is not null").withColumn("hops", F.lit(0))
+    for k in range(1, most + 1):
+        frontier = frontier.join(e, frontier.id == e.src).select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hops", F.lit(k))
+        frontier = settle(frontier)
+        seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
+    return seen
+
+
+@query("gr05_cycles", """, c AS (SELECT src AS start, dst AS here, 1 AS n, [src] AS seen FROM owns UNION ALL SELECT c.start, o.dst, c.n + 1, list_append(c.seen, c.here) FROM c JOIN owns o ON c.here = o.src WHERE c.n < 6 AND c.here > c.start AND NOT list_contains(c.seen, c.here)) SELECT start, CAST(n AS INTEGER) AS length FROM c WHERE here = start AND n >= 2""")
+def cycles(t: Tables, most: int = 6) -> DataFrame:
+    """Elementary cycles, each once: the start is its smallest node."""
+    step = t.owns.select(F.col("src").alias("start"), F.col("dst").alias("at"), F.array("src").alias("seen"))
+    out = None
+    for n in range(2, most + 1):
+        step = step.filter("at > start and not array_contains(seen, at)").join(t.owns, F.col("at") == F.col("src")).select("start", F.col("dst").alias("to"), F.concat("seen", F.array("at")).alias("seen")).withColumnRenamed("to", "at")
+        closed = step.filter("at = start").select("start", F.lit(n).alias("length"))
+        out = closed if out is None else out.union(closed)
+    return out
+
+
+@query("gr04_components", """, e AS (SELECT 'p' || pol AS a, 'c' || comp AS b FROM director UNION SELECT 'c' || comp, 'p' || pol FROM director UNION SELECT 'c' || src, 'c' || dst FROM owns UNION SELECT 'c' || dst, 'c' || src FROM owns), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM r GROUP BY id) GROUP BY root""")
+def component_sizes(t: Tables) -> DataFrame:
+    """Connected components by smallest label with pointer jumping."""
+    e = settle(undirected(t))
+    label = settle(e.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
+    while True:
+        near = e.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("low"))
+        lower = label.join(near, "id", "left").select("id", "root", F.least("root", F.coalesce("low", "root")).alias("new"))
+        jump = label.select(F.col("id").alias("new"), F.col("root").alias("beyond"))
+        after = settle(lower.join(jump, "new").select("id", "root", F.least("new", "beyond").alias("new")))
+        if after.filter("root <> new").isEmpty():
+            return label.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+        label = after.select("id", F.col("new").alias("root"))
+
+
+@query("gr01_pagerank")
+def pagerank(t: Tables, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """PageRank with uniform redistribution of dangling mass; parallel edges count once."""
+    e = settle(edges(t).select("src", "dst").distinct())
+    nodes = settle(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
+    n = nodes.count()
+    out = settle(e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"))
+    rank = nodes.withColumn("rank", F.lit(1.0 / max(1, n)))
+    for _ in range(rounds):
+        sent = out.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
+        new = nodes.join(sent, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
+        lost = new.agg((1 - F.sum("got")).alias("lost"))
+        rank = settle(new.crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank")))
+    return rank.select("id", F.round("rank", 8).alias("rank"))
+
+
+@query("gr02_betweenness")
+def betweenness(t: Tables) -> DataFrame:
+    """Normalised betweenness within each component (Brandes in one group a component)."""
+
+    def brandes(frame: pd.DataFrame) -> pd.DataFrame:
+        near: dict[str, list[str]] = {}
+        for a, b in zip(frame.src, frame.dst, strict=True):
+            near.setdefault(a, []).append(b)
+        score = dict.fromkeys(near, 0.0)
+        for s in near:
+            order, parents, paths, depth = [], {v: [] for v in near}, dict.fromkeys(near, 0), {s: 0}
+            paths[s], queue = 1, [s]
+            for v in queue:
+                order.append(v)
+                for w in near[v]:
+                    if w not in depth:
+                        depth[w] = depth[v] + 1
+                        queue.append(w)
+                    if depth[w] == depth[v] + 1:
+                        paths[w] += paths[v]
+                        parents[w].append(v)
+            share = dict.fromkeys(near, 0.0)
+            for w in reversed(order):
+                for v in parents[w]:
+                    share[v] += paths[v] / paths[w] * (1 + share[w])
+                if w != s:
+                    score[w] += share[w]
+        n = len(near)
+        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+        return pd.DataFrame({"id": list(score), "score": [round(x * scale, 8) for x in score.values()]})
+
+    e = undirected(t)
+    root = e.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root"))
+    for _ in range(6):
+        root = settle(e.join(root.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.min("root").alias("root")))
+    return e.join(root, "src").groupBy("root").applyInPandas(brandes, "id string, score double")
+
+
+@query("gr06_ego_spectrum")
+def ego_spectrum(t: Tables) -> DataFrame:
+    """Second Laplacian eigenvalue of each company's two-hop neighbourhood, and its bridges' number."""
+
+    def spectrum(frame: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        names = sorted({*frame.a, *frame.b})
+        at = {v: k for k, v in enumerate(names)}
+        laplacian = np.zeros((len(names), len(names)))
+        for a, b in {tuple(sorted(p)) for p in zip(frame.a, frame.b, strict=True)}:
+            i, j = at[a], at[b]
+            laplacian[i, i] += 1
+            laplacian[j, j] += 1
+            laplacian[i, j] = laplacian[j, i] = -1
+        values = np.linalg.eigvalsh(laplacian)
+        return pd.DataFrame({"ego": [frame.ego.iloc[0]], "n": [len(names)], "fiedler": [round(float(values[1]), 6) if len(names) > 1 else 0.0]})
+
+    e = undirected(t)
+    first = e.select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b")).filter("ego like 'c%'")
+    second = first.select("ego", F.col("b").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").select("ego", "a", "b")
+    return first.union(second).distinct().groupBy("ego").applyInPandas(spectrum, "ego string, n long, fiedler double")
+
+
+@query("gr03_label_communities")
+def label_communities(t: Tables, rounds: int = 5) -> DataFrame:
+    """Communities by synchronous label propagation, ties to the smaller label: the scalable form of modularity search."""
+    from pyspark.sql import Window
+
+    e = settle(undirected(t))
+    label = e.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    for _ in range(rounds):
+        votes = e.join(label.withColumnsRenamed({"id": "dst"}), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("id").orderBy(F.col("n").desc(), "label")
+        label = settle(votes.withColumn("k", F.row_number().over(w)).filter("k = 1").select("id", "label"))
+    return label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))

@@ -1 +1,111 @@
+"""Investigators, their synthesis, and the layered investigation: one DataFrame of findings each, voted on together."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+
+def finding(df: DataFrame, who: str, kind: str, severity: str) -> DataFrame:
+    return df.select("pol", F.lit(who).alias("investigator"), F.lit(kind).alias("type"), F.lit(severity).alias("severity"))
+
+
+def findings(t: Tables) -> DataFrame:
+    """Every investigator's findings about every person."""
+    won = t.won.groupBy("comp").agg(F.sum("amount").alias("total"), F.count(F.lit(1)).alias("n"))
+    directed = t.director.join(won, "comp").groupBy("pol").agg(F.sum("total").alias("total"), F.count_distinct("comp").alias("companies"), F.sum("n").alias("contracts"))
+    own = t.contract.groupBy(F.col("cust").alias("pol")).agg(F.count(F.lit(1)).alias("n"), F.sum("total").alias("total"), F.count_distinct("buyer").alias("buyers"))
+    errors = t.event.filter("kind = 'error'").groupBy("pol").agg(F.count(F.lit(1)).alias("n"))
+    out = [
+        finding(directed.filter("total > 100000"), "financial", "CONTRACTS", "HIGH"),
+        finding(own.filter("total > 1000000"), "asset", "CONTRACTS", "MODERATE"),
+        finding(directed.filter("companies >= 2"), "corporate", "DIRECTORSHIPS", "MODERATE"),
+        finding(own.filter("buyers = 1 and n >= 3"), "procurement", "SINGLE_BUYER", "HIGH"),
+        finding(errors.filter("n >= 3"), "judicial", "CASES", "HIGH"),
+        finding(errors.filter("n >= 1"), "political", "CASES", "MODERATE"),
+        finding(directed.filter("contracts >= 2"), "historical", "DIRECTORSHIPS", "MODERATE"),
+    ]
+    whole = out[0]
+    for x in out[1:]:
+        whole = whole.union(x)
+    return whole
+
+
+FINDINGS = """, w AS (SELECT comp, sum(amount) AS total, count(*) AS n FROM won GROUP BY comp), d AS (SELECT pol, sum(total) AS total, count(DISTINCT comp) AS companies, sum(n) AS contracts FROM director JOIN w USING (comp) GROUP BY pol), o AS (SELECT cust AS pol, count(*) AS n, sum(total) AS total, count(DISTINCT buyer) AS buyers FROM contract GROUP BY cust), e AS (SELECT pol, count(*) AS n FROM event WHERE kind = 'error' GROUP BY pol), f AS (
+SELECT pol, 'financial' AS investigator, 'CONTRACTS' AS type, 'HIGH' AS severity FROM d WHERE total > 100000 UNION ALL SELECT pol, 'asset', 'CONTRACTS', 'MODERATE' FROM o WHERE total > 1000000 UNION ALL SELECT pol, 'corporate', 'DIRECTORSHIPS', 'MODERATE' FROM d WHERE companies >= 2 UNION ALL SELECT pol, 'procurement', 'SINGLE_BUYER', 'HIGH' FROM o WHERE buyers = 1 AND n >= 3 UNION ALL SELECT pol, 'judicial', 'CASES', 'HIGH' FROM e WHERE n >= 3 UNION ALL SELECT pol, 'political', 'CASES', 'MODERATE' FROM e WHERE n >= 1 UNION ALL SELECT pol, 'historical', 'DIRECTORSHIPS', 'MODERATE' FROM d WHERE contracts >= 2)"""
+
+
+@query("dt23_findings", FINDINGS + " SELECT * FROM f")
+def q_findings(t: Tables) -> DataFrame:
+    return findings(t)
+
+
+def synthesise(found: DataFrame, least: int = 2) -> DataFrame:
+    """Findings that several investigators share: HIGH from three on, else MODERATE."""
+    votes = found.groupBy("pol", "type").agg(F.count_distinct("investigator").alias("votes"), F.sort_array(F.collect_set("investigator")).alias("investigators"))
+    return votes.filter(F.col("votes") >= least).withColumn("confidence", F.when(F.col("votes") >= 3, "HIGH").otherwise("MODERATE"))
+
+
+@query("dt24_synthesis", FINDINGS + " SELECT pol, type, count(DISTINCT investigator) AS votes, list_sort(list(DISTINCT investigator)) AS investigators, CASE WHEN count(DISTINCT investigator) >= 3 THEN 'HIGH' ELSE 'MODERATE' END AS confidence FROM f GROUP BY pol, type HAVING count(DISTINCT investigator) >= 2")
+def q_synthesis(t: Tables) -> DataFrame:
+    return synthesise(findings(t))
+
+
+#: Chance that a counter-explanation holds, by severity.
+CONTRA = {"LOW": 0.45, "MODERATE": 0.30, "HIGH": 0.15}
+
+
+def contra(severity: Column) -> Column:
+    out = F.lit(0.25)
+    for name, value in CONTRA.items():
+        out = F.when(severity == name, value).otherwise(out)
+    return out
+
+
+@query("dt25_adversarial", FINDINGS + ", x AS (SELECT *, CASE severity WHEN 'LOW' THEN 0.45 WHEN 'MODERATE' THEN 0.30 WHEN 'HIGH' THEN 0.15 ELSE 0.25 END AS c FROM f) SELECT pol, investigator, type, round(greatest(0.1, 1 - 0.4 * c) / c, 4) AS ratio, CASE WHEN greatest(0.1, 1 - 0.4 * c) / c >= 3 THEN 'SUPPORTED' WHEN greatest(0.1, 1 - 0.4 * c) / c >= 1.5 THEN 'LIKELY' ELSE 'CONTESTED' END AS verdict FROM x")
+def adversarial(t: Tables) -> DataFrame:
+    c = contra(F.col("severity"))
+    ratio = F.greatest(F.lit(0.1), 1 - 0.4 * c) / c
+    verdict = F.when(ratio >= 3, "SUPPORTED").when(ratio >= 1.5, "LIKELY").otherwise("CONTESTED")
+    return findings(t).select("pol", "investigator", "type", F.round(ratio, 4).alias("ratio"), verdict.alias("verdict"))
+
+
+@query("dt22_layers", FINDINGS + ", l AS (SELECT DISTINCT pol, 1 AS layer FROM director UNION SELECT DISTINCT pol, 2 FROM f UNION SELECT DISTINCT pol, 3 FROM event UNION SELECT DISTINCT cust, 4 FROM contract) SELECT pol, count(*) AS layers, CASE WHEN count(*) >= 4 THEN 85 WHEN count(*) >= 2 THEN 55 ELSE 25 END AS confidence FROM l GROUP BY pol")
+def layers(t: Tables) -> DataFrame:
+    parts = (t.director, findings(t), t.event, t.contract.withColumnRenamed("cust", "pol"))
+    out = None
+    for k, df in enumerate(parts, 1):
+        one = df.select("pol").distinct().withColumn("layer", F.lit(k))
+        out = one if out is None else out.union(one)
+    n = out.groupBy("pol").agg(F.count(F.lit(1)).alias("layers"))
+    return n.withColumn("confidence", F.when(F.col("layers") >= 4, 85).when(F.col("layers") >= 2, 55).otherwise(25))
+
+
+@query("dt26_debate", FINDINGS + ", s AS (SELECT pol, count(*) AS n, count(DISTINCT severity) AS kinds FROM f GROUP BY pol), a AS (SELECT pol, CASE WHEN n >= 5 THEN 7 WHEN n >= 3 THEN 5 ELSE 3 END AS agents, n, kinds FROM s), v AS (SELECT pol, agents, unnest(range(0, agents)) AS agent, n, kinds FROM a) SELECT pol, agents, round(avg(0.5 + 0.05 * ((agent + n) % 5)), 4) AS confidence, round(greatest(0, 1 - 5 * stddev_pop(0.5 + 0.05 * ((agent + n) % 5))), 4) AS drift FROM v GROUP BY pol, agents")
+def debate(t: Tables) -> DataFrame:
+    """Panel size by complexity, one opinion an agent, agreement from the opinions' spread."""
+    s = findings(t).groupBy("pol").agg(F.count(F.lit(1)).alias("n"))
+    v = s.withColumn("agents", F.when(F.col("n") >= 5, 7).when(F.col("n") >= 3, 5).otherwise(3)).withColumn("agent", F.explode(F.sequence(F.lit(0), F.col("agents") - 1)))
+    opinion = 0.5 + 0.05 * ((F.col("agent") + F.col("n")) % 5)
+    return v.groupBy("pol", "agents").agg(F.round(F.avg(opinion), 4).alias("confidence"), F.round(F.greatest(F.lit(0.0), 1 - 5 * F.stddev_pop(opinion)), 4).alias("drift"))
+
+
+@query("dt29_weights", FINDINGS + ", c AS (SELECT investigator, count(*) AS n, CAST(sum(CASE WHEN severity = 'HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS confirmed FROM f GROUP BY investigator), ww AS (SELECT investigator, CASE WHEN confirmed >= 3 THEN least(0.5, 0.1 + 0.01) ELSE greatest(0.01, 0.1 - 0.005) END AS w FROM c) SELECT investigator, round(w / sum(w) OVER (), 6) AS weight FROM ww")
+def weights(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    c = findings(t).groupBy("investigator").agg(F.sum(F.when(F.col("severity") == "HIGH", 1).otherwise(0)).alias("confirmed"))
+    w = F.when(F.col("confirmed") >= 3, F.least(F.lit(0.5), F.lit(0.1 + 0.01))).otherwise(F.greatest(F.lit(0.01), F.lit(0.1 - 0.005)))
+    return c.select("investigator", w.alias("w")).select("investigator", F.round(F.col("w") / F.sum("w").over(Window.partitionBy()), 6).alias("weight"))
+
+
+@query("dt31_source_health", """SELECT label, n, CASE WHEN n = 0 THEN 'fail' WHEN n < 100 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT 'events' AS label, count(*) AS n FROM events UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark)""")
+def source_health(t: Tables) -> DataFrame:
+    out = None
+    for name in ("events", "pages", "benchmark"):
+        one = t.raw(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n")
+        out = one if out is None else out.union(one)
+    return out.withColumn("status", F.when(F.col("n") == 0, "fail").when(F.col("n") < 100, "warn").otherwise("pass"))

@@ -1 +1,116 @@
+"""Entity resolution and loading: blocking instead of all pairs, star-greedy clusters, upserts by key."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from plumbline.functions.text import canonical_id, jaro_winkler, jaccard, normalise_name, tokens
+from plumbline.operators.graph import settle
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+THRESHOLD = 0.72
+
+
+def scored_pairs(records: DataFrame) -> DataFrame:
+    """i < j with a shared first or last word (the blocks), scored .6 Jaro-Winkler + .4 Jaccard on normalised names; records has seq and name."""
+    r = records.select("seq", normalise_name(F.col("name")).alias("norm"))
+    words = F.split("norm", " ")
+    blocks = r.select("seq", "norm", F.explode(F.array_distinct(F.array(words[0], F.element_at(words, -1)))).alias("block"))
+    a, b = (blocks.select(F.col("seq").alias(f"{k}"), F.col("norm").alias(f"{k}_norm"), "block") for k in ("i", "j"))
+    pairs = a.join(b, "block").filter("i < j").select("i", "j", "i_norm", "j_norm").distinct()
+    score = F.when(F.col("i_norm") == F.col("j_norm"), 1.0).otherwise(0.6 * jaro_winkler("i_norm", "j_norm") + 0.4 * jaccard(tokens(F.col("i_norm")), tokens(F.col("j_norm"))))
+    return pairs.select("i", "j", F.round(score, 6).alias("score"))
+
+
+def star_clusters(records: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """In order, each unused record is a centre and takes later unused records that score against the centre itself: the lexicographically
+    first maximal independent set, settled round by round (a record is decided once all its lower neighbours are)."""
+    near = settle(pairs.filter(F.col("score") >= threshold).select("i", "j"))
+    state = settle(records.select("seq").withColumn("role", F.lit(None).cast("string")).withColumn("centre", F.lit(None).cast("long")))
+    while True:
+        lower = near.join(state.select(F.col("seq").alias("i"), "role"), "i").groupBy(F.col("j").alias("seq"))
+        seen = lower.agg(F.count(F.when(F.col("role").isNull(), 1)).alias("open"), F.min(F.when(F.col("role") == "centre", F.col("i"))).alias("low"))
+        x = state.join(seen, "seq", "left")
+        first_open = F.coalesce("open", F.lit(0)) == 0
+        # a centre below a still open neighbour may come to be: a record is absorbed only when no lower neighbour is open
+        role = F.when(F.col("role").isNotNull(), F.col("role")).when(first_open & F.col("low").isNotNull(), "absorbed").when(first_open, "centre")
+        centre = F.when(F.col("centre").isNotNull(), F.col("centre")).when(first_open & F.col("role").isNull(), F.coalesce("low", "seq"))
+        state = settle(x.select("seq", role.alias("role"), centre.alias("centre")))
+        if state.filter("role is null").isEmpty():
+            return state.select("seq", "centre")
+
+
+@query("er01_star_clusters")
+def resolve(t: Tables) -> DataFrame:
+    w = Window.orderBy("p_name")
+    records = t.raw("part").select("p_name").distinct().select((F.row_number().over(w)).cast("long").alias("seq"), F.col("p_name").alias("name"))
+    records = settle(records)
+    return star_clusters(records, scored_pairs(records)).join(records, "seq").select("seq", "centre", "name")
+
+
+@query("er04_cross_match", """SELECT p.pol, c.comp FROM politician p JOIN company c ON regexp_replace(p.name, '\\D', '', 'g') = regexp_replace(c.name, '\\D', '', 'g')""")
+def cross_match(t: Tables) -> DataFrame:
+    digits = lambda c: F.regexp_replace(c, r"\D", "")
+    return t.politician.select("pol", digits("name").alias("k")).join(t.company.select("comp", digits("name").alias("k")), "k").select("pol", "comp")
+
+
+@query("er05_alias_graph", """SELECT alias, id FROM (SELECT lower(trim(kind)) AS alias, event_id AS id, row_number() OVER (PARTITION BY lower(trim(kind)) ORDER BY ts DESC, event_id DESC) AS k FROM event) WHERE k = 1""")
+def alias_graph(t: Tables) -> DataFrame:
+    """Last write wins per alias: a max over (time, id), not a sort."""
+    return t.event.groupBy(F.lower(F.trim("kind")).alias("alias")).agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("id"))
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
+    """MERGE by key: the row of the highest version stays."""
+    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    return old.unionByName(new).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+@query("snk02_upsert", """SELECT event_id % 100 AS id, max(event_id) AS version, arg_max(kind, event_id) AS kind FROM event GROUP BY 1""")
+def q_upsert(t: Tables) -> DataFrame:
+    rows = t.event.select((F.col("event_id") % 100).alias("id"), F.col("event_id").alias("version"), "kind")
+    return upsert(rows.filter("version % 2 = 0"), rows.filter("version % 2 = 1"), "id", "version")
+
+
+@query("snk03_write_back", """SELECT comp, name, coalesce(n, 0) AS degree FROM company LEFT JOIN (SELECT comp, count(*) AS n FROM director GROUP BY comp) USING (comp)""")
+def write_back(t: Tables) -> DataFrame:
+    degree = t.director.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    return t.company.join(degree, "comp", "left").select("comp", "name", F.coalesce("n", F.lit(0)).alias("degree"))
+
+
+@query("ld01_politicians", """SELECT left(sha256(lower(trim(name)) || '|' || lower(trim(state)) || '|none'), 32) AS id, name, state, party FROM politician WHERE trim(name) <> ''""")
+def load_politicians(t: Tables) -> DataFrame:
+    return t.politician.filter(F.trim("name") != "").select(canonical_id(F.col("name"), F.col("state"), F.lit(None), size=32).alias("id"), "name", "state", "party").dropDuplicates(["id"])
+
+
+@query("ld01_member_of", """SELECT pol AS src, left(sha256(lower(party)), 32) AS dst, 'MEMBER_OF' AS rel FROM politician WHERE party <> ''""")
+def load_member_of(t: Tables) -> DataFrame:
+    return t.politician.filter("party <> ''").select(F.col("pol").alias("src"), canonical_id(F.col("party"), size=32).alias("dst"), F.lit("MEMBER_OF").alias("rel"))
+
+
+@query("ld02_companies", """SELECT left(sha256(lower(trim(name)) || '|' || lower(trim(state))), 32) AS id, name, round(capital, 2) AS capital FROM company""")
+def load_companies(t: Tables) -> DataFrame:
+    return t.company.select(canonical_id(F.col("name"), F.col("state"), size=32).alias("id"), "name", F.round("capital", 2).alias("capital")).dropDuplicates(["id"])
+
+
+@query("ld03_contract_edges", """SELECT CAST(comp AS VARCHAR) AS src, CAST(contract AS VARCHAR) AS dst, 'WON_CONTRACT' AS rel FROM won UNION ALL SELECT CAST(contract AS VARCHAR), ministry, 'AWARDED_BY' FROM awarded""")
+def load_contract_edges(t: Tables) -> DataFrame:
+    return t.won.select(F.col("comp").cast("string").alias("src"), F.col("contract").cast("string").alias("dst"), F.lit("WON_CONTRACT").alias("rel")).union(t.awarded.select(F.col("contract").cast("string"), "ministry", F.lit("AWARDED_BY")))
+
+
+@query("ld04_audit_reports", """SELECT doc_id, left(sha256(lower(trim(title)) || '|' || CAST(doc_id AS VARCHAR)), 32) AS id, scheme FROM audit WHERE trim(title) = title AND title NOT LIKE '%' || chr(10) || '%' AND regexp_full_match(title, '[ -~]*')""")
+def load_audits(t: Tables) -> DataFrame:
+    return t.audit.filter((F.trim("title") == F.col("title")) & F.col("title").rlike(r"^[ -~]*\z")).select("doc_id", canonical_id(F.col("title"), F.col("doc_id"), size=32).alias("id"), "scheme")
+
+
+@query("ld13_tenders", """SELECT contract, ministry, n = 1 AS single_bid, CASE WHEN n = 1 THEN 'SINGLE_BID' ELSE '' END AS risk_flag FROM awarded JOIN (SELECT contract, count(*) AS n FROM won GROUP BY contract) USING (contract)""")
+def load_tenders(t: Tables) -> DataFrame:
+    bids = t.won.groupBy("contract").agg(F.count(F.lit(1)).alias("n"))
+    return t.awarded.join(bids, "contract").select("contract", "ministry", (F.col("n") == 1).alias("single_bid"), F.when(F.col("n") == 1, "SINGLE_BID").otherwise("").alias("risk_flag"))
+
+
+@query("ld20_last_per_key", """SELECT pol, CAST(ts AS DATE) AS day, arg_max(kind, event_id) AS kind FROM event GROUP BY 1, 2""")
+def load_last_per_key(t: Tables) -> DataFrame:
+    return t.event.groupBy("pol", F.to_date("ts").alias("day")).agg(F.max_by("kind", "event_id").alias("kind"))
