@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, html_extract, license_scan, mixing, near_dedup, pii, quality, topk, toxicity
+from plumbline.llm import bpe, html_extract, license_scan, mixing, near_dedup, pii, quality, token_counts, topk, toxicity
 from plumbline.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -29,6 +29,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe": op2_bpe,
     "op3_near_dedup": op3_near_dedup,
     "op4_pii": op4_pii,
+    "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
