@@ -1 +1,59 @@
+"""Search: an inverted index with BM25, label scans, variants, type filters."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+K1, B = 1.2, 0.75
+
+
+def bm25(index: DataFrame, lengths: DataFrame, words: list[str]) -> DataFrame:
+    """index: (doc_id, w, n) rows; only the query's postings are read past the filter."""
+    n = lengths.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("mean"))
+    postings = index.filter(F.col("w").isin(words))
+    df = postings.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
+    x = postings.join(df, "w").join(lengths, "doc_id").crossJoin(F.broadcast(n))
+    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return x.groupBy("doc_id").agg(F.round(F.sum(idf * tf), 6).alias("score"))
+
+
+@query("se01_full_text", """, w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents), i AS (SELECT doc_id, w, count(*) AS n FROM w GROUP BY 1, 2), l AS (SELECT doc_id, count(*) AS length FROM w GROUP BY 1), m AS (SELECT count(*) AS docs, avg(length) AS mean FROM l), f AS (SELECT w, count(*) AS df FROM i WHERE w IN ('license', 'idiot', 'token') GROUP BY 1) SELECT doc_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM i JOIN f USING (w) JOIN l USING (doc_id), m GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20""")
+def full_text(t: Tables, words: tuple[str, ...] = ("license", "idiot", "token")) -> DataFrame:
+    w = t.raw("documents").select("doc_id", F.split(F.lower("text"), " ").alias("ws"))
+    index = w.select("doc_id", F.explode("ws").alias("w")).filter(F.col("w").isin(*words)).groupBy("doc_id", "w").agg(F.count(F.lit(1)).alias("n"))
+    lengths = w.select("doc_id", F.size("ws").alias("length"))
+    return bm25(index, lengths, list(words)).orderBy(F.col("score").desc(), "doc_id").limit(20)
+
+
+@query("se02_label_scan", """SELECT label, id, name FROM (SELECT 'Politician' AS label, pol AS id, name FROM politician WHERE contains(lower(name), '0001') UNION ALL SELECT 'Company', comp, name FROM company WHERE contains(lower(name), '0001')) ORDER BY starts_with(lower(name), '0001') DESC, name, label, id LIMIT 20""")
+def label_scan(t: Tables, q: str = "0001") -> DataFrame:
+    one = lambda df, label, key: df.filter(F.contains(F.lower("name"), F.lit(q))).select(F.lit(label).alias("label"), F.col(key).alias("id"), "name")
+    return one(t.politician, "Politician", "pol").union(one(t.company, "Company", "comp")).orderBy(F.startswith(F.lower("name"), F.lit(q)).desc(), "name", "label", "id").limit(20)
+
+
+#: Searchable labels and their sources.
+LABELS = (("Politician", "affidavits"), ("Company", "registry"), ("Contract", "procurement"), ("AuditReport", "audits"), ("Tender", "tenders"))
+
+
+@query("se03_type_filter", """SELECT label FROM (VALUES ('Politician'), ('Company'), ('Contract'), ('AuditReport'), ('Tender')) v(label) WHERE lower(label) = 'co' OR starts_with(lower(label), 'co')""")
+def type_filter(t: Tables, kind: str = "co") -> DataFrame:
+    labels = t.spark.createDataFrame([(a,) for a, _ in LABELS], "label string")
+    return labels.filter(F.startswith(F.lower("label"), F.lit(kind.rstrip("s"))))
+
+
+@query("se04_variants", """SELECT DISTINCT p_partkey FROM part, (VALUES ('blue'), ('bl'), ('azure')) v(q) WHERE contains(lower(p_name), q)""")
+def variants(t: Tables, words: tuple[str, ...] = ("blue", "bl", "azure")) -> DataFrame:
+    hit = F.lit(False)
+    for w in words:
+        hit = hit | F.contains(F.lower("p_name"), F.lit(w))
+    return t.raw("part").filter(hit).select("p_partkey").distinct()
+
+
+@query("se05_attribution", """SELECT label, source FROM (VALUES ('Politician', 'affidavits'), ('Company', 'registry'), ('Contract', 'procurement'), ('AuditReport', 'audits'), ('Tender', 'tenders')) v(label, source)""")
+def attribution(t: Tables) -> DataFrame:
+    return t.spark.createDataFrame(list(LABELS), "label string, source string")

@@ -1 +1,67 @@
+"""Sources and sinks: landed JSON and HTML as tables, field fallbacks, screening, catalogue."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+
+@query("src01_json_fields", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")
+def json_fields(t: Tables) -> DataFrame:
+    """A JSON column read with an explicit schema."""
+    return t.raw("events").select("event_id", F.from_json("props", "k bigint").alias("j")).select("event_id", F.col("j.k").alias("k"))
+
+
+@query("src02_html_titles", """SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages""")
+def html_titles(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("src03_list_items", """SELECT page_id, CAST(len(regexp_extract_all(html, '<li><a[^>]*>[^<]*</a></li>')) AS INTEGER) AS items FROM pages""")
+def list_items(t: Tables) -> DataFrame:
+    return t.raw("pages").select("page_id", F.regexp_count("html", F.lit("<li><a[^>]*>[^<]*</a></li>")).alias("items"))
+
+
+@query("src04_links", """SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(a, 'href="([^"]*)"', 1) AS link, regexp_extract(a, '>([^<]*)<', 1) AS label FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages) WHERE length(regexp_extract(a, '>([^<]*)<', 1)) >= 4""")
+def links(t: Tables, least: int = 4) -> DataFrame:
+    """Links with a label of some length, made absolute."""
+    a = t.raw("pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('<a href="[^"]*">[^<]*</a>'), F.lit(0))).alias("a"))
+    label = F.regexp_extract("a", ">([^<]*)<", 1)
+    return a.filter(F.length(label) >= least).select("page_id", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.regexp_extract("a", 'href="([^"]*)"', 1)).alias("link"), label.alias("label"))
+
+
+@query("src06_field_fallback", """SELECT event_id, coalesce(nullif(json_extract_string(props, '$.name'), ''), json_extract_string(props, '$.k'), '') AS label FROM events""")
+def field_fallback(t: Tables) -> DataFrame:
+    get = lambda k: F.get_json_object("props", f"$.{k}")
+    return t.raw("events").select("event_id", F.coalesce(F.nullif(get("name"), F.lit("")), get("k"), F.lit("")).alias("label"))
+
+
+@query("src08_screening", """SELECT pol, name, list_contains(['NATION_1', 'NATION_7'], state) AS sanctioned, assets < 0 AS exposed FROM politician WHERE list_contains(['NATION_1', 'NATION_7'], state) OR assets < 0""")
+def screening(t: Tables, listed: tuple[str, ...] = ("NATION_1", "NATION_7")) -> DataFrame:
+    hit, poor = F.col("state").isin(*listed), F.col("assets") < 0
+    return t.politician.filter(hit | poor).select("pol", "name", hit.alias("sanctioned"), poor.alias("exposed"))
+
+
+@query("src09_semi_screen", """SELECT comp FROM company WHERE comp IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def semi_screen(t: Tables) -> DataFrame:
+    return t.company.select("comp").join(t.raw("lineitem").filter("l_returnflag = 'R'").select(F.col("l_suppkey").alias("comp")).distinct(), "comp", "left_semi")
+
+
+@query("snk06_catalogue", """SELECT s.source, coalesce(n, 0) AS n, CASE WHEN n > 0 THEN 'loaded' ELSE 'pending' END AS status FROM (VALUES ('src0'), ('src1'), ('src99')) s(source) LEFT JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) d USING (source)""")
+def catalogue(t: Tables, names: tuple[str, ...] = ("src0", "src1", "src99")) -> DataFrame:
+    listed = t.spark.createDataFrame([(n,) for n in names], "source string")
+    counts = t.raw("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return listed.join(counts, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") > 0, "loaded").otherwise("pending").alias("status"))
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A JSON-lines sink."""
+    df.write.mode("overwrite").json(path)
+
+
+def append_audit(df: DataFrame, path: str) -> None:
+    """An append-only sink for audit rows; the chain is checked by wn09 and dt34."""
+    df.write.mode("append").json(path)

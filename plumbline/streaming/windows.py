@@ -1 +1,62 @@
+"""Streams: windows with watermarks, the feed and the limiter; each with a batch form the oracle can check."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from plumbline.plans.registry import query
+from plumbline.plans.tables import Tables
+
+
+def tumbling(events: DataFrame, width: str = "1 day", late: str | None = None) -> DataFrame:
+    """Counts per tumbling window and kind, on a batch or (with `late`, the watermark) on a stream."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if late and events.isStreaming else e
+    return e.groupBy(F.window("ts", width).alias("w"), "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "kind", "n", F.round("total", 3).alias("total"))
+
+
+@query("st_tumbling", """SELECT date_trunc('day', ts) AS start, kind, count(*) AS n, round(sum(value), 3) AS total FROM event GROUP BY 1, 2""")
+def q_tumbling(t: Tables) -> DataFrame:
+    return tumbling(t.event).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("st02_sliding", """SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start, count(*) AS n FROM event, (SELECT unnest(range(0, 6)) AS k) GROUP BY 1""")
+def q_sliding(t: Tables) -> DataFrame:
+    return t.event.groupBy(F.window("ts", "6 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("st_session", """, g AS (SELECT pol, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY pol ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM event), s AS (SELECT pol, ts, sum(new) OVER (PARTITION BY pol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT pol, min(ts) AS start, count(*) AS n FROM s GROUP BY pol, k""")
+def q_session(t: Tables) -> DataFrame:
+    return t.event.groupBy("pol", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("pol", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("st01_feed", """SELECT kind, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS k FROM event) WHERE k <= 8""")
+def feed(t: Tables, newest: int = 8) -> DataFrame:
+    """The newest rows of each kind."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("kind").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    return t.event.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= newest).select("kind", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+def follow_feed(stream: DataFrame, sink, checkpoint: str, trigger: str = "15 seconds"):
+    """The feed on a stream: sink(batch, id) gets a batch only when it brings new ids."""
+
+    def send(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            sink(batch, number)
+
+    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+
+
+def merge_stream(stream: DataFrame, path: str, key: str, version: str, checkpoint: str):
+    """Upserts each micro-batch into a Parquet table by key: reads, merges, writes beside it and swaps the versioned folder."""
+    from plumbline.operators.resolution import upsert
+
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        old = spark.read.parquet(f"{path}/v{number}") if number else batch.limit(0)
+        upsert(old, batch, key, version).write.mode("overwrite").parquet(f"{path}/v{number + 1}")
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
