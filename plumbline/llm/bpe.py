@@ -8,8 +8,8 @@ decides unknown pairs once by merging just the two strings, and hands only words
 failing pair to the exact merger.
 
 Distribution: map-only over Arrow batches. A text is split at white space; the tokens of
-a piece depend on that piece alone, so each worker keeps a bounded table of pieces
-(CACHE_PIECES; when full it is emptied) and a text is the concatenation of its pieces.
+a piece depend on that piece alone, so each worker keeps bounded tables of words and
+pieces (CACHE_PIECES) and a text is the concatenation of its pieces.
 Long texts are never cut; memory is one batch and the table.
 
 Defined results: null and empty texts have no tokens and decode to the empty text;
@@ -22,17 +22,42 @@ import functools
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-CACHE_PIECES = 300_000
+CACHE_PIECES = 250_000
+_NONE = 1 << 62
+#: The file's pre-tokenizer pattern on lower-case ASCII without white space.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 #: White space of str.split() that the tokenizer's own pattern does not take for white space.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
 
+class Table:
+    """A dictionary of bounded size in two generations: when the younger is full it becomes the elder, and what is looked up again moves back."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.elder = most, {}, {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that neither generation has; afterwards the younger has all others."""
+        if len(self.young) + len(keys) > self.most and self.young:
+            self.young, self.elder = {}, self.young
+        young, elder, out = self.young, self.elder, []
+        for k in keys.difference(young):
+            found = elder.get(k)
+            if found is None:
+                out.append(k)
+            else:
+                young[k] = found
+        return out
+
+
 class Codec:
     """Encodes and decodes with one tokenizer file (BPE with word ends, lower case, white space dropped)."""
 
@@ -45,64 +70,86 @@ class Codec:
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"]
-        self.ranks = {(a, b): k for k, (a, b) in enumerate(map(tuple, model["merges"]))}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token_of = {v: k for k, v in (self.vocab | self.special).items()}
         self.size = max(self.token_of) + 1
+        #: left x size + right -> rank x size + merged token
+        self.merges = {self.vocab[a] * self.size + self.vocab[b]: k * self.size + self.vocab[a + b] for k, (a, b) in enumerate(map(tuple, model["merges"]))}
+        #: The longest token inside a word that starts with these characters (up to three).
+        self.reach: dict[str, int] = {}
+        for t in self.vocab:
+            if not t.endswith(self.end):
+                for k in (1, 2, 3):
+                    self.reach[t[:k]] = max(self.reach.get(t[:k], 0), len(t))
         self.longest = max(len(t.removesuffix(self.end)) for t in self.vocab)
         library = Tokenizer.from_file(path)
         self.normalize, self.pretokenize = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.split_special = regex.compile("|".join(map(regex.escape, self.special)))
+        self.has_special = "<|"
         self.is_space = regex.compile(r"\s+").split
         self.good = np.zeros(0, np.int64)
         self.bad = np.zeros(0, np.int64)
-        self.pieces: dict[str, tuple[bytes, bytes]] = {}
+        self.known_words, self.pieces = Table(CACHE_PIECES), Table(CACHE_PIECES)
         #: Words that failed a pair and were merged exactly, for tests and figures.
         self.merged = 0
 
     # exact merging
 
-    def merge(self, symbols: list[str]) -> list[str]:
-        """The BPE merges of lowest rank first, leftmost first, over a linked list with a heap: n log n."""
-        n = len(symbols)
-        after, before, live = list(range(1, n)) + [-1], list(range(-1, n - 1)), list(symbols)
-        rank, heap = self.ranks.get, []
-        for i in range(n - 1):
-            if (r := rank((live[i], live[i + 1]))) is not None:
-                heap.append((r, i, live[i], live[i + 1]))
+    def merge(self, ids: list[int]) -> list[int]:
+        """The BPE merges of lowest rank first, leftmost first."""
+        get, size, none = self.merges.get, self.size, _NONE
+        if len(ids) > 40:
+            return self.merge_long(ids)
+        ids = list(ids)
+        pairs = [get(a * size + b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while pairs and (best := min(pairs)) != none:
+            i = pairs.index(best)
+            ids[i : i + 2] = [best % size]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = get(ids[i - 1] * size + ids[i], none)
+            if i < len(pairs):
+                pairs[i] = get(ids[i] * size + ids[i + 1], none)
+        return ids
+
+    def merge_long(self, ids: list[int]) -> list[int]:
+        """The same over a linked list with a heap: n log n."""
+        n, get, size = len(ids), self.merges.get, self.size
+        after, before, live = list(range(1, n)) + [-1], list(range(-1, n - 1)), list(ids)
+        heap = [(m, i, live[i], live[i + 1]) for i in range(n - 1) if (m := get(live[i] * size + live[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, a, b = heapq.heappop(heap)
+            m, i, a, b = heapq.heappop(heap)
             j = after[i]
             if live[i] != a or j < 0 or live[j] != b:
                 continue
-            live[i], live[j] = a + b, None
+            live[i], live[j] = m % size, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
-            if (p := before[i]) >= 0 and (r := rank((live[p], live[i]))) is not None:
-                heapq.heappush(heap, (r, p, live[p], live[i]))
-            if (q := after[i]) >= 0 and (r := rank((live[i], live[q]))) is not None:
-                heapq.heappush(heap, (r, i, live[i], live[q]))
-        return [x for x in live if x is not None]
-
-    def symbols(self, *tokens: str) -> list[str]:
-        """Single characters, the last with the word's end if the last token has it."""
-        joined = "".join(tokens)
-        if not joined.endswith(self.end) or tokens[-1] not in self.vocab:
-            return list(joined)
-        body = joined.removesuffix(self.end)
-        return [*body[:-1], body[-1] + self.end] if body else list(joined)
+            p, q = before[i], after[i]
+            if p >= 0 and (m := get(live[p] * size + live[i])) is not None:
+                heapq.heappush(heap, (m, p, live[p], live[i]))
+            if q >= 0 and (m := get(live[i] * size + live[q])) is not None:
+                heapq.heappush(heap, (m, i, live[i], live[q]))
+        return [x for x in live if x >= 0]
+
+    def symbols(self, word: str, ended: bool = True) -> list[int]:
+        """The ids of the single characters, the last with the word's end."""
+        get = self.vocab.__getitem__
+        return [*map(get, word[:-1]), get(word[-1] + self.end)] if ended else [*map(get, word)]
 
     # speculation and verification
 
     def propose(self, word: str) -> list[int]:
         """Greedy longest match; the last token is the one with the word's end."""
-        out, i, n, get = [], 0, len(word), self.vocab.get
+        out, i, n, get, reach, end = [], 0, len(word), self.vocab.get, self.reach.get, self.end
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                found = get(word[i:j] + self.end) if j == n else get(word[i:j])
-                if found is not None:
+            if (found := get(word[i:] + end) if n - i <= self.longest else None) is not None:
+                out.append(found)
+                break
+            for j in range(min(n - 1, i + max(1, reach(word[i : i + 3], 2))), i, -1):
+                if (found := get(word[i:j])) is not None:
                     out.append(found)
                     i = j
                     break
@@ -113,11 +160,12 @@ class Codec:
     @functools.lru_cache(maxsize=100_000)  # noqa: B019
     def own(self, token: int) -> bool:
         """Whether the token is the encoding of its own string."""
-        return self.merge(self.symbols(self.token_of[token])) == [self.token_of[token]]
+        t = self.token_of[token]
+        return self.merge(self.symbols(t.removesuffix(self.end), t.endswith(self.end))) == [token]
 
     def fits(self, left: int, right: int) -> bool:
         a, b = self.token_of[left], self.token_of[right]
-        return self.merge(self.symbols(a, b)) == [a, b]
+        return self.merge(self.symbols(a + b.removesuffix(self.end), b.endswith(self.end))) == [left, right]
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of different words (in stand-in characters): propose all, check all pairs at once, merge the failing words."""
@@ -135,34 +183,43 @@ class Codec:
         failing |= set(owner[np.isin(flat, [t for t in np.unique(flat).tolist() if not self.own(t)])].tolist())
         self.merged += len(failing)
         for k in failing:
-            word = words[k]
-            proposed[k] = [self.vocab[t] for t in self.merge([*word[:-1], word[-1] + self.end])]
+            proposed[k] = self.merge(self.symbols(words[k]))
         return proposed
 
     # pieces and texts
 
-    def learn(self, pieces: Iterable[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Adds pieces (no white space inside) to the table, each with its ids and its decoded text."""
         if len(self.good) + len(self.bad) > 4_000_000:
             self.good = self.bad = np.zeros(0, np.int64)
-        parts, words = {}, {}
+        parts: dict[str, list[str | int]] = {}
+        words: set[str] = set()
         for piece in pieces:
-            found: list[str | int] = []
-            at = 0
-            for m in self.split_special.finditer(piece):
-                found += [*self.words(piece[at : m.start()]), self.special[m[0]]]
-                at = m.end()
-            found += self.words(piece[at:])
+            if piece.isascii() and piece.isalpha():
+                found = [piece.lower()]
+            elif self.has_special in piece:
+                found, at = [], 0
+                for m in self.split_special.finditer(piece):
+                    found += [*self.words(piece[at : m.start()]), self.special[m[0]]]
+                    at = m.end()
+                found += self.words(piece[at:])
+            else:
+                found = self.words(piece)
             parts[piece] = found
-            words |= dict.fromkeys(x for x in found if isinstance(x, str))
-        names = list(words)
-        ids = dict(zip(names, self.encode_words(names), strict=True))
+            words.update(x for x in found if isinstance(x, str))
+        new = self.known_words.missing(words)
+        known = self.known_words.young
+        for word, tokens in zip(new, self.encode_words(new), strict=True):
+            known[word] = (array("I", tokens).tobytes(), self.decode(tokens).encode())
+        table = self.pieces.young
         for piece, found in parts.items():
-            tokens = [t for x in found for t in (ids[x] if isinstance(x, str) else [x])]
-            self.pieces[piece] = (np.array(tokens, "<u4").tobytes(), self.decode(tokens).encode())
+            entries = [known[x] if isinstance(x, str) else (array("I", [x]).tobytes(), self.decode([x]).encode()) for x in found]
+            table[piece] = entries[0] if len(entries) == 1 else (b"".join([e[0] for e in entries]), b" ".join([e[1] for e in entries]))
 
     def words(self, piece: str) -> list[str]:
         """The words of a piece, in the bytes' stand-ins, by the file's own normalizer and pre-tokenizer."""
+        if piece.isascii() and piece.isprintable():
+            return _ASCII_WORDS(piece.lower())
         return [w for w, _ in self.pretokenize(self.normalize(piece))] if piece else []
 
     def split(self, text: str) -> list[str]:
@@ -182,13 +239,10 @@ class Codec:
             while end < len(split) and len(wanted) + len(split[end]) <= CACHE_PIECES:
                 wanted.update(split[end])
                 end += 1
-            known = self.pieces
-            missing = wanted.difference(known)
+            missing = self.pieces.missing(wanted)
             if missing:
-                if len(known) + len(missing) > CACHE_PIECES:
-                    known.clear()
-                    missing = wanted
                 self.learn(missing)
+            known = self.pieces.young
             for pieces in split[at:end]:
                 found = [known[p] for p in pieces]
                 out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])))
