@@ -67,7 +67,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_topk": op10_topk,
 }
 
+_RULES = " AND ".join([f"{name} >= {least}" for name, least, _ in quality.THRESHOLDS if least is not None] + [f"{name} <= {most}" for name, _, most in quality.THRESHOLDS if most is not None])
+
 ORACLES: dict[str, str] = {
+    "op7_quality": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+                     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+        r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, unnest(range(0, 3)) AS k FROM r) GROUP BY doc_id),
+        m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                     CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols,
+                     CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words, len(l) AS lines,
+                     len(list_filter(w, lambda x: list_contains({quality.STOP_WORDS}, lower(x)))) AS stops,
+                     length(t) - length(replace(t, '|', '')) AS pipes, (length(t) - length(replace(t, '!!', ''))) / 2 AS shouts
+              FROM w LEFT JOIN c USING (doc_id)),
+        x AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+                     CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_chars,
+                     CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_ratio,
+                     CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0.0 END AS repeat_ratio,
+                     CASE WHEN lines > 0 THEN n_dup_lines / lines ELSE 0.0 END AS dup_line_ratio,
+                     CASE WHEN n_words > 0 THEN stops / n_words ELSE 0.0 END AS stop_ratio,
+                     CASE WHEN n_words > 0 THEN pipes / n_words ELSE 0.0 END AS pipe_ratio,
+                     CASE WHEN n_words > 0 THEN shouts / n_words ELSE 0.0 END AS shout_ratio,
+                     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+              FROM m)
+        SELECT *, NOT base_failed AND {_RULES} AS kept FROM x
+    """,
     "op10_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
