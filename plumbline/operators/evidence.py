@@ -76,11 +76,11 @@ def case_stats(t: Tables) -> DataFrame:
     return findings(t).groupBy("type").agg(F.count(F.lit(1)).alias("n"), high.alias("confirmed"), (F.count(F.lit(1)) - high).alias("open"))
 
 
-@query("wn04_granger_lags", """, s AS (SELECT pol, value, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, count(*) OVER (PARTITION BY pol) AS n FROM event WINDOW w AS (PARTITION BY pol ORDER BY ts, event_id)) SELECT pol, round(sum((value - v1) ** 2), 3) AS rss1, round(sum((value - (v1 + v2) / 2) ** 2), 3) AS rss2 FROM s WHERE n >= 8 AND v2 IS NOT NULL GROUP BY pol""")
+@query("wn04_granger_lags", """, s AS (SELECT pol, value, lag(value, 1) OVER w AS v1, lag(value, 2) OVER w AS v2, count(*) OVER (PARTITION BY pol) AS n FROM event WINDOW w AS (PARTITION BY pol ORDER BY ts, event_id)) SELECT pol, round(sum((value - v1) ** 2), 6) AS rss1, round(sum((value - (v1 + v2) / 2) ** 2), 6) AS rss2 FROM s WHERE n >= 8 AND v2 IS NOT NULL GROUP BY pol""")
 def granger_lags(t: Tables, least: int = 8) -> DataFrame:
     w = Window.partitionBy("pol").orderBy("ts", "event_id")
     s = t.event.select("pol", "value", F.lag("value", 1).over(w).alias("v1"), F.lag("value", 2).over(w).alias("v2"), F.count(F.lit(1)).over(Window.partitionBy("pol")).alias("n"))
-    square = lambda x: F.round(F.sum(x * x), 3)
+    square = lambda x: F.round(F.sum(x * x), 6)
     return s.filter((F.col("n") >= least) & F.col("v2").isNotNull()).groupBy("pol").agg(square(F.col("value") - F.col("v1")).alias("rss1"), square(F.col("value") - (F.col("v1") + F.col("v2")) / 2).alias("rss2"))
 
 
