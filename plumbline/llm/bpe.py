@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CACHE_PIECES = 250_000
+#: Characters of text that are cut into pieces at once.
+TEXT_CHARS = 2_000_000
 _NONE = 1 << 62
 #: The file's pre-tokenizer pattern on lower-case ASCII without white space.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -190,7 +192,7 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Adds pieces (no white space inside) to the table, each with its ids and its decoded text."""
-        if len(self.good) + len(self.bad) > 4_000_000:
+        if len(self.good) + len(self.bad) > 2_000_000:
             self.good = self.bad = np.zeros(0, np.int64)
         parts: dict[str, list[str | int]] = {}
         words: set[str] = set()
@@ -230,20 +232,19 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """For each whole text its ids as little-endian unsigned 32-bit integers, and their decoded text in UTF-8."""
         out: list[tuple[bytes, bytes]] = []
-        split = [self.split(t) for t in texts]
         at = 0
-        while at < len(split):
-            # as many texts at once as the table holds, one at least
-            wanted: set[str] = set(split[at])
-            end = at + 1
-            while end < len(split) and len(wanted) + len(split[end]) <= CACHE_PIECES:
-                wanted.update(split[end])
+        while at < len(texts):
+            # as many texts at once as come to TEXT_CHARS characters, one at least
+            size, end = 0, at
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TEXT_CHARS):
+                size += len(texts[end])
                 end += 1
-            missing = self.pieces.missing(wanted)
+            split = [self.split(t) for t in texts[at:end]]
+            missing = self.pieces.missing({p for pieces in split for p in pieces})
             if missing:
                 self.learn(missing)
             known = self.pieces.young
-            for pieces in split[at:end]:
+            for pieces in split:
                 found = [known[p] for p in pieces]
                 out.append((b"".join([f[0] for f in found]), b" ".join([f[1] for f in found if f[0]])))
             at = end
