@@ -17,8 +17,10 @@ bucket. Candidates are verified by alignment of the
 k-mer sequences within the band that the similarity leaves possible. (3) Verified links
 are joined into components. (4) Buckets that still hold classes of several components are
 compared across components, pair by pair up to BLOCK members and with ROUNDS further heads
-beyond (there a link may be missed that no other of the pair's buckets shows; see README);
-then components are joined again. The result is the connected components of verified links.
+beyond; then components are joined again. (5) Buckets of more than BLOCK members that even then
+hold several components are compared exactly, cell by cell: a cell is two blocks of a bucket, its
+common k-mers are counted at once and pairs that have enough of them are aligned. No bucket
+keeps an uncompared pair of two components. The result is the connected components of verified links.
 
 Scale. Sketching is map-only; buckets, links and labels are narrow rows keyed by hashes;
 only texts that are in a candidate pair are read again. Lineage is cut by written tables.
@@ -49,9 +51,12 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCHES = 24
 PICKS = 4
-#: Open members of a bucket that are compared pair by pair; beyond it, further heads.
+#: Open members of a bucket that are compared pair by pair; beyond it, further heads come first and cells do the rest.
 BLOCK = 24
 ROUNDS = 3
+#: Members and k-mers of a block of a cell, on average.
+CELL_MEMBERS = 512
+CELL_KMERS = 1_000_000
 _WORD = re.compile(r"\w+")
 #: Odd multipliers of the hash functions come from this generator.
 _MULTIPLIERS = np.random.default_rng(977).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,9 +184,9 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts align. Only texts in a pair are read; their ids are a written table, so that Spark knows its size and picks the join."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+def sequences_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and k-mer sequence of the texts of ids (distinct). Only these texts are read; their ids are a written table, so that Spark knows its size and picks the join."""
+    wanted = cut(ids)
     texts = docs.selectExpr("cast(doc_id as bigint) id", "cast(text as string) text").join(wanted, "id", "left_semi")
 
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,16 +199,23 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     # of rows that share a doc_id one text stands for all
     if found.count() > wanted.count():
         found = cut(found.groupBy("id").agg(F.min("seq").alias("seq")))
-    sided = pairs.join(found.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
+    return found
+
+
+def unique(raw: bytes) -> np.ndarray:
+    """The sequence with chance repeats of its 32-bit k-mers told apart, as labelled k-mers occur once."""
+    k = np.frombuffer(raw, np.uint32).astype(np.uint64)
+    order = np.argsort(k, kind="stable")
+    s = k[order]
+    start = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))
+    k[order] += (np.arange(len(s)) - start).astype(np.uint64) << np.uint64(32)
+    return k
+
 
-    def unique(raw: bytes) -> np.ndarray:
-        """The sequence with chance repeats of its 32-bit k-mers told apart, as labelled k-mers occur once."""
-        k = np.frombuffer(raw, np.uint32).astype(np.uint64)
-        order = np.argsort(k, kind="stable")
-        s = k[order]
-        start = np.maximum.accumulate(np.where(np.r_[True, s[1:] != s[:-1]], np.arange(len(s)), 0))
-        k[order] += (np.arange(len(s)) - start).astype(np.uint64) << np.uint64(32)
-        return k
+def verify(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose texts align."""
+    found = sequences_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+    sided = pairs.join(found.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,6 +226,81 @@ def verify(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) ->
     return sided.select("a", "b", "x", "y").mapInArrow(align, "a long, b long")
 
 
+def common_kmers(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
+    """The numbers of k-mers that each sequence of left shares with each of right, by products of slabs of the incidence matrices."""
+    shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    out = np.zeros((len(left), len(right)), np.float32)
+    places = []
+    for side in (left, right):
+        row = np.repeat(np.arange(len(side)), [len(k) for k in side])
+        k = np.concatenate(side)
+        at = np.searchsorted(shared, k)
+        held = at < len(shared)
+        held[held] = shared[at[held]] == k[held]
+        order = np.argsort(at[held], kind="stable")
+        places.append((row[held][order], at[held][order], len(side)))
+    for low in range(0, len(shared), slab):
+        width = min(slab, len(shared) - low)
+        parts = []
+        for row, at, size in places:
+            a, b = np.searchsorted(at, [low, low + width])
+            x = np.zeros((size, width), np.float32)
+            x[row[a:b], at[a:b] - low] = 1
+            parts.append(x)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def cell_links(ids: list[int], roots: list[int], codes: list[int], seqs: list[bytes], left: int, right: int, similarity: float) -> list[tuple[int, int]]:
+    """Links that join all components of a cell that any aligned pair of its two blocks joins; pairs joined by earlier links are skipped."""
+    k = [unique(x) for x in seqs]
+    x, y = ([i for i, c in enumerate(codes) if c == side] for side in (left, right))
+    if not x or not y:
+        return []
+    common = common_kmers([k[i] for i in x], [k[j] for j in y])
+    n = np.array([len(v) for v in k])
+    both = n[x][:, None] + n[y][None, :]
+    enough = (common >= np.ceil(similarity * both / (1 + similarity) - 1e-9)) & (np.array(roots)[x][:, None] != np.array(roots)[y][None, :])
+    parent: dict[int, int] = {}
+
+    def top(r: int) -> int:
+        while parent.get(r, r) != r:
+            r = parent[r] = parent.get(parent[r], parent[r])
+        return r
+
+    out = []
+    for p, q in zip(*np.nonzero(enough), strict=True):
+        i, j = x[p], y[q]
+        a, b = top(roots[i]), top(roots[j])
+        if a != b and alignment(k[i], k[j], similarity) >= similarity:
+            parent[max(a, b)] = min(a, b)
+            out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+    return out
+
+
+def cells(docs: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) across components in the buckets of open_ (bucket, id, n, root), every pair of different roots compared.
+
+    The fullest component of a bucket needs no comparison within itself, so its blocks meet the other members' blocks only."""
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("k"))
+    blocks = lambda m, k: F.greatest(F.lit(1), F.ceil(m / CELL_MEMBERS), F.ceil(k / CELL_KMERS)).cast("int")
+    shape = sizes.groupBy("bucket").agg(F.max(F.struct("m", "k", "root")).alias("full"), F.sum("m").alias("m"), F.sum("k").alias("k"))
+    shape = cut(shape.select("bucket", F.col("full.root").alias("_full"), blocks(F.col("m") - F.col("full.m"), F.col("k") - F.col("full.k")).alias("_others"), blocks(F.col("full.m"), F.col("full.k")).alias("_fulls")))
+    drawn = lambda k: F.pmod(F.xxhash64("id"), F.col(k)).cast("int")
+    other = F.col("root") != F.col("_full")
+    placed = open_.join(shape, "bucket").withColumn("code", F.when(other, drawn("_others")).otherwise(F.col("_others") + drawn("_fulls")))
+    meets = F.sequence(F.lit(0), F.when(other, F.col("_others") + F.col("_fulls") - 1).otherwise(F.col("_others") - 1))
+    placed = placed.select("bucket", "id", "root", "code", meets.alias("meets")).join(sequences_of(docs, open_.select("id").distinct()), "id")
+    dealt = placed.withColumn("with", F.explode("meets")).select("bucket", F.least("code", "with").alias("left"), F.greatest("code", "with").alias("right"), "id", "root", "code", "seq")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t = table.select(["id", "root", "code", "seq"]).to_pydict()
+        links = cell_links(t["id"], t["root"], t["code"], t["seq"], key[1].as_py(), key[2].as_py(), similarity)
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return dealt.groupBy("bucket", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its near copies), copy_id (smallest doc_id of equal words), n_copies and n_links of every row of docs."""
     rows = cut(classes_of(docs))
@@ -249,6 +336,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         links = cut(links.union(verify(docs, across, similarity)))
         found = cut(components(links))
 
+    # full buckets that still hold several components: every pair of different ones, cell by cell
+    left = full.drop("root", "_size").join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    still = left.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low <> _high").select("bucket")
+    left = cut(left.join(still, "bucket"))
+    if not left.isEmpty():
+        # a pair compared before differs in root, so it did not align and does not again
+        links = cut(links.union(cells(docs, left, similarity)))
+        found = cut(components(links))
+
     degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
     # the smallest doc_id of a component is its root
     named = classes.select("class", "id", "n_copies").join(found.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
