@@ -71,7 +71,7 @@ def clean_record(t: Tables) -> DataFrame:
 @query("sc10_key_score", """, k AS (SELECT comp, name, CASE WHEN comp % 2 = 0 THEN 'K' || comp % 7 END AS cin FROM company WHERE comp < 50) SELECT a.comp AS a, b.comp AS b, CASE WHEN a.cin IS NOT NULL AND b.cin IS NOT NULL THEN CASE WHEN a.cin = b.cin THEN 1.0 ELSE 0.0 END WHEN a.cin IS NOT NULL THEN 0.0 END AS score FROM k a JOIN k b ON a.comp < b.comp AND left(a.name, 9) = left(b.name, 9)""")
 def key_score(t: Tables) -> DataFrame:
     """The first key present on both decides; a key on the first alone decides against; else names would."""
-    k = t.company.filter("comp < 50").select("comp", F.substring("name", 1, 9).alias("block"), F.when(F.col("comp") % 2 == 0, F.concat(F.lit("K"), (F.col("comp") % 7).cast("string"))).alias("cin"))
+    k = t.company.select("comp", F.substring("name", 1, 9).alias("block"), F.when(F.col("comp") % 2 == 0, F.concat(F.lit("K"), (F.col("comp") % 7).cast("string"))).alias("cin"))
     a, b = k.select(F.col("comp").alias("a"), "block", F.col("cin").alias("ca")), k.select(F.col("comp").alias("b"), "block", F.col("cin").alias("cb"))
     both = F.col("ca").isNotNull() & F.col("cb").isNotNull()
     score = F.when(both, F.when(F.col("ca") == F.col("cb"), 1.0).otherwise(0.0)).when(F.col("ca").isNotNull(), 0.0)
