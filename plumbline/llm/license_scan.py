@@ -151,7 +151,8 @@ def scan(text: str, machine) -> dict:
     folded = raw.lower()
     at = folded.find(TAG.encode())
     while at >= 0:
-        rest = folded[at + len(TAG) : at + len(TAG) + 4096].split(b"\n", 1)[0].decode("utf-8", "replace")
+        end = folded.find(b"\n", at)
+        rest = folded[at + len(TAG) : end if end >= 0 else len(folded)].decode("utf-8", "replace")
         postfix = parse(_EXPRESSION.match(rest)[1])
         if postfix:
             named, sure = evaluate(postfix)

@@ -97,3 +97,9 @@ def test_expressions():
     assert run("gpl-2.0+ with gcc-exception-2.0") == (frozenset({"gpl-2"}), 1.0)
     assert license_scan.parse("and mit") is None and license_scan.parse("(mit") is None and license_scan.parse("") is None
     assert license_scan.parse("mit this is text") == ["mit"]
+
+
+def test_long_license_expression():
+    """An expression is read to the end of its line, however long."""
+    text = "SPDX-License-Identifier: (" + "MIT OR " * 900 + "Apache-2.0)\nand GPL-3.0"
+    assert license_scan.scan(text, license_scan.automaton())["labels"] == "apache-2,mit"
