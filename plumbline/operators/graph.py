@@ -68,10 +68,8 @@ def cycles(t: Tables, most: int = 6) -> DataFrame:
     return out
 
 
-@query("gr04_components", """, e AS (SELECT 'p' || pol AS a, 'c' || comp AS b FROM director UNION SELECT 'c' || comp, 'p' || pol FROM director UNION SELECT 'c' || src, 'c' || dst FROM owns UNION SELECT 'c' || dst, 'c' || src FROM owns), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM r GROUP BY id) GROUP BY root""")
-def component_sizes(t: Tables) -> DataFrame:
-    """Connected components by smallest label with pointer jumping."""
-    e = settle(undirected(t))
+def labels(e: DataFrame) -> DataFrame:
+    """id and root, the smallest vertex of its component, of the settled edges e (src, dst, both ways)."""
     label = settle(e.select(F.col("src").alias("id")).distinct().withColumn("root", F.col("id")))
     while True:
         near = e.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("root").alias("low"))
@@ -79,10 +77,16 @@ def component_sizes(t: Tables) -> DataFrame:
         jump = label.select(F.col("id").alias("new"), F.col("root").alias("beyond"))
         after = settle(lower.join(jump, "new").select("id", "root", F.least("new", "beyond").alias("new")))
         if after.filter("root <> new").isEmpty():
-            return label.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+            return label
         label = after.select("id", F.col("new").alias("root"))
 
 
+@query("gr04_components", """, e AS (SELECT 'p' || pol AS a, 'c' || comp AS b FROM director UNION SELECT 'c' || comp, 'p' || pol FROM director UNION SELECT 'c' || src, 'c' || dst FROM owns UNION SELECT 'c' || dst, 'c' || src FROM owns), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM r GROUP BY id) GROUP BY root""")
+def component_sizes(t: Tables) -> DataFrame:
+    """Connected components by smallest label with pointer jumping."""
+    return labels(settle(undirected(t))).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("gr01_pagerank")
 def pagerank(t: Tables, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """PageRank with uniform redistribution of dangling mass; parallel edges count once."""
@@ -130,10 +134,8 @@ def betweenness(t: Tables) -> DataFrame:
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
         return pd.DataFrame({"id": list(score), "score": [round(x * scale, 8) for x in score.values()]})
 
-    e = undirected(t)
-    root = e.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("root"))
-    for _ in range(6):
-        root = settle(e.join(root.withColumnRenamed("src", "dst"), "dst").groupBy("src").agg(F.min("root").alias("root")))
+    e = settle(undirected(t))
+    root = labels(e).withColumnRenamed("id", "src")
     return e.join(root, "src").groupBy("root").applyInPandas(brandes, "id string, score double")
 
 
