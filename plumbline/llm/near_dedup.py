@@ -28,8 +28,11 @@ Nothing is collected but counts that end the loop.
 
 Defined results: a text without words is in a class of its own; a text of fewer than five
 words is one k-mer, so only texts of equal words are its copies; repeated rows are
-copies; rows that share a doc_id and differ in text count as one document; a null doc_id
-is in no group unless its words equal those of a row that has one, and its class_id is null.
+copies; rows that share a doc_id and differ in text are different texts, each compared for
+itself; a null doc_id is in no group unless its words equal those of a row that has one, and
+its class_id is null. Of the rows of a group keep_one keeps that of the smallest doc_id, of
+several texts with it the one with the smallest hash, and of its repeated rows the one that
+is first as JSON; rows with a null doc_id or without words always stay.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut
+from plumbline.llm.common import cut, released, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -57,6 +60,8 @@ ROUNDS = 3
 #: Members and k-mers of a block of a cell, on average.
 CELL_MEMBERS = 512
 CELL_KMERS = 1_000_000
+#: Hash values that one step of sketching holds.
+HASHED = 1 << 20
 _WORD = re.compile(r"\w+")
 #: Odd multipliers of the hash functions come from this generator.
 _MULTIPLIERS = np.random.default_rng(977).integers(1, 2**63, SKETCHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -105,17 +110,16 @@ def kmers(words: list[str]) -> np.ndarray:
 
 def sketch(k: np.ndarray) -> np.ndarray:
     """One key for each hash function: the PICKS smallest k-mers under it, in text order."""
-    out = np.zeros(SKETCHES, np.uint64)
     picks = min(PICKS, len(k))
-    for i, m in enumerate(_MULTIPLIERS):
-        h = k * m
+    out = np.arange(1, SKETCHES + 1, dtype=np.uint64)
+    step = max(1, HASHED // len(k))
+    for low in range(0, SKETCHES, step):
+        h = k * _MULTIPLIERS[low : low + step, None]
         h ^= h >> np.uint64(29)
-        at = np.sort(np.argpartition(h, picks - 1)[:picks]) if len(h) > picks else np.arange(len(h))
-        key = np.uint64(i + 1)
-        for v in h[at]:
-            key = np.uint64((int(key) * 0x9E3779B97F4A7C15 + int(v)) & 0xFFFFFFFFFFFFFFFF)
-            key ^= key >> np.uint64(32)
-        out[i] = key
+        at = np.sort(np.argpartition(h, picks - 1, axis=1)[:, :picks], axis=1) if len(k) > picks else np.broadcast_to(np.arange(len(k)), h.shape)
+        for v in np.take_along_axis(h, at, axis=1).T:
+            key = out[low : low + step] * np.uint64(0x9E3779B97F4A7C15) + v
+            out[low : low + step] = key ^ (key >> np.uint64(32))
     return out
 
 
@@ -149,21 +153,35 @@ def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> f
     return length / (n - length) if length >= need else 0.0
 
 
+def name_of(words: list[str]) -> str:
+    """The name of a class: the 128-bit hash of its words."""
+    return xxhash.xxh3_128_hexdigest(" ".join(words))
+
+
+def node_of(name: str) -> int:
+    """A class's node: the high 64 bits of its name, signed."""
+    return int.from_bytes(bytes.fromhex(name[:16]), "big", signed=True)
+
+
 def classes_of(docs: DataFrame) -> DataFrame:
-    """id, class (hex of the words' 128-bit hash; null without words), n k-mers and the sketch, of every row of docs."""
+    """id, h (hash of the text), class (hex of the words' 128-bit hash; null without words), node, n k-mers and the sketch, of every row of docs."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, sizes, keys = [], [], []
-            for text in batch.column(1).to_pylist():
-                w = words_of(text or "")
-                names.append(xxhash.xxh3_128_hexdigest(" ".join(w)) if w else None)
+            for text in batch.column(2).to_pylist():
+                w = words_of(text)
+                names.append(name_of(w) if w else None)
                 k = kmers(w)
                 sizes.append(len(k))
                 keys.append(sketch(k).view(np.int64) if len(k) else None)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "class": pa.array(names, pa.string()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            nodes = [None if x is None else node_of(x) for x in names]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "h": batch.column(1), "class": pa.array(names, pa.string()), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+        _word_hash.clear()
 
-    return docs.selectExpr("cast(doc_id as bigint) id", "cast(text as string) text").mapInArrow(run, "id long, class string, n int, keys array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
+    return rows.mapInArrow(run, "id long, h long, class string, node long, n int, keys array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -184,21 +202,29 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def sequences_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """id and k-mer sequence of the texts of ids (distinct). Only these texts are read; their ids are a written table, so that Spark knows its size and picks the join."""
-    wanted = cut(ids)
-    texts = docs.selectExpr("cast(doc_id as bigint) id", "cast(text as string) text").join(wanted, "id", "left_semi")
+def sequences_of(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """id (node) and k-mer sequence of the nodes (id, distinct). Only their texts are read, by the doc_ids of `known` (id, doc); the wanted ones are a written table, so that Spark knows its size and picks the join."""
+    wanted = cut(known.join(nodes, "id", "left_semi"))
+    texts = docs.selectExpr("cast(doc_id as bigint) doc", "cast(text as string) text").join(wanted, "doc").select("id", "text")
 
+    @released
     def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = [kmers(words_of(t or "")) for t in batch.column(1).to_pylist()]
-            # 32 bits are enough for a sequence: a pair's k-mers are few against 2^32, and a chance match must also lie in order and band
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "seq": pa.array([(x >> np.uint64(32)).astype(np.uint32).tobytes() for x in k], pa.binary())})
+            ids, found = [], []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                w = words_of(text or "")
+                # another text of the same doc_id is another node
+                if w and node_of(name_of(w)) == node:
+                    ids.append(node)
+                    # 32 bits are enough for a sequence: a pair's k-mers are few against 2^32, and a chance match must also lie in order and band
+                    found.append((kmers(w) >> np.uint64(32)).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "seq": pa.array(found, pa.binary())})
+        _word_hash.clear()
 
     found = cut(texts.mapInArrow(sequences, "id long, seq binary"))
-    # of rows that share a doc_id one text stands for all
+    # repeated rows of a doc_id have equal sequences
     if found.count() > wanted.count():
-        found = cut(found.groupBy("id").agg(F.min("seq").alias("seq")))
+        found = cut(found.groupBy("id").agg(F.first("seq").alias("seq")))
     return found
 
 
@@ -212,15 +238,16 @@ def unique(raw: bytes) -> np.ndarray:
     return k
 
 
-def verify(docs: DataFrame, pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose texts align."""
-    found = sequences_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
+def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts align."""
+    found = sequences_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), known)
     sided = pairs.join(found.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
 
+    @released
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table = batch.to_pydict()
-            close = [alignment(unique(x), unique(y), similarity) >= similarity for x, y in zip(table["x"], table["y"], strict=True)]
+            x, y = batch.column(2), batch.column(3)
+            close = [alignment(unique(x[k].as_buffer()), unique(y[k].as_buffer()), similarity) >= similarity for k in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
     return sided.select("a", "b", "x", "y").mapInArrow(align, "a long, b long")
@@ -278,7 +305,7 @@ def cell_links(ids: list[int], roots: list[int], codes: list[int], seqs: list[by
     return out
 
 
-def cells(docs: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
+def cells(docs: DataFrame, open_: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) across components in the buckets of open_ (bucket, id, n, root), every pair of different roots compared.
 
     The fullest component of a bucket needs no comparison within itself, so its blocks meet the other members' blocks only."""
@@ -290,7 +317,7 @@ def cells(docs: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
     other = F.col("root") != F.col("_full")
     placed = open_.join(shape, "bucket").withColumn("code", F.when(other, drawn("_others")).otherwise(F.col("_others") + drawn("_fulls")))
     meets = F.sequence(F.lit(0), F.when(other, F.col("_others") + F.col("_fulls") - 1).otherwise(F.col("_others") - 1))
-    placed = placed.select("bucket", "id", "root", "code", meets.alias("meets")).join(sequences_of(docs, open_.select("id").distinct()), "id")
+    placed = placed.select("bucket", "id", "root", "code", meets.alias("meets")).join(sequences_of(docs, open_.select("id").distinct(), known), "id")
     dealt = placed.withColumn("with", F.explode("meets")).select("bucket", F.least("code", "with").alias("left"), F.greatest("code", "with").alias("right"), "id", "root", "code", "seq")
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -301,13 +328,15 @@ def cells(docs: DataFrame, open_: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("bucket", "left", "right").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its near copies), copy_id (smallest doc_id of equal words), n_copies and n_links of every row of docs."""
+def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """For every row of docs: id, h (hash of its text), class, its group's first row (struct of id and h), copy_id, n_copies and n_links; written."""
     rows = cut(classes_of(docs))
-    # one row a class, known by its smallest doc_id from here on; the sketches of equal texts are equal
-    classes = cut(rows.filter("class is not null").groupBy("class").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    # one row a class; the sketches of equal texts are equal. A class without any doc_id is in no pair
+    first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("first")
+    classes = cut(rows.filter("class is not null").groupBy("class").agg(first, F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    known = classes.filter("first is not null").select(F.col("node").alias("id"), F.col("first.id").alias("doc"))
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
-    spread = classes.filter("id is not null").select("id", "n", F.posexplode("keys").alias("_i", "_key")).select("id", "n", F.xxhash64("_i", "_key").alias("bucket"))
+    spread = classes.filter("first is not null").select(F.col("node").alias("id"), "n", F.posexplode("keys").alias("_i", "_key")).select("id", "n", F.xxhash64("_i", "_key").alias("bucket"))
     crowded = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
     members = cut(spread.join(crowded, "bucket"))
     # the head of a bucket is the member whose other buckets are fullest: an original before its edited copies
@@ -316,7 +345,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     heads = cut(weighed.groupBy("bucket").agg(F.min(F.struct((-F.col("weight")).alias("weight"), "id", "n")).alias("head")))
     stars = weighed.join(heads, "bucket").filter((F.col("id") != F.col("head.id")) & alike(F.col("n"), F.col("head.n")))
     stars = cut(stars.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")).distinct())
-    links = cut(verify(docs, stars, similarity))
+    links = cut(verify(docs, stars, known, similarity))
     found = cut(components(links))
 
     # across components: classes of one bucket that are not joined yet. In buckets of up to BLOCK open members each is compared with each
@@ -333,7 +362,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         across = across.union(other.select(F.least("id", "head.id").alias("a"), F.greatest("id", "head.id").alias("b")))
     across = cut(across.distinct().join(stars, ["a", "b"], "left_anti"))
     if not across.isEmpty():
-        links = cut(links.union(verify(docs, across, similarity)))
+        links = cut(links.union(verify(docs, across, known, similarity)))
         found = cut(components(links))
 
     # full buckets that still hold several components: every pair of different ones, cell by cell
@@ -342,17 +371,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     left = cut(left.join(still, "bucket"))
     if not left.isEmpty():
         # a pair compared before differs in root, so it did not align and does not again
-        links = cut(links.union(cells(docs, left, similarity)))
+        links = cut(links.union(cells(docs, left, known, similarity)))
         found = cut(components(links))
 
-    degree = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    # the smallest doc_id of a component is its root
-    named = classes.select("class", "id", "n_copies").join(found.withColumnRenamed("node", "id"), "id", "left").join(degree, "id", "left")
-    named = cut(named.select("class", F.col("id").alias("copy_id"), F.coalesce("root", "id").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    out = rows.select("id", "class").join(named, "class", "left")
-    return out.select(
+    degree = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    named = classes.select("class", "node", "first", "n_copies").join(found, "node", "left").join(degree, "node", "left")
+    named = cut(named.select("class", "first", F.when(F.col("first").isNotNull(), F.coalesce("root", "node")).alias("root"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
+    groups = named.filter("root is not null").groupBy("root").agg(F.min("first").alias("group"))
+    named = cut(named.join(groups, "root", "left").select("class", F.col("first.id").alias("copy_id"), "group", "n_copies", "n_links"))
+    return cut(rows.select("id", "h", "class").join(named, "class", "left"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id (smallest doc_id of its near copies), copy_id (smallest doc_id of equal words), n_copies and n_links of every row of docs."""
+    return grouped(docs, similarity).select(
         F.col("id").alias("doc_id"),
-        F.when(F.col("id").isNotNull(), F.coalesce("class_id", "id")).alias("class_id"),
+        F.when(F.col("id").isNotNull(), F.coalesce("group.id", "id")).alias("class_id"),
         F.when(F.col("id").isNotNull(), F.coalesce("copy_id", "id")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -360,12 +394,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with all columns, that are the first (smallest doc_id) of their near copies; of repeated rows of that doc_id one."""
-    found = cut(near_duplicates(docs, similarity))
-    drop = found.filter("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(drop, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    repeated = found.filter("doc_id is not null and doc_id = class_id and n_copies > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("_id"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").unionByName(once)
+    """The rows of docs, with all columns, that are the first of their near copies; of repeated rows one."""
+    found = grouped(docs, similarity).filter("id is not null and group is not null")
+    first = (F.col("id") == F.col("group.id")) & (F.col("h") == F.col("group.h"))
+    drop = found.filter(~first).select("id", "h").distinct()
+    repeated = found.filter(first).groupBy("id", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id", "h")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("h"))
+    kept = keyed.join(drop, ["id", "h"], "left_anti")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, ["id", "h"], "left_semi").groupBy("id", "h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(repeated, ["id", "h"], "left_anti").select("row").union(once.select("row"))
+    return kept.select("row.*")
