@@ -14,11 +14,14 @@ logistic curve are fitted on calibration rows that gave no counts. A document's
 the curve at its evidence: the largest normalised segment and the sum of the significant ones.
 
 Distribution. Training takes a sample of at most SAMPLE labelled rows, chosen by a hash of
-doc_id (a documented bound; rows of the held-out fold never), broadcast as ids; counts are
-summed per bucket before they reach the driver (at most BUCKETS rows). Scoring is map-only.
+doc_id (a documented bound; rows of the held-out fold never), broadcast as ids; their texts
+are written once and read by the training passes. Counts are summed per bucket before they
+reach the driver (at most BUCKETS rows); calibration returns two numbers a sampled row. Scoring is map-only.
 
 Defined results: null and empty texts score as texts without evidence; texts with the same
-words score the same; where no usable labels exist every score is 0 and predicted 0.
+words score the same; a null doc_id is never held out nor learned from; long texts are scored
+whole; of several labels of a doc_id the larger counts; where no usable labels exist every
+score is 0 and predicted 0.
 """
 
 from __future__ import annotations
@@ -29,10 +32,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import cut, released
+
 BUCKETS = 1 << 18
 SAMPLE = 20_000
 PREFIXES = (3, 4, 5, 6, 7)
@@ -95,7 +101,10 @@ class Model:
 
     def evidence(self, text: str) -> tuple[float, float, list[tuple[int, int, float]]]:
         """The largest normalised segment score, the sum of the significant ones, and those segments."""
-        scores = self.tokens(text)
+        return self.weigh(self.tokens(text))
+
+    def weigh(self, scores: list[float]) -> tuple[float, float, list[tuple[int, int, float]]]:
+        """The same of a text's token scores."""
         found = segments(scores)
         if not found:
             return 0.0, 0.0, []
@@ -104,11 +113,13 @@ class Model:
         kept = [x for x in bits if x[2] > 0]
         return max(0.0, max(x[2] for x in bits)), sum(x[2] for x in kept), kept
 
-    def score(self, text: str) -> float:
-        best, total, _ = self.evidence(text)
+    def curve_at(self, best: float, total: float) -> float:
         z = self.curve[0] + self.curve[1] * math.sqrt(best) + self.curve[2] * math.log1p(total)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
+    def score(self, text: str) -> float:
+        return self.curve_at(*self.evidence(text)[:2])
+
 
 def segments(scores: list[float]) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (start, end exclusive, score), by one scan with a stack."""
@@ -184,8 +195,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         .select("_id", "_toxic", "_part")
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text")).filter("_id is not null")
-    chosen = texts.join(F.broadcast(rows), "_id").select("_toxic", "_part", "_text")
+    chosen = cut(texts.join(F.broadcast(rows), "_id").select("_toxic", "_part", "_text"))
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, BUCKETS), np.int64)
         n = [0, 0]
@@ -211,12 +223,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     # The calibration rows: first the token scores of clean ones, as a histogram; then each row's evidence.
     edges = np.linspace(-CAP - DRIFT, CAP - DRIFT, 481)
 
+    @released
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(edges) - 1, np.int64)
         for batch in batches:
             for toxic, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part >= 7 and not toxic:
                     total += np.histogram(sent.value.tokens(text or ""), edges)[0]
+        sent.value.known.clear()
         yield pa.RecordBatch.from_pydict({"bin": pa.array(range(len(total)), pa.int64()), "n": pa.array(total, pa.int64())})
 
     bins = chosen.mapInArrow(histogram, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
@@ -227,29 +241,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     # expand the histogram to at most a million draws in proportion
     share = np.maximum(1, np.round(weight / weight.sum() * 1e6)).astype(int) * (weight > 0)
     model.lam = _fit_lambda(np.repeat(middle, share))
-    sent2 = docs.sparkSession.sparkContext.broadcast(model)
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent2.value
-        for batch in batches:
-            rows = []
-            for toxic, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if part >= 7:
-                    scores = m.tokens(text or "")
-                    best = max((s for _, _, s in segments(scores)), default=0.0)
-                    rows.append((toxic, best, len(scores), [s for _, _, s in segments(scores)]))
-            yield pa.RecordBatch.from_pydict({"toxic": pa.array([r[0] for r in rows], pa.int64()), "best": pa.array([r[1] for r in rows], pa.float64()), "n": pa.array([r[2] for r in rows], pa.int64()), "all": pa.array([sorted(r[3])[-64:] for r in rows], pa.list_(pa.float64()))})
-
-    rows = chosen.mapInArrow(measure, "toxic long, best double, n long, all array<double>").toPandas()
-    quiet = rows[rows.toxic == 0]
+    def measure(fit: Model, best_only: bool) -> pd.DataFrame:
+        """Per calibration row: toxic, n words and the evidence under `fit`: the best segment's score alone, or the normalised best and the significant sum."""
+        held = docs.sparkSession.sparkContext.broadcast(fit)
+
+        @released
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = held.value
+            for batch in batches:
+                found = []
+                for toxic, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if part >= 7:
+                        scores = m.tokens(text or "")
+                        best, total = (max((s for _, _, s in segments(scores)), default=0.0), 0.0) if best_only else m.weigh(scores)[:2]
+                        found.append((toxic, len(scores), best, total))
+                yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in found], kind) for k, (n, kind) in enumerate((("toxic", pa.int64()), ("n", pa.int64()), ("best", pa.float64()), ("total", pa.float64())))})
+            m.known.clear()
+
+        return chosen.mapInArrow(run, "toxic long, n long, best double, total double").toPandas()
+
+    rows = measure(model, True)
     # mean of a Gumbel variable: (log(K n) + 0.5772) / lambda
-    with_any = quiet[quiet.best > 0]
-    if len(with_any):
-        model.k = float(np.exp(np.median(model.lam * with_any.best - np.log(np.maximum(2, with_any.n))) - 0.3665))
-    shift = math.log(max(model.k, 1e-9)) + np.log(np.maximum(2, rows.n.to_numpy()))
-    best = np.maximum(0, model.lam * rows.best.to_numpy() - shift)
-    total = np.array([sum(max(0.0, model.lam * s - h) for s in x) for x, h in zip(rows["all"], shift, strict=True)])
-    model.curve = calibrate(best, total, rows.toxic.to_numpy(float))
+    quiet = rows[(rows.toxic == 0) & (rows.best > 0)]
+    if len(quiet):
+        model.k = float(np.exp(np.median(model.lam * quiet.best - np.log(np.maximum(2, quiet.n))) - 0.3665))
+    rows = measure(model, False)
+    model.curve = calibrate(rows.best.to_numpy(float), rows.total.to_numpy(float), rows.toxic.to_numpy(float))
     return model
 
 
@@ -260,13 +278,16 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
         return base.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0).cast("long").alias("n_passages"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             texts = [t or "" for t in batch.column(2).to_pylist()]
-            scores = [m.score(t) for t in texts]
-            passages = [len(m.evidence(t)[2]) if s >= 0.5 else 0 for t, s in zip(texts, scores, strict=True)]
+            found = [m.evidence(t) for t in texts]
+            scores = [m.curve_at(best, total) for best, total, _ in found]
+            passages = [len(kept) if s >= 0.5 else 0 for (_, _, kept), s in zip(found, scores, strict=True)]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(1), "score": pa.array(scores, pa.float64()), "predicted": pa.array([int(s >= 0.5) for s in scores], pa.int32()), "n_passages": pa.array(passages, pa.int64())})
+        m.known.clear()
 
     return base.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, n_passages long")
 
@@ -275,6 +296,7 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     """Every significant passage: doc_id, first word, word after the last, normalised score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(d, a, b, s) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for a, b, s in sent.value.evidence(t or "")[2]]
@@ -290,8 +312,10 @@ def keep_clean(docs: DataFrame, model: Model | None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([sent.value.score(t or "") < 0.5 for t in batch.column(at).to_pylist()], pa.bool_()))
+        sent.value.known.clear()
 
     return docs.mapInArrow(run, docs.schema)
