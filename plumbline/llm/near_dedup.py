@@ -14,11 +14,13 @@ Steps. (1) Texts with equal words are one class (hash of the words, 128 bits), w
 their number. (2) Each class meets, in each sketch's bucket, the bucket's smallest class if
 their lengths allow the similarity: links grow with the classes, not with the square of a
 bucket. Candidates are verified by alignment of the
-k-mer sequences within the band that the similarity leaves possible. (3) Verified links
+k-mer sequences within the band that the similarity leaves possible; a profile of about
+n / 2 counters (a lower bound of the difference) first rules out pairs that cannot reach it. (3) Verified links
 are joined into components. (4) Buckets that still hold classes of several components are
 compared across components, pair by pair up to BLOCK members and with ROUNDS further heads
 beyond; then components are joined again. (5) Buckets of more than BLOCK members that even then
-hold several components are compared exactly, cell by cell: a cell is two blocks of a bucket, its
+hold several components are compared exactly, cell by cell: a cell is two blocks of a bucket, whose
+profiles are compared at once; the pairs left are aligned, or where a cell has many of them its
 common k-mers are counted at once and pairs that have enough of them are aligned. No bucket
 keeps an uncompared pair of two components. The result is the connected components of verified links.
 
@@ -60,6 +62,10 @@ ROUNDS = 3
 #: Members and k-mers of a block of a cell, on average.
 CELL_MEMBERS = 512
 CELL_KMERS = 1_000_000
+#: Pairs that a cell hands on for alignment; with more of them it is compared as a whole.
+CELL_PAIRS = 4096
+#: Bins of a profile, least and most, as powers of two.
+BINS = (6, 13)
 #: Hash values that one step of sketching holds.
 HASHED = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -123,6 +129,31 @@ def sketch(k: np.ndarray) -> np.ndarray:
     return out
 
 
+def profile(k: np.ndarray) -> bytes | None:
+    """How many k-mers fall into each of about n / 2 bins by their highest bits, one byte a bin; None where a bin overflows."""
+    bits = min(BINS[1], max(BINS[0], (len(k) // 2).bit_length()))
+    counts = np.bincount((k >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def spread_of(n: np.ndarray | int, similarity: float) -> np.ndarray | int:
+    """The most k-mers in which two texts of n k-mers together may differ at that similarity."""
+    return n - 2 * np.ceil(similarity * n / (1 + similarity) - 1e-9).astype(np.int64)
+
+
+def folded(p: np.ndarray, bins: int) -> np.ndarray:
+    return p.reshape(*p.shape[:-1], bins, -1).sum(axis=-1)
+
+
+def apart(x: bytes | None, y: bytes | None) -> int:
+    """A lower bound of the number of k-mers that only one of two texts has: the bins' counts differ by no more."""
+    if x is None or y is None:
+        return 0
+    a, b = np.frombuffer(x, np.uint8).astype(np.int32), np.frombuffer(y, np.uint8).astype(np.int32)
+    bins = min(len(a), len(b))
+    return int(np.abs(folded(a, bins) - folded(b, bins)).sum())
+
+
 def alignment(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> float:
     """Ordered similarity of two labelled k-mer sequences, exact where it is at least `similarity`, else 0.
 
@@ -164,24 +195,25 @@ def node_of(name: str) -> int:
 
 
 def classes_of(docs: DataFrame) -> DataFrame:
-    """id, h (hash of the text), class (hex of the words' 128-bit hash; null without words), node, n k-mers and the sketch, of every row of docs."""
+    """id, h (hash of the text), class (hex of the words' 128-bit hash; null without words), node, n k-mers, the sketch and the profile, of every row of docs."""
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, keys, profiles = [], [], [], []
             for text in batch.column(2).to_pylist():
                 w = words_of(text)
                 names.append(name_of(w) if w else None)
                 k = kmers(w)
                 sizes.append(len(k))
                 keys.append(sketch(k).view(np.int64) if len(k) else None)
+                profiles.append(profile(k) if len(k) else None)
             nodes = [None if x is None else node_of(x) for x in names]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "h": batch.column(1), "class": pa.array(names, pa.string()), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "h": batch.column(1), "class": pa.array(names, pa.string()), "node": pa.array(nodes, pa.int64()), "n": pa.array(sizes, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64())), "profile": pa.array(profiles, pa.binary())})
         _word_hash.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_of()).alias("h"), text_of().alias("text"))
-    return rows.mapInArrow(run, "id long, h long, class string, node long, n int, keys array<long>")
+    return rows.mapInArrow(run, "id long, h long, class string, node long, n int, keys array<long>, profile binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -204,7 +236,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def sequences_of(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
     """id (node) and k-mer sequence of the nodes (id, distinct). Only their texts are read, by the doc_ids of `known` (id, doc); the wanted ones are a written table, so that Spark knows its size and picks the join."""
-    wanted = cut(known.join(nodes, "id", "left_semi"))
+    wanted = cut(known.select("id", "doc").join(nodes, "id", "left_semi"))
     texts = docs.selectExpr("cast(doc_id as bigint) doc", "cast(text as string) text").join(wanted, "doc").select("id", "text")
 
     @released
@@ -238,7 +270,24 @@ def unique(raw: bytes) -> np.ndarray:
     return k
 
 
-def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+def possible(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose profiles leave the similarity possible; written. An exact bound: no pair of that similarity goes."""
+    sided = pairs.select("a", "b")
+    for k in ("a", "b"):
+        sided = sided.join(known.select(F.col("id").alias(k), F.col("n").alias(f"{k}_n"), F.col("profile").alias(f"{k}_profile")), k)
+
+    @released
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("a_n").to_numpy().astype(np.int64) + batch.column("b_n").to_numpy()
+            most = spread_of(n, similarity)
+            fine = [apart(x, y) <= m for x, y, m in zip(batch.column("a_profile").to_pylist(), batch.column("b_profile").to_pylist(), most, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
+
+    return cut(sided.mapInArrow(test, "a long, b long"))
+
+
+def aligned(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The pairs (a, b) of nodes whose texts align."""
     found = sequences_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), known)
     sided = pairs.join(found.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
@@ -253,6 +302,36 @@ def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: floa
     return sided.select("a", "b", "x", "y").mapInArrow(align, "a long, b long")
 
 
+def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) of nodes whose texts align; only texts of pairs whose profiles allow it are read."""
+    return aligned(docs, possible(pairs, known, similarity), known, similarity)
+
+
+def close_profiles(n: list[int], profiles: list[bytes | None], left: list[int], right: list[int], similarity: float, slab: int = 1 << 22) -> np.ndarray:
+    """Whether the profiles of left x right leave the similarity possible, as a matrix."""
+    size = np.array(n, np.int64)
+    a, b = size[left][:, None], size[right][None, :]
+    fine = np.minimum(a, b) >= similarity * np.maximum(a, b)
+    most = spread_of(a + b, similarity)
+    held = [[k for k, i in enumerate(side) if profiles[i] is not None] for side in (left, right)]
+    widths = sorted({len(profiles[i]) for i in (*left, *right) if profiles[i] is not None})
+    of = lambda side, at, width: ([k for k in at if len(profiles[side[k]]) == width])
+    for p in widths:
+        rows = of(left, held[0], p)
+        for q in widths:
+            columns = of(right, held[1], q)
+            bins = min(p, q)
+            if not rows or not columns:
+                continue
+            x, y = (folded(np.stack([np.frombuffer(profiles[side[k]], np.uint8) for k in at]).astype(np.int32), bins).astype(np.int16) for side, at in ((left, rows), (right, columns)))
+            step = max(1, slab // (len(columns) * bins))
+            for low in range(0, len(rows), step):
+                part = rows[low : low + step]
+                gap = np.abs(x[low : low + step, None, :] - y[None, :, :]).sum(axis=2, dtype=np.int64)
+                fine[np.ix_(part, columns)] &= gap <= most[np.ix_(part, columns)]
+    return fine
+
+
 def common_kmers(left: list[np.ndarray], right: list[np.ndarray], slab: int = 4096) -> np.ndarray:
     """The numbers of k-mers that each sequence of left shares with each of right, by products of slabs of the incidence matrices."""
     shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
@@ -308,7 +387,8 @@ def cell_links(ids: list[int], roots: list[int], codes: list[int], seqs: list[by
 def cells(docs: DataFrame, open_: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) across components in the buckets of open_ (bucket, id, n, root), every pair of different roots compared.
 
-    The fullest component of a bucket needs no comparison within itself, so its blocks meet the other members' blocks only."""
+    The fullest component of a bucket needs no comparison within itself, so its blocks meet the other members' blocks only. A cell first
+    compares profiles; the few pairs that these leave are aligned one by one, and a cell that is left more than CELL_PAIRS takes the k-mers."""
     sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("k"))
     blocks = lambda m, k: F.greatest(F.lit(1), F.ceil(m / CELL_MEMBERS), F.ceil(k / CELL_KMERS)).cast("int")
     shape = sizes.groupBy("bucket").agg(F.max(F.struct("m", "k", "root")).alias("full"), F.sum("m").alias("m"), F.sum("k").alias("k"))
@@ -317,15 +397,39 @@ def cells(docs: DataFrame, open_: DataFrame, known: DataFrame, similarity: float
     other = F.col("root") != F.col("_full")
     placed = open_.join(shape, "bucket").withColumn("code", F.when(other, drawn("_others")).otherwise(F.col("_others") + drawn("_fulls")))
     meets = F.sequence(F.lit(0), F.when(other, F.col("_others") + F.col("_fulls") - 1).otherwise(F.col("_others") - 1))
-    placed = placed.select("bucket", "id", "root", "code", meets.alias("meets")).join(sequences_of(docs, open_.select("id").distinct(), known), "id")
-    dealt = placed.withColumn("with", F.explode("meets")).select("bucket", F.least("code", "with").alias("left"), F.greatest("code", "with").alias("right"), "id", "root", "code", "seq")
+    placed = placed.select("bucket", "id", "n", "root", "code", F.explode(meets).alias("with"))
+    placed = cut(placed.select("bucket", F.least("code", "with").alias("left"), F.greatest("code", "with").alias("right"), "id", "n", "root", "code"))
+    cell = ["bucket", "left", "right"]
+
+    def sift(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        t = table.select(["id", "n", "root", "code", "profile"]).to_pydict()
+        x, y = ([i for i, c in enumerate(t["code"]) if c == k.as_py()] for k in key[1:])
+        ids, roots = np.array(t["id"], np.int64), np.array(t["root"], np.int64)
+        a = b = np.zeros(0, np.int64)
+        if x and y:
+            p, q = np.nonzero(close_profiles(t["n"], t["profile"], x, y, similarity) & (roots[x][:, None] != roots[y][None, :]))
+            a, b = ids[np.array(x)[p]], ids[np.array(y)[q]]
+            if key[1] == key[2]:
+                a, b = a[p < q], b[p < q]
+        if len(a) > CELL_PAIRS:
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "left": pa.array([key[1].as_py()], pa.int32()), "right": pa.array([key[2].as_py()], pa.int32()), "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+        none = pa.nulls(len(a), pa.int64())
+        return pa.table({"bucket": none, "left": none.cast(pa.int32()), "right": none.cast(pa.int32()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    sifted = cut(placed.join(known.select("id", "profile"), "id").groupBy(*cell).applyInArrow(sift, "bucket long, left int, right int, a long, b long"))
+    links = aligned(docs, cut(sifted.filter("a is not null").select("a", "b").distinct()), known, similarity)
+    whole = sifted.filter("bucket is not null").select(*cell)
+    if whole.isEmpty():
+        return links
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         t = table.select(["id", "root", "code", "seq"]).to_pydict()
-        links = cell_links(t["id"], t["root"], t["code"], t["seq"], key[1].as_py(), key[2].as_py(), similarity)
-        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+        found = cell_links(t["id"], t["root"], t["code"], t["seq"], key[1].as_py(), key[2].as_py(), similarity)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("bucket", "left", "right").applyInArrow(compare, "a long, b long").distinct()
+    dealt = cut(placed.join(whole, cell, "left_semi"))
+    dealt = dealt.join(sequences_of(docs, dealt.select("id").distinct(), known), "id")
+    return links.union(dealt.groupBy(*cell).applyInArrow(compare, "a long, b long")).distinct()
 
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -333,8 +437,8 @@ def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = cut(classes_of(docs))
     # one row a class; the sketches of equal texts are equal. A class without any doc_id is in no pair
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("first")
-    classes = cut(rows.filter("class is not null").groupBy("class").agg(first, F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-    known = classes.filter("first is not null").select(F.col("node").alias("id"), F.col("first.id").alias("doc"))
+    classes = cut(rows.filter("class is not null").groupBy("class").agg(first, F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("profile").alias("profile")))
+    known = classes.filter("first is not null").select(F.col("node").alias("id"), F.col("first.id").alias("doc"), "n", "profile")
     alike = lambda a, b: F.least(a, b) >= F.lit(similarity) * F.greatest(a, b)
     spread = classes.filter("first is not null").select(F.col("node").alias("id"), "n", F.posexplode("keys").alias("_i", "_key")).select("id", "n", F.xxhash64("_i", "_key").alias("bucket"))
     crowded = cut(spread.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"))
