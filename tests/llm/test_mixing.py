@@ -80,12 +80,26 @@ def test_rows_of_the_mix_are_the_counts(spark, sf_dir):
     assert Counter(r.doc_id for r in out.select("doc_id").collect()) == Counter({k: v for k, v in counts.items() if v})
 
 
+def test_shards_are_disjoint_and_the_tree_decides(spark, monkeypatch):
+    """Each pass of a document lies in one shard; another split of the quotas gives another mix that meets the targets too."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    options = {"shards": 4, "block_rows": 16}
+    got = {r.doc_id: r for r in check(spark, docs, **options)}
+    assert all(len(r.shards.split(",")) == r.times if r.times else r.shards == "" for r in got.values())
+    assert {s for r in got.values() for s in r.shards.split(",") if s} == {"0", "1", "2", "3"}
+    skewed = lambda blocks, quotas, shards, seed: tuple(np.vstack([np.zeros((shards - 1, len(x)), np.int64), x]) for x in (blocks, quotas))
+    monkeypatch.setattr(mixing, "split_quotas", skewed)
+    other = {r.doc_id: r for r in check(spark, docs, **options)}
+    assert any(other[d].times != r.times for d, r in got.items())
+
+
 def test_tree():
-    quotas = np.array([0, 7, 1, 400, 33])
+    blocks, quotas = np.array([0, 9, 1, 500, 33]), np.array([0, 7, 1, 400, 0])
     for shards in (1, 2, 5, 64):
-        out = mixing.split_quotas(quotas, shards, 1)
-        assert (out.sum(axis=0) == quotas).all() and (out >= 0).all()
-        assert np.ptp(out.sum(axis=1)) <= max(1, int(np.log2(shards)) + 1)
-        assert (out == mixing.split_quotas(quotas, shards, 1)).all()
-    mean = np.mean([mixing.split_quotas(quotas, 4, s)[0] for s in range(400)], axis=0)
-    assert np.allclose(mean, quotas / 4, atol=1.5)
+        own, drawn = mixing.split_quotas(blocks, quotas, shards, 1)
+        assert (own.sum(axis=0) == blocks).all() and (drawn.sum(axis=0) == quotas).all()
+        assert (drawn >= 0).all() and (drawn <= own).all()
+        assert np.ptp(own.sum(axis=1)) <= max(1, int(np.log2(shards)) + 1)
+        assert all((a == b).all() for a, b in zip((own, drawn), mixing.split_quotas(blocks, quotas, shards, 1), strict=True))
+    mean = np.mean([mixing.split_quotas(blocks, quotas, 4, s) for s in range(400)], axis=0)[:, 0]
+    assert np.allclose(mean, [blocks / 4, quotas / 4], atol=1.5)
