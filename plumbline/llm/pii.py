@@ -7,11 +7,13 @@ possessive repeats, so they accept what the plain patterns accept in time linear
 
 Bootstrapping. Every token with a digit or an at sign is an instance with its place, a
 coarse shape and its contexts: the word before, the two words before, the word after.
-(context, shape) is a lexical pattern. Instances inside a base span are seeds and score 1.
-ROUNDS times, a pattern's confidence is the mean score of its instances, shrunk by SHRINK
-instances of score 0, and the score of an instance that is no seed is 1 - product(1 -
-confidence) over its confident patterns. Instances with at least two confident patterns
-and a score of ACCEPT or more become spans of kind `id`; base spans always stay.
+(context, shape) is a lexical pattern. Seeds score 1: instances inside a base span, and long
+strings of hexadecimal digits (SECRET), the form of keys and tokens. ROUNDS times, a
+pattern's confidence is the mean score of its instances, shrunk by SHRINK instances of score
+0, and the score of an instance that is no seed is 1 - product(1 - confidence) over its
+confident patterns. Instances outside base spans with at least two confident patterns and a
+score of ACCEPT or more become spans of kind `id`, so a seed's form alone, in a context that
+does not recur, is not enough; base spans always stay.
 
 Scale. One pass reads the texts and writes narrow rows (base spans, instances) to the
 shared folder; pattern scores are sums by key with partial aggregation; nothing is collected
@@ -19,7 +21,8 @@ or broadcast beyond what Spark decides from sizes it knows.
 
 Defined results: null and empty texts have no spans (base_sha256 of the empty string);
 repeated rows get equal results; instances of one text are scored in all rows that have it;
-columns other than doc_id and text are ignored.
+columns other than doc_id and text are ignored; a long text takes time in proportion to its
+length and (times the root) to its matches; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,6 +47,11 @@ PATTERNS = {
 _SPACE = r"\x20\x09-\x0D"
 TOKEN = rf"(?<![^{_SPACE}])[^{_SPACE}0-9@]*+[0-9@][^{_SPACE}]*+"
 
+#: Fixed value: the form of secrets that are seeds.
+SECRET = "^[0-9a-f]{32,}$"
+#: Matches whose places are summed in one block.
+RUN = 256
+
 ROUNDS = 2
 SHRINK = 3.0
 CONFIDENT = 0.8
@@ -56,27 +64,41 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>> of all matches, in code points, end exclusive."""
-    lengths = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+def running(sizes: Column) -> Column:
+    """For each size the sum of those before it: within blocks of RUN, then over the blocks, so that no long array is copied once per element."""
+    none = F.array().cast("array<int>")
+
+    def within(b: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), none.alias("all"))
+        return F.aggregate(F.slice(sizes, b * RUN + 1, F.lit(RUN)), zero, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")))
+
+    def over(acc: Column, b: Column) -> Column:
+        return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(F.transform(b["all"], lambda s: s + acc["at"]))).alias("all"))
 
-    def places(found: Column) -> Column:
-        def starts(gaps: Column) -> Column:
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / RUN).cast("int")), within)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("all"))
+    return F.flatten(F.aggregate(blocks, zero, over)["all"])
 
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.get(gaps, i)
-                return F.struct((start + F.length(F.get(found, i))).alias("at"), F.concat(acc["all"], F.array(start)).alias("all"))
 
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), zero, step)["all"]
+def matches(text: Column, pattern: str, around: bool = False) -> Column:
+    """array<struct<start, end, m>> of all matches, in code points, end exclusive; with `around` also the text between the match before the last and this one, and from it to the next one's end."""
+    kind = "array<struct<start:int,end:int,m:string" + (",left:string,right:string>>" if around else ">>")
 
-        return let(starts_of(lengths, starts), lambda s: F.transform(found, lambda m, i: F.struct(F.get(s, i).alias("start"), (F.get(s, i) + F.length(m)).alias("end"), m.alias("m"))))
+    def placed(found: Column, gaps: Column) -> Column:
+        sizes = F.transform(found, lambda m, i: F.length(F.get(gaps, i)) + F.length(m))
 
-    def starts_of(value: Column, body) -> Column:
-        return let(value, body)
+        def row(before: Column, m: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(gaps, i))
+            parts = [start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m")]
+            if around:
+                part = lambda array, k: F.coalesce(F.get(array, k), F.lit(""))
+                parts.append(F.concat(part(found, i - 2), part(gaps, i - 1), part(found, i - 1), F.get(gaps, i)).alias("left"))
+                parts.append(F.concat(F.get(gaps, i + 1), part(found, i + 1)).alias("right"))
+            return F.struct(*parts)
 
-    nothing = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, nothing).otherwise(places(found)))
+        return let(sizes, lambda z: let(running(z), lambda before: F.transform(found, lambda m, i: row(before, m, i))))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(kind)).otherwise(let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps))))
 
 
 def _small_parts(m: Column) -> Column:
@@ -117,27 +139,29 @@ def instances(text: Column) -> Column:
     """array<struct<start, end, core, before, before2, after>> of the tokens with a digit or an at sign, without the marks around them."""
 
     def context(x: Column) -> Column:
-        left = F.substring(text, F.greatest(x["start"] - 63, F.lit(1)), F.least(x["start"], F.lit(64)))
-        right = F.substring(text, x["end"] + 1, F.lit(48))
         core = F.regexp_extract(x["m"], r"[\p{L}0-9](?:.*[\p{L}0-9])?", 0)
         start = x["start"] + F.greatest(F.instr(x["m"], core) - 1, F.lit(0))
-        word = lambda side, pattern, k: F.lower(F.regexp_extract(side, pattern, k))
-        two = rf"([^{_SPACE}]++)[{_SPACE}]+([^{_SPACE}]++)[{_SPACE}]*$"
-        return F.struct(
-            start.alias("start"),
-            (start + F.length(core)).alias("end"),
-            core.alias("core"),
-            word(left, rf"(?:^|[{_SPACE}])([^{_SPACE}]++)[{_SPACE}]*$", 1).alias("before"),
-            F.concat(word(left, two, 1), F.lit(" "), word(left, two, 2)).alias("before2"),
-            word(right, rf"^[{_SPACE}]*([^{_SPACE}]++)", 1).alias("after"),
-        )
+        word = lambda words, k: F.coalesce(F.get(words, F.size(words) - k), F.lit(""))
+
+        def named(words: Column) -> Column:
+            return F.struct(
+                start.alias("start"),
+                (start + F.length(core)).alias("end"),
+                core.alias("core"),
+                F.lower(word(words, 1)).alias("before"),
+                F.lower(F.when(F.size(words) > 1, F.concat(word(words, 2), F.lit(" "), word(words, 1))).otherwise("")).alias("before2"),
+                F.lower(F.regexp_extract(x["right"], rf"^[{_SPACE}]*+([^{_SPACE}]++)", 1)).alias("after"),
+            )
+
+        return let(F.filter(F.split(x["left"], rf"[{_SPACE}]+"), lambda w: w != ""), named)
 
-    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(matches(text, TOKEN), context), lambda x: F.length(x["core"]) >= 4))
+    return F.when(text.rlike("[0-9@]"), F.filter(F.transform(matches(text, TOKEN, True), context), lambda x: F.length(x["core"]) >= 4))
 
 
 def shape(core: Column) -> Column:
-    """Coarse shape: digit runs to 9, letter runs to a."""
-    return F.regexp_replace(F.regexp_replace(core, "[0-9]+", "9"), r"\p{L}+", "a")
+    """Coarse shape: runs of letters and digits mixed to *, digit runs to 9, letter runs to a."""
+    mixed = F.regexp_replace(core, r"(?<![\p{L}0-9])(?:[0-9]++\p{L}|\p{L}++[0-9])[\p{L}0-9]*+", "*")
+    return F.regexp_replace(F.regexp_replace(mixed, "[0-9]+", "9"), r"\p{L}+", "a")
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -152,14 +176,14 @@ def discover(found: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     base = F.concat(*KINDS)
     each = found.filter(F.size("instances") > 0).select("doc_id", "h", base.alias("base"), F.explode("instances").alias("x"))
     inside = F.exists("base", lambda b: (b["start"] < F.col("x.end")) & (F.col("x.start") < b["end"]))
-    each = cut(each.select("doc_id", "h", F.col("x.start").alias("start"), F.col("x.end").alias("end"), inside.alias("seed"), shape(F.col("x.core")).alias("shape"), "x.before", "x.before2", "x.after").distinct())
+    each = cut(each.select("doc_id", "h", F.col("x.start").alias("start"), F.col("x.end").alias("end"), inside.alias("base"), (inside | F.col("x.core").rlike(SECRET)).alias("seed"), shape(F.col("x.core")).alias("shape"), "x.before", "x.before2", "x.after").distinct())
     contexts = F.array(*[F.struct(F.lit(k).alias("side"), F.col(k).alias("word")) for k in ("before", "before2", "after")])
-    nodes = each.select("doc_id", "h", "start", "end", "seed", F.explode(contexts).alias("c"), "shape").filter("trim(c.word) <> ''").select("doc_id", "h", "start", "end", "seed", F.xxhash64("c.side", "c.word", "shape").alias("pattern"))
+    nodes = each.select("doc_id", "h", "start", "end", "base", "seed", F.explode(contexts).alias("c"), "shape").filter("trim(c.word) <> ''").select("doc_id", "h", "start", "end", "base", "seed", F.xxhash64("c.side", "c.word", "shape").alias("pattern"))
     key = ["doc_id", "h", "start", "end"]
     scored = nodes.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
         patterns = scored.groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SHRINK)).alias("confidence")).filter(F.col("confidence") >= CONFIDENT)
-        loose = nodes.filter("not seed").join(patterns, "pattern")
+        loose = nodes.filter("not base").join(patterns, "pattern")
         reached = cut(loose.groupBy(*key).agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("confidence"), F.lit(0.9999)))))).alias("reach"), F.count(F.lit(1)).alias("support")))
         same = [nodes[k].eqNullSafe(reached[k]) for k in key]
         scored = nodes.join(reached, [*same, ~nodes.seed], "left").select(*[nodes[k] for k in key], "seed", "pattern", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("reach", F.lit(0.0))).alias("score"))
