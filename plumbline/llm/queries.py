@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, html_extract, license_scan, mixing, near_dedup, pii, quality, token_counts, topk, toxicity
 from plumbline.llm.common import table
 
-TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer())
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +34,9 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    import public_tokenizers
+
+    return token_counts.count_with_edits(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

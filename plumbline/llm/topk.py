@@ -12,13 +12,17 @@ one in a slice are surely above those without, so the set of the k highest quant
 is narrowed slice by slice. The quantisation error of a query is bounded exactly, so every
 row whose sum is within that bound of the k-th is resolved by the exact integer product.
 
-Scale. Queries and candidates are cut into blocks (QUERY_BLOCK, CANDIDATE_BLOCK rows) and
-each pair of blocks is one group: memory is two blocks, nothing is broadcast, and each pair
-returns at most k rows a query, from which the last window takes the k best.
+Scale. Queries and candidates are cut into blocks and each pair of blocks is one group, which
+builds its index once for all queries of the block: memory is two blocks, nothing is
+broadcast, and each pair returns at most k rows a query, from which the last window takes the
+k best. Blocks of queries grow with the work, up to MOST_QUERIES, so that on large tables the
+candidates are copied (and indexed) once per MOST_QUERIES queries.
 
 Defined results: vectors that are null, empty or hold a null or non-finite component take
 no part, nor does a null vec_id; shorter vectors count zeros for what they lack; a row with
-the query's own vec_id is its own; equal scores go to the smaller vec_id.
+the query's own vec_id is its own; equal scores go to the smaller vec_id. Components beyond
+the range of 64-bit integers count as its end; products beyond it rank exactly, and their
+score is shown as its end. Repeated rows are candidates each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +38,11 @@ SCALE = 1024
 BITS = 7
 #: Query components keep their highest 16 bits in the slices' sum.
 QUERY_BITS = 16
-QUERY_BLOCK = 128
+LEAST_QUERIES, MOST_QUERIES = 128, 4_096
+#: Groups wanted before blocks of queries grow.
+GROUPS = 256
+#: Beyond this size of a component the sums of products are done in unbounded integers.
+LARGE = 1 << 26
 CANDIDATE_BLOCK = 32_768
 
 
@@ -58,6 +66,9 @@ class SlicedBlock:
 
     def __init__(self, ids: np.ndarray, v: np.ndarray, bits: int = BITS):
         self.ids, self.v, self.n = ids, v, len(ids)
+        self.large = bool(((v > LARGE) | (v < -LARGE)).any())
+        if self.large:
+            return
         self.low = v.min(axis=0)
         span = int((v.max(axis=0) - self.low).max())
         self.bits = bits
@@ -146,6 +157,11 @@ class SlicedBlock:
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> list[tuple[int, int]]:
         """The k best (vec_id, score) but for the query's own rows."""
+        if self.large or ((q > LARGE) | (q < -LARGE)).any():
+            rows = np.flatnonzero(self.ids != query_id)
+            exact = self.v[rows].astype(object) @ q.astype(object)
+            best = sorted(zip([-int(x) for x in exact], self.ids[rows].tolist(), strict=True))[:k]
+            return [(i, max(-(1 << 63), min((1 << 63) - 1, -x))) for x, i in best]
         top = int(np.abs(q).max()) if len(q) else 0
         cut_bits = max(0, top.bit_length() - QUERY_BITS)
         weights = np.sign(q) * (np.abs(q) >> cut_bits)
@@ -172,10 +188,12 @@ class SlicedBlock:
         return [(int(self.ids[rows[i]]), int(score[i])) for i in order]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int | None = None, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: for each query (vec_id, v) its k best of vectors (vec_id, v)."""
     vectors, queries = cut(vectors), cut(queries)
-    n_candidates, n_queries = max(1, -(-vectors.count() // candidate_block)), max(1, -(-queries.count() // query_block))
+    n_candidates, n = max(1, -(-vectors.count() // candidate_block)), queries.count()
+    query_block = query_block or min(MOST_QUERIES, max(LEAST_QUERIES, -(-n * n_candidates // GROUPS)))
+    n_queries = max(1, -(-n // query_block))
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     left = queries.select(block(n_queries, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("cb"), F.col("vec_id").alias("query_id"), "v")
     right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), block(n_candidates, 2).alias("cb"), "vec_id", "v")

@@ -61,3 +61,11 @@ def test_table(spark, sf_dir):
     rows = [(r.vec_id, r.embedding, "") for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     got = topk.top_k_of_table(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).collect()
     assert {tuple(r) for r in got} == by_hand(rows, 100, 10)
+
+
+def test_large_components(spark):
+    """Products beyond 64 bits rank exactly and show the range's end."""
+    rows = [(100, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [2.0**40, 0.0]), (3, [-1e17, 0.0]), (4, [0.0, 5.0])]
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_k_of_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[100, k][0] for k in (1, 2, 3, 4)] == [1, 2, 4, 3]
+    assert got[100, 1][1] == (1 << 63) - 1 and got[100, 3][1] == 5 * 1024 * 1024 and got[100, 4][1] == -(1 << 63)
