@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import bpe, mixing, near_dedup, pii, toxicity
 from plumbline.llm.common import shared_dir, table
-from plumbline.llm.queries import TOKENIZER
+from plumbline.llm.queries import tokenizer
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -36,7 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded text of every document of the mix."""
-    return bpe.encode(docs, TOKENIZER)
+    return bpe.encode(docs, tokenizer())
 
 
 STAGES: list[tuple[str, Stage]] = [
