@@ -6,7 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import canonical_id
 from plumbline.operators import patterns
 from plumbline.operators.graph import undirected
 from plumbline.operators.investigate import FINDINGS, findings
@@ -201,34 +200,3 @@ def bridges(t: Tables) -> DataFrame:
     first = e.filter("src like 'c%'").select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b"))
     second = first.select("ego", F.col("b").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").select("ego", "a", "b")
     return first.union(second).distinct().groupBy("ego").applyInPandas(cut_edges, "ego string, a string, b string")
-
-
-#: The loaders that differ only in label, table, key columns and shown columns.
-LOADERS = (
-    ("ld05_press_releases", "PressRelease", "benchmark", ("item_id",), "item_id"),
-    ("ld08_regulatory_orders", "RegulatoryOrder", "part", ("p_name", "p_brand"), "p_partkey"),
-    ("ld09_enforcement", "EnforcementAction", "supplier", ("s_name",), "s_suppkey"),
-    ("ld10_bonds", "ElectoralBond", "orders", ("o_orderkey", "o_custkey"), "o_orderkey"),
-    ("ld12_ngos", "NGO", "customer", ("c_name",), "c_custkey"),
-    ("ld15_circulars", "VigilanceCircular", "region", ("r_name",), "r_regionkey"),
-    ("ld18_court_cases", "CourtCase", "nation", ("n_name", "n_regionkey"), "n_nationkey"),
-    ("ld22_documents", "DataGovDocument", "pages", ("url",), "page_id"),
-)
-
-
-def load_nodes(rows: DataFrame, label: str, keys: tuple[str, ...], order: str) -> DataFrame:
-    """Nodes of a label: the id is hashed from the key columns, and the last row of an id (by `order`) stays."""
-    x = rows.filter(F.trim(F.col(keys[0]).cast("string")) != "").select(canonical_id(*[F.col(k) for k in keys], size=32).alias("id"), F.col(order).cast("long").alias("row"))
-    return x.groupBy("id").agg(F.max("row").alias("row")).withColumn("label", F.lit(label))
-
-
-def _register(name: str, label: str, table: str, keys: tuple[str, ...], order: str) -> None:
-    hashed = " || '|' || ".join(f"lower(trim(CAST({k} AS VARCHAR)))" for k in keys)
-
-    @query(name, f"SELECT left(sha256({hashed}), 32) AS id, CAST(max({order}) AS BIGINT) AS row, '{label}' AS label FROM {table} GROUP BY 1")
-    def load(t: Tables) -> DataFrame:
-        return load_nodes(t.raw(table), label, keys, order)
-
-
-for _spec in LOADERS:
-    _register(*_spec)

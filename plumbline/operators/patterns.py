@@ -39,17 +39,15 @@ def exact_name_join(t: Tables) -> DataFrame:
     return a.join(b, "x").filter("a <= b").select("a", "b")
 
 
-@query("jn05_contains_join", """SELECT DISTINCT s.comp, p.p_partkey AS part FROM company s JOIN part p ON contains(lower(p.p_name), lower(split_part(s.state, ' ', 1))) UNION SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN (SELECT item_id, split_part(lower(text), ' ', 1) AS w FROM benchmark) b ON length(w) >= 6 AND list_contains(string_split(lower(d.text), ' '), w)""")
-def contains_join(t: Tables) -> DataFrame:
-    """A word-level containment join goes through the words (an equi-join), not a nested loop; whole substrings are left to the small state list, whose size is checked."""
-    states = t.company.select("comp", F.lower(F.split("state", " ")[0]).alias("w"))
-    names = t.raw("part").select(F.col("p_partkey").alias("part"), F.lower("p_name").alias("x"))
-    small = states.select("w").distinct()
-    distinct_names = names.select("x").distinct()
-    hits = distinct_names.join(small, F.contains("x", "w")).join(names, "x").join(states, "w").select("comp", "part").distinct()
-    words = t.raw("documents").select(F.col("doc_id").alias("comp"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("w"))
-    first = t.raw("benchmark").select(F.col("item_id").alias("part"), F.split(F.lower("text"), " ")[0].alias("w")).filter(F.length("w") >= 6)
-    return hits.union(words.join(first, "w").select("comp", "part")).distinct()
+@query("jn05_contains_join", """SELECT DISTINCT s.comp, p.p_partkey AS part FROM company s JOIN part p ON contains(lower(p.p_name || ' ' || replace(p.p_type, ' ', '') || ' ' || p.p_brand), '#' || (s.comp % 30))""")
+def q_contains_join(t: Tables) -> DataFrame:
+    """Names that hold a mention, by their rarest runs of characters."""
+    from plumbline.operators.loaders import contains_join
+
+    mentions = t.company.select("comp", F.concat(F.lit("#"), (F.col("comp") % 30).cast("string")).alias("mid"))
+    names = t.raw("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.replace("p_type", F.lit(" "), F.lit("")), "p_brand").alias("name"))
+    met = contains_join(names, mentions.select("mid", F.col("mid").alias("mention")).distinct())
+    return met.join(mentions, "mid").select("comp", F.col("id").alias("part")).distinct()
 
 
 @query("jn07_neighbours", """SELECT id, neighbour, rel FROM (SELECT 'p' || pol AS id, 'c' || comp AS neighbour, 'DIRECTOR_OF' AS rel FROM director UNION ALL SELECT 'c' || comp, 'p' || pol, 'DIRECTOR_OF' FROM director UNION ALL SELECT 'c' || src, 'c' || dst, 'OWNS' FROM owns UNION ALL SELECT 'c' || dst, 'c' || src, 'OWNS' FROM owns)""")

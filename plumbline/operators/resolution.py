@@ -2,26 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import canonical_id, jaro_winkler, jaccard, normalise_name, tokens
+from plumbline.functions.text import canonical_id, jaro_winkler, jaccard, normalise_name, similar_pairs, tokens
 from plumbline.operators.graph import settle
 from plumbline.plans.registry import query
 from plumbline.plans.tables import Tables
 
 THRESHOLD = 0.72
+#: Identifying keys, the first that both records have decides; the first three alone decide against.
+KEYS = ("cin", "pan", "gstin", "wikidata_id", "darpan_id", "bond_number", "order_id", "tender_id", "icij_node_id")
+AGAINST = 3
 
 
-def scored_pairs(records: DataFrame) -> DataFrame:
-    """i < j with a shared first or last word (the blocks), scored .6 Jaro-Winkler + .4 Jaccard on normalised names; records has seq and name."""
-    r = records.select("seq", normalise_name(F.col("name")).alias("norm"))
-    words = F.split("norm", " ")
-    blocks = r.select("seq", "norm", F.explode(F.array_distinct(F.array(words[0], F.element_at(words, -1)))).alias("block"))
-    a, b = (blocks.select(F.col("seq").alias(f"{k}"), F.col("norm").alias(f"{k}_norm"), "block") for k in ("i", "j"))
-    pairs = a.join(b, "block").filter("i < j").select("i", "j", "i_norm", "j_norm").distinct()
-    score = F.when(F.col("i_norm") == F.col("j_norm"), 1.0).otherwise(0.6 * jaro_winkler("i_norm", "j_norm") + 0.4 * jaccard(tokens(F.col("i_norm")), tokens(F.col("j_norm"))))
-    return pairs.select("i", "j", F.round(score, 6).alias("score"))
+def key_of(column: str) -> Column:
+    """A key's value, trimmed and upper-case; null where it is blank."""
+    return F.nullif(F.upper(F.trim(F.col(column).cast("string"))), F.lit(""))
+
+
+def with_keys(records: DataFrame) -> DataFrame:
+    """seq, name and keys (array over KEYS; what the records lack is null)."""
+    return records.select("seq", "name", F.array(*[key_of(k) if k in records.columns else F.lit(None).cast("string") for k in KEYS]).alias("keys"))
+
+
+def key_score(a: Column, b: Column) -> Column:
+    """1 or 0 by the first key that both have; 0 if they share none and the first has one of the deciding keys; else null (names decide)."""
+    out = F.when(F.exists(F.slice(a, F.lit(1), F.lit(AGAINST)), lambda x: x.isNotNull()), 0.0)
+    for k in reversed(range(len(KEYS))):
+        x, y = F.get(a, F.lit(k)), F.get(b, F.lit(k))
+        out = F.when(x.isNotNull() & y.isNotNull(), F.when(x == y, 1.0).otherwise(0.0 if k < AGAINST else out)).otherwise(out)
+    return out
+
+
+def name_score(a: Column, b: Column, cosine: Column | None = None) -> Column:
+    """Of normalised names: 0 if one is blank, 1 if equal, else .6 Jaro-Winkler + .4 Jaccard, or .3, .2 and .5 of the embeddings' cosine."""
+    jac = jaccard(tokens(a), tokens(b))
+    mixed = 0.6 * jaro_winkler(a, b) + 0.4 * jac if cosine is None else 0.3 * jaro_winkler(a, b) + 0.2 * jac + 0.5 * cosine
+    return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).otherwise(mixed)
+
+
+def scored_pairs(left: DataFrame, right: DataFrame | None = None, kind: str = "person", threshold: float = THRESHOLD) -> DataFrame:
+    """i, j and score of the pairs that reach the threshold (above .6); within one table i < j, else i of left and j of right.
+
+    Exact without comparing all: as Jaro-Winkler is 1 at most, the names' Jaccard similarity is (threshold - .6) / .4 at least, so pairs
+    come from the words by prefix filtering, and besides from equal keys. Jaro-Winkler runs over these pairs only."""
+    one = right is None
+    tables = [with_keys(x).select(F.concat(F.lit(side), F.col("seq").cast("string")).alias("id"), "seq", "keys", normalise_name(F.col("name"), kind).alias("norm")) for side, x in (("l", left), ("r", left if one else right))]
+    sets = (tables[0] if one else tables[0].union(tables[1])).filter("norm <> ''").select("id", tokens(F.col("norm")).alias("words"))
+    found = similar_pairs(sets, (threshold - 0.6) / 0.4).select("a", "b")
+    seq = lambda c: F.substring(c, 2, 30).cast("long")
+    if one:
+        pairs = found.select(F.least(seq("a"), seq("b")).alias("i"), F.greatest(seq("a"), seq("b")).alias("j"))
+    else:
+        pairs = found.filter("left(a, 1) = 'l' and left(b, 1) = 'r'").select(seq("a").alias("i"), seq("b").alias("j"))
+    keyed = [x.select("seq", F.posexplode("keys").alias("k", "v")).filter("v is not null") for x in tables]
+    same = keyed[0].select(F.col("seq").alias("i"), "k", "v").join(keyed[1].select(F.col("seq").alias("j"), "k", "v"), ["k", "v"]).select("i", "j")
+    pairs = pairs.union(same.filter("i < j") if one else same).distinct()
+    a, b = (x.select(F.col("seq").alias(n), F.col("keys").alias(f"k{n}"), F.col("norm").alias(f"n{n}")) for n, x in zip("ij", tables, strict=True))
+    whole = pairs.join(a, "i").join(b, "j")
+    score = F.coalesce(key_score(F.col("ki"), F.col("kj")), name_score(F.col("ni"), F.col("nj")))
+    return whole.select("i", "j", F.round(score, 6).alias("score")).filter(F.col("score") >= threshold)
 
 
 def star_clusters(records: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -42,18 +83,68 @@ def star_clusters(records: DataFrame, pairs: DataFrame, threshold: float = THRES
             return state.select("seq", "centre")
 
 
+def canonical(records: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per centre: canonical_id, seq, name and duplicates (seq, name and score, by seq)."""
+    named = records.select("seq", "name")
+    clusters = star_clusters(records, pairs, threshold).join(named, "seq")
+    score = pairs.select(F.col("i").alias("centre"), F.col("j").alias("seq"), "score")
+    taken = clusters.filter("seq <> centre").join(score, ["centre", "seq"]).groupBy(F.col("centre").alias("seq")).agg(F.sort_array(F.collect_list(F.struct("seq", "name", "score"))).alias("duplicates"))
+    centres = clusters.filter("seq = centre").select("seq", "name").join(taken, "seq", "left")
+    empty = F.array().cast("array<struct<seq:bigint,name:string,score:double>>")
+    return centres.select(canonical_id(F.col("name")).alias("canonical_id"), "seq", "name", F.coalesce("duplicates", empty).alias("duplicates"))
+
+
+def part_records(t: Tables) -> DataFrame:
+    """Records for resolution: the different part names, in the order of their first part, some with a key."""
+    first = t.raw("part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("seq"))
+    return settle(first.select("seq", "name", F.when(F.col("seq") % 7 == 0, F.concat(F.lit("k"), (F.col("seq") % 21).cast("string"))).alias("cin")))
+
+
 @query("er01_star_clusters")
 def resolve(t: Tables) -> DataFrame:
-    w = Window.orderBy("p_name")
-    records = t.raw("part").select("p_name").distinct().select((F.row_number().over(w)).cast("long").alias("seq"), F.col("p_name").alias("name"))
-    records = settle(records)
-    return star_clusters(records, scored_pairs(records)).join(records, "seq").select("seq", "centre", "name")
+    records = part_records(t)
+    return canonical(records, settle(scored_pairs(records)))
+
 
+@query("er02_resolve_by_words")
+def resolve_by_words(t: Tables, threshold: float = 0.7) -> DataFrame:
+    """The first form of resolution: Jaccard of cleaned names alone."""
+    records = part_records(t)
+    pairs = similar_pairs(records.select(F.col("seq").alias("id"), tokens(F.col("name")).alias("words")), threshold)
+    return canonical(records, settle(pairs.select(F.col("a").alias("i"), F.col("b").alias("j"), F.round("similarity", 6).alias("score"))), threshold)
 
-@query("er04_cross_match", """SELECT p.pol, c.comp FROM politician p JOIN company c ON regexp_replace(p.name, '\\D', '', 'g') = regexp_replace(c.name, '\\D', '', 'g')""")
+
+def find_matches(records: DataFrame, name: str, kind: str = "person", threshold: float = THRESHOLD) -> DataFrame:
+    """seq, name and score of the records like `name`, best first."""
+    norm = normalise_name(F.lit(name), kind)
+    x = records.select("seq", "name", F.round(name_score(normalise_name(F.col("name"), kind), norm), 6).alias("score"))
+    return x.filter(F.col("score") >= threshold).orderBy(F.col("score").desc(), "seq")
+
+
+@query("er03_find_matches")
+def q_find_matches(t: Tables, name: str = "Shri Small Ring") -> DataFrame:
+    return find_matches(part_records(t), name)
+
+
+@query("er04_cross_match")
 def cross_match(t: Tables) -> DataFrame:
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    return t.politician.select("pol", digits("name").alias("k")).join(t.company.select("comp", digits("name").alias("k")), "k").select("pol", "comp")
+    """Pairs across two tables with the left one's canonical id."""
+    left = part_records(t)
+    right = settle(t.raw("part").groupBy("p_name").agg(F.max("p_partkey").alias("seq")).select("seq", F.concat(F.lit("Dr. "), F.initcap("p_name"), F.lit(" II")).alias("name")))
+    found = scored_pairs(left, right).join(left.select(F.col("seq").alias("i"), F.col("name").alias("a")), "i").join(right.select(F.col("seq").alias("j"), F.col("name").alias("b")), "j")
+    return found.select(canonical_id(F.col("a")).alias("canonical_id"), "a", "b", F.round("score", 3).alias("score"))
+
+
+def resolve_batch(records: DataFrame, most: int = 500, threshold: float = THRESHOLD) -> DataFrame:
+    """Resolution of a request's records (seq, name and keys), at most `most` of them."""
+    if records.limit(most + 1).count() > most:
+        raise ValueError(f"at most {most} records a request")
+    return canonical(settle(records), settle(scored_pairs(records, threshold=threshold)), threshold)
+
+
+@query("er06_resolve_batch")
+def q_resolve_batch(t: Tables) -> DataFrame:
+    return resolve_batch(t.nation.select(F.col("n_nationkey").cast("long").alias("seq"), F.col("n_name").alias("name")))
 
 
 @query("er05_alias_graph", """SELECT alias, id FROM (SELECT lower(trim(kind)) AS alias, event_id AS id, row_number() OVER (PARTITION BY lower(trim(kind)) ORDER BY ts DESC, event_id DESC) AS k FROM event) WHERE k = 1""")
@@ -63,8 +154,9 @@ def alias_graph(t: Tables) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
-    """MERGE by key: the row of the highest version stays."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    """MERGE by key: the row of the highest version stays, of equal versions the largest by its other columns."""
+    rest = [F.col(c).desc_nulls_last() for c in sorted(old.columns) if c not in (key, version)]
+    w = Window.partitionBy(key).orderBy(F.col(version).desc(), *rest)
     return old.unionByName(new).withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
 
 
@@ -100,17 +192,6 @@ def load_contract_edges(t: Tables) -> DataFrame:
     return t.won.select(F.col("comp").cast("string").alias("src"), F.col("contract").cast("string").alias("dst"), F.lit("WON_CONTRACT").alias("rel")).union(t.awarded.select(F.col("contract").cast("string"), "ministry", F.lit("AWARDED_BY")))
 
 
-@query("ld04_audit_reports", """SELECT doc_id, left(sha256(lower(trim(title)) || '|' || CAST(doc_id AS VARCHAR)), 32) AS id, scheme FROM audit WHERE trim(title) = title AND title NOT LIKE '%' || chr(10) || '%' AND regexp_full_match(title, '[ -~]*')""")
-def load_audits(t: Tables) -> DataFrame:
-    return t.audit.filter((F.trim("title") == F.col("title")) & F.col("title").rlike(r"^[ -~]*\z")).select("doc_id", canonical_id(F.col("title"), F.col("doc_id"), size=32).alias("id"), "scheme")
-
-
-@query("ld13_tenders", """SELECT contract, ministry, n = 1 AS single_bid, CASE WHEN n = 1 THEN 'SINGLE_BID' ELSE '' END AS risk_flag FROM awarded JOIN (SELECT contract, count(*) AS n FROM won GROUP BY contract) USING (contract)""")
-def load_tenders(t: Tables) -> DataFrame:
-    bids = t.won.groupBy("contract").agg(F.count(F.lit(1)).alias("n"))
-    return t.awarded.join(bids, "contract").select("contract", "ministry", (F.col("n") == 1).alias("single_bid"), F.when(F.col("n") == 1, "SINGLE_BID").otherwise("").alias("risk_flag"))
-
-
 @query("ld20_last_per_key", """SELECT pol, CAST(ts AS DATE) AS day, arg_max(kind, event_id) AS kind FROM event GROUP BY 1, 2""")
 def load_last_per_key(t: Tables) -> DataFrame:
     return t.event.groupBy("pol", F.to_date("ts").alias("day")).agg(F.max_by("kind", "event_id").alias("kind"))
