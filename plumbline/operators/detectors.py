@@ -43,17 +43,6 @@ def batch_ranking(t: Tables) -> DataFrame:
     return t.politician.select("pol").join(own, "pol", "left").select("pol", F.least(8 * F.coalesce("own", F.lit(0)), F.lit(25)).cast("long").alias("score")).orderBy(F.col("score").desc(), "pol").limit(50)
 
 
-@query("dt04_ghost_company", """, f AS (SELECT w.comp, min(c.day) AS first_day, count(*) AS n, sum(w.amount) AS value FROM won w JOIN contract c USING (contract) GROUP BY w.comp), g AS (SELECT l_suppkey AS comp, min(CAST(l_shipdate AS DATE)) AS registered FROM lineitem GROUP BY 1), d AS (SELECT comp, count(*) AS directors FROM director GROUP BY comp), x AS (SELECT k.comp, (CASE WHEN date_diff('day', registered, first_day) BETWEEN 0 AND 90 THEN 30 ELSE 0 END) + (CASE WHEN coalesce(directors, 1) = 1 THEN 20 ELSE 0 END) + (CASE WHEN value > 10 * capital THEN 20 ELSE 0 END) + (CASE WHEN n = 1 THEN 10 ELSE 0 END) AS s FROM company k LEFT JOIN f USING (comp) LEFT JOIN g USING (comp) LEFT JOIN d USING (comp)) SELECT comp, CAST(s AS INTEGER) AS score, s >= 60 AS flagged FROM x""")
-def ghost_company(t: Tables) -> DataFrame:
-    first = t.won.join(t.contract, "contract").groupBy("comp").agg(F.min("day").alias("first_day"), F.count(F.lit(1)).alias("n"), F.sum("amount").alias("value"))
-    registered = t.raw("lineitem").groupBy(F.col("l_suppkey").alias("comp")).agg(F.min(F.to_date("l_shipdate")).alias("registered"))
-    directors = t.director.groupBy("comp").agg(F.count(F.lit(1)).alias("directors"))
-    x = t.company.join(first, "comp", "left").join(registered, "comp", "left").join(directors, "comp", "left")
-    points = lambda c, n: F.when(c, n).otherwise(0)
-    score = points(F.datediff("first_day", "registered").between(0, 90), 30) + points(F.coalesce("directors", F.lit(1)) == 1, 20) + points(F.col("value") > 10 * F.col("capital"), 20) + points(F.col("n") == 1, 10)
-    return x.select("comp", score.alias("score")).withColumn("flagged", F.col("score") >= 60)
-
-
 @query("dt05_shadow_director", """, a AS (SELECT nk, count(*) AS at_address FROM company GROUP BY nk HAVING count(*) >= 3), m AS (SELECT pol, count(*) AS n FROM director GROUP BY pol HAVING count(*) >= 2) SELECT 'address' AS kind, CAST(nk AS BIGINT) AS id, at_address AS n FROM a UNION ALL SELECT 'person', pol, n FROM m""")
 def shadow_director(t: Tables) -> DataFrame:
     a = t.company.groupBy("nk").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select(F.lit("address").alias("kind"), F.col("nk").cast("long").alias("id"), "n")
@@ -72,14 +61,6 @@ def benford(t: Tables) -> DataFrame:
     return x.select("digit", "observed", F.round("expected", 4).alias("expected"), F.round(F.sum((F.col("observed") - F.col("expected")) ** 2 / F.col("expected")).over(all_), 4).alias("chi_squared"), (F.abs(F.col("observed") / F.col("n") - F.col("p")) > 0.05).alias("deviates"))
 
 
-@query("dt09_benami", """, x AS (SELECT d.pol, count(DISTINCT d.comp) AS companies, count(DISTINCT q.pol) - 1 AS fellows FROM director d JOIN director q USING (comp) GROUP BY d.pol) SELECT pol, round(100 * (0.25 * least(1.0, 0.3 * fellows) + 0.25 * least(1.0, greatest(0, companies - 2) * 0.2)), 2) AS score FROM x""")
-def benami(t: Tables) -> DataFrame:
-    a, b = t.director, t.director.withColumnRenamed("pol", "q")
-    x = a.join(b, "comp").groupBy("pol").agg(F.count_distinct("comp").alias("companies"), (F.count_distinct("q") - 1).alias("fellows"))
-    one = F.lit(1.0)
-    return x.select("pol", F.round(100 * (0.25 * F.least(one, 0.3 * F.col("fellows")) + 0.25 * F.least(one, F.greatest(F.lit(0), F.col("companies") - 2) * 0.2)), 2).alias("score"))
-
-
 def _yearly(t: Tables) -> DataFrame:
     return t.contract.groupBy(F.col("cust").alias("pol"), F.year("day").alias("year")).agg(F.sum("total").alias("assets"))
 
@@ -125,20 +106,6 @@ def cartel_rotation(t: Tables) -> DataFrame:
     return s.groupBy("ministry", "vendors").agg(F.round(F.greatest(F.lit(0.0), 1 - 10 * F.first("vendors") * F.avg((F.col("share") - 1 / F.col("vendors")) ** 2)), 6).alias("rotation"))
 
 
-@query("dt12_cobid_dates", """, d AS (SELECT DISTINCT w.comp, c.day FROM won w JOIN contract c USING (contract) WHERE c.day < DATE '1996-01-01') SELECT a.comp AS a, b.comp AS b, count(*) AS days FROM d a JOIN d b ON a.day = b.day AND a.comp < b.comp GROUP BY 1, 2 HAVING count(*) >= 2""")
-def cobid_dates(t: Tables) -> DataFrame:
-    d = t.won.join(t.contract.filter("day < date'1996-01-01'"), "contract").select("comp", "day").distinct()
-    return d.withColumnRenamed("comp", "a").join(d.withColumnRenamed("comp", "b"), "day").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("days")).filter("days >= 2")
-
-
-@query("dt13_revolving_door", """, e AS (SELECT pol, kind, CAST(ts AS DATE) AS day FROM event) SELECT a.pol, a.day AS left_day, min(b.day) AS joined_day, CAST(min(date_diff('day', a.day, b.day)) AS INTEGER) AS gap FROM e a JOIN e b ON a.pol = b.pol AND a.kind = 'signup' AND b.kind = 'purchase' AND b.day > a.day AND date_diff('day', a.day, b.day) < 10 GROUP BY 1, 2""")
-def revolving_door(t: Tables, days: int = 10) -> DataFrame:
-    e = t.event.select("pol", "kind", F.to_date("ts").alias("day"))
-    a, b = e.filter("kind = 'signup'").select("pol", F.col("day").alias("left_day")).distinct(), e.filter("kind = 'purchase'").select("pol", F.col("day").alias("joined_day")).distinct()
-    gap = F.datediff("joined_day", "left_day")
-    return a.join(b, "pol").filter((gap > 0) & (gap < days)).groupBy("pol", "left_day").agg(F.min("joined_day").alias("joined_day"), F.min(gap).alias("gap"))
-
-
 @query("dt16_event_study", """, e AS (SELECT pol, ts, value, kind FROM event) SELECT p.pol, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN -5 AND -1 THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN 0 AND 5 THEN 1 ELSE 0 END) AS BIGINT) AS after FROM e p JOIN e q ON p.pol = q.pol AND p.kind = 'signup' AND q.kind = 'purchase' GROUP BY p.pol""")
 def event_study(t: Tables, days: int = 5) -> DataFrame:
     p = t.event.filter("kind = 'signup'").select("pol", F.to_date("ts").alias("p"))
@@ -147,19 +114,6 @@ def event_study(t: Tables, days: int = 5) -> DataFrame:
     return p.join(q, "pol").groupBy("pol").agg(F.sum(F.when(gap.between(-days, -1), F.col("n")).otherwise(0)).alias("before"), F.sum(F.when(gap.between(0, days), F.col("n")).otherwise(0)).alias("after"))
 
 
-@query("dt16_transfer_entropy", """, s AS (SELECT pol, value, row_number() OVER (PARTITION BY pol ORDER BY ts, event_id) AS k, min(value) OVER (PARTITION BY pol) AS lo, max(value) OVER (PARTITION BY pol) AS hi, count(*) OVER (PARTITION BY pol) AS n FROM event), b AS (SELECT pol, k, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((value - lo) / (hi - lo) * 4) AS INTEGER), 3) END AS bin FROM s WHERE n >= 8), p AS (SELECT pol, bin, lag(bin) OVER (PARTITION BY pol ORDER BY k) AS prev FROM b), j AS (SELECT pol, prev, bin, count(*) AS n FROM p WHERE prev IS NOT NULL GROUP BY 1, 2, 3) SELECT pol, round(sum(n / t * log2((n / m))) * -1, 5) AS conditional FROM (SELECT *, sum(n) OVER (PARTITION BY pol, prev) AS m, sum(n) OVER (PARTITION BY pol) AS t FROM j) GROUP BY pol""")
-def transfer_entropy(t: Tables, bins: int = 4, least: int = 8) -> DataFrame:
-    """Conditional entropy of a person's binned series given its previous value, the term of transfer entropy that its own past leaves."""
-    own = Window.partitionBy("pol")
-    order = own.orderBy("ts", "event_id")
-    s = t.event.select("pol", "value", F.row_number().over(order).alias("k"), F.min("value").over(own).alias("lo"), F.max("value").over(own).alias("hi"), F.count(F.lit(1)).over(own).alias("n")).filter(F.col("n") >= least)
-    b = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int"), F.lit(bins - 1)))
-    p = s.select("pol", "k", b.alias("bin")).withColumn("prev", F.lag("bin").over(own.orderBy("k"))).filter("prev is not null")
-    j = p.groupBy("pol", "prev", "bin").agg(F.count(F.lit(1)).alias("n"))
-    j = j.withColumns({"m": F.sum("n").over(Window.partitionBy("pol", "prev")), "t": F.sum("n").over(own)})
-    return j.groupBy("pol").agg(F.round(-F.sum(F.col("n") / F.col("t") * F.log2(F.col("n") / F.col("m"))), 5).alias("conditional"))
-
-
 @query("dt17_fourier", """, s AS (SELECT cust AS pol, total / 1000.0 AS v, row_number() OVER (PARTITION BY cust ORDER BY day, contract) - 1 AS i, count(*) OVER (PARTITION BY cust) AS n, avg(total / 1000.0) OVER (PARTITION BY cust) AS m FROM contract), f AS (SELECT pol, k, n, sum((v - m) * cos(2 * pi() * k * i / n)) AS re, sum((v - m) * sin(2 * pi() * k * i / n)) AS im FROM s, LATERAL (SELECT unnest(generate_series(1, n // 2)) AS k) WHERE n >= 4 GROUP BY pol, k, n), w AS (SELECT pol, k, n, re * re + im * im AS power FROM f) SELECT pol, round(max(power) / sum(power), 4) AS share FROM w GROUP BY pol""")
 def fourier(t: Tables, least: int = 4) -> DataFrame:
     """Share of the strongest frequency in a person's ordered contract series; the transform is a group sum over (person, frequency)."""
@@ -203,11 +157,6 @@ def audit_roots(t: Tables) -> DataFrame:
     return e.groupBy("day").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["h"]), "|"), 256).alias("root"))
 
 
-@query("wn09_chain_check", """SELECT event_id, lag(event_id) OVER (PARTITION BY pol ORDER BY ts, event_id) AS previous FROM event""")
-def chain_check(t: Tables) -> DataFrame:
-    return t.event.select("event_id", F.lag("event_id").over(Window.partitionBy("pol").orderBy("ts", "event_id")).alias("previous"))
-
-
 @query("wn10_rate_limit", """SELECT event_id, count(*) OVER (PARTITION BY pol ORDER BY epoch(ts) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, pol, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM event)""")
 def rate_limit(t: Tables, seconds: int = 3600) -> DataFrame:
     w = Window.partitionBy("pol").orderBy("s").rangeBetween(-(seconds - 1), 0)

@@ -89,57 +89,18 @@ def adjacent_gap(t: Tables) -> DataFrame:
     return t.contract.select("contract", F.datediff(F.lead("day").over(w), "day").alias("gap"))
 
 
-@query("dt02_route_risk", """, o AS (SELECT cust AS pol, count(*) AS n FROM contract GROUP BY cust), r AS (SELECT cust AS pol, max(n) AS most FROM (SELECT cust, buyer, count(*) AS n FROM contract GROUP BY 1, 2) GROUP BY 1), d AS (SELECT pol, count(*) AS n FROM director GROUP BY pol) SELECT p.pol, CAST(least(100, least(8 * coalesce(o.n, 0), 25) + CASE WHEN r.most >= 2 THEN least(8 * r.most, 25) ELSE 0 END + CASE WHEN d.n >= 2 THEN least(2 * d.n, 15) ELSE 0 END) AS BIGINT) AS score FROM politician p LEFT JOIN o ON o.pol = p.pol LEFT JOIN r ON r.pol = p.pol LEFT JOIN d ON d.pol = p.pol""")
-def route_risk(t: Tables) -> DataFrame:
-    per_buyer = t.contract.groupBy(F.col("cust").alias("pol"), "buyer").agg(F.count(F.lit(1)).alias("n"))
-    own = per_buyer.groupBy("pol").agg(F.sum("n").alias("o"), F.max("n").alias("most"))
-    d = t.director.groupBy("pol").agg(F.count(F.lit(1)).alias("d"))
-    x = t.politician.select("pol").join(own, "pol", "left").join(d, "pol", "left")
-    capped = lambda c, k, most: F.least(k * F.coalesce(c, F.lit(0)), F.lit(most))
-    score = capped(F.col("o"), 8, 25) + F.when(F.col("most") >= 2, capped(F.col("most"), 8, 25)).otherwise(0) + F.when(F.col("d") >= 2, capped(F.col("d"), 2, 15)).otherwise(0)
-    return x.select("pol", F.least(F.lit(100), score).cast("long").alias("score"))
-
-
 @query("dt08_shared_passages", """, d AS (SELECT DISTINCT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), b AS (SELECT line, count(*) AS n FROM d WHERE length(line) >= 40 GROUP BY line HAVING count(*) >= 2) SELECT md5(line) AS line, n FROM b""")
 def shared_passages(t: Tables, least: int = 40) -> DataFrame:
     lines = t.raw("documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.length("line") >= least).distinct()
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(F.md5("line").alias("line"), "n")
 
 
-@query("dt10_wealth_residual", """, y AS (SELECT cust AS pol, year(day) AS year, sum(total) AS assets FROM contract GROUP BY 1, 2), s AS (SELECT pol, min_by(assets, year) AS first, max_by(assets, year) AS last, max(year) - min(year) AS years FROM y GROUP BY pol) SELECT pol, round(last / (first * power(1.08, years)), 5) AS ratio, CASE WHEN last / (first * power(1.08, years)) > 5 THEN 'VERY_HIGH' WHEN last / (first * power(1.08, years)) > 2 THEN 'HIGH' WHEN last / (first * power(1.08, years)) > 0.5 THEN 'MODERATE' ELSE 'LOW' END AS level FROM s WHERE years > 0 AND first > 0""")
-def wealth_residual(t: Tables) -> DataFrame:
-    """Last holdings against the first compounded at 8 per cent."""
-    y = t.contract.groupBy(F.col("cust").alias("pol"), F.year("day").alias("year")).agg(F.sum("total").alias("assets"))
-    s = y.groupBy("pol").agg(F.min_by("assets", "year").alias("first"), F.max_by("assets", "year").alias("last"), (F.max("year") - F.min("year")).alias("years")).filter("years > 0 and first > 0")
-    r = F.col("last") / (F.col("first") * F.pow(F.lit(1.08), F.col("years")))
-    return s.select("pol", F.round(r, 5).alias("ratio"), F.when(r > 5, "VERY_HIGH").when(r > 2, "HIGH").when(r > 0.5, "MODERATE").otherwise("LOW").alias("level"))
-
-
 @query("dt11_cover_bids", """, g AS (SELECT comp, amount, lead(amount) OVER (PARTITION BY comp ORDER BY amount) - amount AS gap FROM won) SELECT comp, count(*) AS bids, max(gap) < 0.1 * stddev_pop(amount) AS cover FROM g GROUP BY comp HAVING count(*) >= 3""")
 def cover_bids(t: Tables) -> DataFrame:
     g = t.won.withColumn("gap", F.lead("amount").over(Window.partitionBy("comp").orderBy("amount")) - F.col("amount"))
     return g.groupBy("comp").agg(F.count(F.lit(1)).alias("bids"), (F.max("gap") < 0.1 * F.stddev_pop("amount")).alias("cover")).filter("bids >= 3")
 
 
-@query("dt15_template_pairs", """, s AS (SELECT item_id, unnest(list_distinct(list_transform(range(1, len(w)), lambda i: left(md5(w[i] || ' ' || w[i + 1]), 8)))) AS h FROM (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark) WHERE len(w) >= 2), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.item_id AS a, b.item_id AS b, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.item_id < b.item_id GROUP BY 1, 2) SELECT a, b, round(c / (x.n + y.n - c), 6) AS similarity FROM p JOIN n x ON x.item_id = a JOIN n y ON y.item_id = b WHERE c / (x.n + y.n - c) >= 0.05""")
-def template_pairs(t: Tables, least: float = 0.05) -> DataFrame:
-    b = t.raw("benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w")).filter(F.size("w") >= 2)
-    pairs = F.transform(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1)), lambda p: F.substring(F.md5(F.concat_ws(" ", p["0"], p["1"])), 1, 8))
-    s = b.select("item_id", F.explode(F.array_distinct(pairs)).alias("h"))
-    n = s.groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
-    p = s.withColumnRenamed("item_id", "a").join(s.withColumnRenamed("item_id", "b"), "h").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    x = p.join(n.select(F.col("item_id").alias("a"), F.col("n").alias("na")), "a").join(n.select(F.col("item_id").alias("b"), F.col("n").alias("nb")), "b")
-    j = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return x.filter(j >= least).select("a", "b", F.round(j, 6).alias("similarity"))
-
-
-@query("dt14_director_changes", """SELECT a.pol AS a, b.pol AS b, min(abs(date_diff('day', CAST(a.ts AS DATE), CAST(b.ts AS DATE)))) AS gap FROM event a JOIN event b ON a.kind = 'signup' AND b.kind = 'signup' AND a.pol < b.pol AND a.value = b.value GROUP BY 1, 2""")
-def director_changes(t: Tables) -> DataFrame:
-    s = t.event.filter("kind = 'signup'").select("pol", "value", F.to_date("ts").alias("day"))
-    a, b = s.withColumnsRenamed({"pol": "a", "day": "da"}), s.withColumnsRenamed({"pol": "b", "day": "db"})
-    return a.join(b, "value").filter("a < b").groupBy("a", "b").agg(F.min(F.abs(F.datediff("da", "db"))).cast("long").alias("gap"))
-
-
 @query("dt21_biography", """SELECT pol, string_agg(kind || ': ' || n, '; ' ORDER BY kind) AS text FROM (SELECT pol, kind, count(*) AS n FROM event GROUP BY 1, 2) GROUP BY pol""")
 def biography(t: Tables) -> DataFrame:
     k = t.event.groupBy("pol", "kind").agg(F.count(F.lit(1)).alias("n"))
@@ -147,26 +108,6 @@ def biography(t: Tables) -> DataFrame:
     return k.groupBy("pol").agg(F.array_join(parts, "; ").alias("text"))
 
 
-@query("dt27_node_evidence", """SELECT id, neighbour, rel FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rel, neighbour) AS k FROM (SELECT 'p' || pol AS id, 'c' || comp AS neighbour, 'DIRECTOR_OF' AS rel FROM director UNION ALL SELECT 'c' || comp, 'p' || pol, 'DIRECTOR_OF' FROM director UNION ALL SELECT 'c' || src, 'c' || dst, 'OWNS' FROM owns UNION ALL SELECT 'c' || dst, 'c' || src, 'OWNS' FROM owns)) WHERE k <= 40""")
-def node_evidence(t: Tables, most: int = 40) -> DataFrame:
-    w = Window.partitionBy("id").orderBy("rel", "neighbour")
-    return patterns.neighbours(t).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most).select("id", "neighbour", "rel")
-
-
-@query("dt28_motifs", """SELECT 'repeat_winner' AS motif, count(*) AS n FROM (SELECT comp FROM won GROUP BY comp HAVING count(*) >= 3) UNION ALL SELECT 'many_directorships', count(*) FROM (SELECT pol FROM director GROUP BY pol HAVING count(*) >= 5) UNION ALL SELECT 'single_director', count(*) FROM (SELECT comp FROM director GROUP BY comp HAVING count(*) = 1)""")
-def motifs(t: Tables) -> DataFrame:
-    def groups(df: DataFrame, key: str, rule: str, name: str) -> DataFrame:
-        return df.groupBy(key).agg(F.count(F.lit(1)).alias("c")).filter(rule).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("motif"), "n")
-
-    return groups(t.won, "comp", "c >= 3", "repeat_winner").union(groups(t.director, "pol", "c >= 5", "many_directorships")).union(groups(t.director, "comp", "c = 1", "single_director"))
-
-
-@query("dt35_profile", """SELECT c.comp, c.name, coalesce(w.n, 0) AS contracts, list_sort(coalesce(d.people, [])) AS people FROM company c LEFT JOIN (SELECT comp, count(*) AS n FROM won GROUP BY comp) w USING (comp) LEFT JOIN (SELECT comp, list(pol) AS people FROM director GROUP BY comp) d USING (comp)""")
-def profile(t: Tables) -> DataFrame:
-    w, d = t.won.groupBy("comp").agg(F.count(F.lit(1)).alias("n")), t.director.groupBy("comp").agg(F.sort_array(F.collect_list("pol")).alias("people"))
-    return t.company.join(w, "comp", "left").join(d, "comp", "left").select("comp", "name", F.coalesce("n", F.lit(0)).alias("contracts"), F.coalesce("people", F.array().cast("array<bigint>")).alias("people"))
-
-
 @query("gr09_ego_edges", """SELECT DISTINCT d.pol AS ego, o.src, o.dst FROM director d JOIN owns o ON d.comp IN (o.src, o.dst)""")
 def ego_edges(t: Tables) -> DataFrame:
     ends = t.owns.select("src", "dst", F.explode(F.array("src", "dst")).alias("comp"))

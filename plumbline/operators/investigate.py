@@ -91,21 +91,3 @@ def debate(t: Tables) -> DataFrame:
     v = s.withColumn("agents", F.when(F.col("n") >= 5, 7).when(F.col("n") >= 3, 5).otherwise(3)).withColumn("agent", F.explode(F.sequence(F.lit(0), F.col("agents") - 1)))
     opinion = 0.5 + 0.05 * ((F.col("agent") + F.col("n")) % 5)
     return v.groupBy("pol", "agents").agg(F.round(F.avg(opinion), 4).alias("confidence"), F.round(F.greatest(F.lit(0.0), 1 - 5 * F.stddev_pop(opinion)), 4).alias("drift"))
-
-
-@query("dt29_weights", FINDINGS + ", c AS (SELECT investigator, count(*) AS n, CAST(sum(CASE WHEN severity = 'HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS confirmed FROM f GROUP BY investigator), ww AS (SELECT investigator, CASE WHEN confirmed >= 3 THEN least(0.5, 0.1 + 0.01) ELSE greatest(0.01, 0.1 - 0.005) END AS w FROM c) SELECT investigator, round(w / sum(w) OVER (), 6) AS weight FROM ww")
-def weights(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    c = findings(t).groupBy("investigator").agg(F.sum(F.when(F.col("severity") == "HIGH", 1).otherwise(0)).alias("confirmed"))
-    w = F.when(F.col("confirmed") >= 3, F.least(F.lit(0.5), F.lit(0.1 + 0.01))).otherwise(F.greatest(F.lit(0.01), F.lit(0.1 - 0.005)))
-    return c.select("investigator", w.alias("w")).select("investigator", F.round(F.col("w") / F.sum("w").over(Window.partitionBy()), 6).alias("weight"))
-
-
-@query("dt31_source_health", """SELECT label, n, CASE WHEN n = 0 THEN 'fail' WHEN n < 100 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT 'events' AS label, count(*) AS n FROM events UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark)""")
-def source_health(t: Tables) -> DataFrame:
-    out = None
-    for name in ("events", "pages", "benchmark"):
-        one = t.raw(name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("label"), "n")
-        out = one if out is None else out.union(one)
-    return out.withColumn("status", F.when(F.col("n") == 0, "fail").when(F.col("n") < 100, "warn").otherwise("pass"))
