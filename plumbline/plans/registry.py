@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "jn01_director_contracts"
 
-MODULES = ("operators.patterns", "operators.detectors", "operators.graph", "operators.resolution", "operators.investigate", "operators.evidence", "operators.library", "operators.loaders", "operators.forensics", "functions.text", "operators.search", "sources.extract", "streaming.windows")
+MODULES = ("operators.patterns", "operators.detectors", "operators.graph", "operators.resolution", "operators.library", "operators.loaders", "operators.forensics", "operators.investigate", "operators.evidence", "functions.text", "operators.search", "sources.extract", "streaming.windows")
 
 
 def query(name: str, oracle: str | None = None):
