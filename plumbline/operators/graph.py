@@ -88,9 +88,13 @@ def component_sizes(t: Tables) -> DataFrame:
 
 
 @query("gr01_pagerank")
-def pagerank(t: Tables, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """PageRank with uniform redistribution of dangling mass; parallel edges count once."""
-    e = settle(edges(t).select("src", "dst").distinct())
+def pagerank(t: Tables, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    """PageRank with uniform redistribution of dangling mass until the ranks move by less than nodes x tolerance; parallel edges count once."""
+    return pagerank_of(edges(t).select("src", "dst"), damping, rounds, tolerance)
+
+
+def pagerank_of(e: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    e = settle(e.distinct())
     nodes = settle(e.select(F.col("src").alias("id")).union(e.select("dst")).distinct())
     n = nodes.count()
     out = settle(e.join(e.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src"))
@@ -99,7 +103,11 @@ def pagerank(t: Tables, damping: float = 0.85, rounds: int = 20) -> DataFrame:
         sent = out.join(rank.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("degree")).alias("got"))
         new = nodes.join(sent, "id", "left").select("id", F.coalesce("got", F.lit(0.0)).alias("got"))
         lost = new.agg((1 - F.sum("got")).alias("lost"))
-        rank = settle(new.crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank")))
+        after = settle(new.crossJoin(F.broadcast(lost)).select("id", ((1 - damping) / n + damping * (F.col("got") + F.col("lost") / n)).alias("rank")))
+        moved = after.join(rank.withColumnRenamed("rank", "before"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        rank = after
+        if moved is None or moved < n * tolerance:
+            break
     return rank.select("id", F.round("rank", 8).alias("rank"))
 
 
@@ -136,13 +144,37 @@ def betweenness(t: Tables) -> DataFrame:
 
     e = settle(undirected(t))
     root = labels(e).withColumnRenamed("id", "src")
-    return e.join(root, "src").groupBy("root").applyInPandas(brandes, "id string, score double")
+    return e.join(root, "src").groupBy("root").applyInPandas(brandes, "id string, score double").withColumn("bridge", F.col("score") > 0.1)
+
+
+@query("gr08_ego_role")
+def ego_role(t: Tables) -> DataFrame:
+    """Each company's part in its own neighbourhood: degree, betweenness among its neighbours' pairs (those not linked themselves), and whether it is above .3.
+
+    In the graph of a vertex and its neighbours, the vertex lies between a pair of neighbours on one of 1 + common paths, unless they are linked."""
+    e = settle(undirected(t))
+    first = e.filter("src like 'c%'").select(F.col("src").alias("ego"), F.col("dst").alias("a"))
+    degree = first.groupBy("ego").agg(F.count(F.lit(1)).alias("degree"))
+    # links among the neighbours
+    inner = first.join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").join(first.withColumnRenamed("a", "b"), ["ego", "b"], "left_semi").select("ego", "a", "b")
+    two = inner.join(inner.select("ego", F.col("a").alias("b"), F.col("b").alias("c")), ["ego", "b"]).filter("a < c").groupBy("ego", "a", "c").agg(F.count(F.lit(1)).alias("common"))
+    linked = inner.filter("a < b").select("ego", "a", F.col("b").alias("c"))
+    near = two.join(linked, ["ego", "a", "c"], "left_anti").groupBy("ego").agg(F.sum(1 / (1 + F.col("common"))).alias("some"), F.count(F.lit(1)).alias("pairs"))
+    direct = linked.groupBy("ego").agg(F.count(F.lit(1)).alias("links"))
+    x = degree.join(near, "ego", "left").join(direct, "ego", "left").fillna(0, ["some", "pairs", "links"])
+    pairs = F.col("degree") * (F.col("degree") - 1) / 2
+    # the other pairs have no path but through the vertex
+    score = F.when(pairs > 0, (pairs - F.col("links") - F.col("pairs") + F.col("some")) / pairs).otherwise(0.0)
+    return x.select("ego", "degree", F.round(score, 6).alias("betweenness"), (score > 0.3).alias("broker"))
 
 
 @query("gr06_ego_spectrum")
 def ego_spectrum(t: Tables) -> DataFrame:
     """Second Laplacian eigenvalue of each company's two-hop neighbourhood, and its bridges' number."""
 
+    def band(value: float) -> str:
+        return "fragile" if value < 0.1 else "loose" if value < 0.5 else "tight"
+
     def spectrum(frame: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
 
@@ -155,12 +187,12 @@ def ego_spectrum(t: Tables) -> DataFrame:
             laplacian[j, j] += 1
             laplacian[i, j] = laplacian[j, i] = -1
         values = np.linalg.eigvalsh(laplacian)
-        return pd.DataFrame({"ego": [frame.ego.iloc[0]], "n": [len(names)], "fiedler": [round(float(values[1]), 6) if len(names) > 1 else 0.0]})
+        return pd.DataFrame({"ego": [frame.ego.iloc[0]], "n": [len(names)], "fiedler": [round(float(values[1]), 6) if len(names) > 1 else 0.0], "band": [band(float(values[1])) if len(names) > 1 else "none"]})
 
     e = undirected(t)
     first = e.select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b")).filter("ego like 'c%'")
     second = first.select("ego", F.col("b").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").select("ego", "a", "b")
-    return first.union(second).distinct().groupBy("ego").applyInPandas(spectrum, "ego string, n long, fiedler double")
+    return first.union(second).distinct().groupBy("ego").applyInPandas(spectrum, "ego string, n long, fiedler double, band string")
 
 
 @query("gr03_label_communities")
@@ -174,4 +206,4 @@ def label_communities(t: Tables, rounds: int = 5) -> DataFrame:
         votes = e.join(label.withColumnsRenamed({"id": "dst"}), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.count(F.lit(1)).alias("n"))
         w = Window.partitionBy("id").orderBy(F.col("n").desc(), "label")
         label = settle(votes.withColumn("k", F.row_number().over(w)).filter("k = 1").select("id", "label"))
-    return label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return label.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").withColumn("large", F.col("n") >= 5)

@@ -40,14 +40,67 @@ def feed(t: Tables, newest: int = 8) -> DataFrame:
     return t.event.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= newest).select("kind", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
-def follow_feed(stream: DataFrame, sink, checkpoint: str, trigger: str = "15 seconds"):
-    """The feed on a stream: sink(batch, id) gets a batch only when it brings new ids."""
+def follow_feed(stream: DataFrame, sink, state: str, checkpoint: str, newest: int = 8, trigger: dict | None = None):
+    """The feed on a stream: sink(rows, number) gets the newest rows of each kind only when their ids have changed. The rows last sent are kept in the folder `state`, one version a batch."""
+    from pyspark.errors import AnalysisException
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("kind").orderBy(F.col("ts").desc(), F.col("event_id").desc())
 
     def send(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            sink(batch, number)
+        spark = batch.sparkSession
+        try:
+            sent = spark.read.parquet(f"{state}/last={number - 1}")
+        except AnalysisException:
+            sent = batch.limit(0)
+        now = sent.unionByName(batch).dropDuplicates(["event_id"]).withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= newest).drop("_k")
+        now.write.mode("overwrite").parquet(f"{state}/last={number}")
+        now = spark.read.parquet(f"{state}/last={number}")
+        if not now.select("event_id").exceptAll(sent.select("event_id")).isEmpty():
+            sink(now, number)
+
+    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "15 seconds"})).start()
+
+
+#: Requests that a key may make in a window, by kind; other kinds have OTHERS.
+LIMITS = {"purchase": 2, "signup": 3, "error": 1}
+OTHERS = 5
+
+
+@query("st02_limiter", """SELECT event_id, n, n <= CASE kind WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 WHEN 'error' THEN 1 ELSE 5 END AS allowed FROM (SELECT event_id, kind, count(*) OVER (PARTITION BY pol, kind ORDER BY epoch(ts) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, pol, kind, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM event))""")
+def limiter(t: Tables, seconds: int = 86_400) -> DataFrame:
+    """Requests of each key in the window that ends with each of them, against the limit of its kind."""
+    from pyspark.sql import Window
 
-    return stream.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start()
+    w = Window.partitionBy("pol", "kind").orderBy("s").rangeBetween(-(seconds - 1), 0)
+    known = F.create_map(*[F.lit(x) for pair in LIMITS.items() for x in pair])
+    x = t.event.select("event_id", "pol", "kind", F.unix_timestamp("ts").alias("s")).withColumn("n", F.count(F.lit(1)).over(w))
+    return x.select("event_id", "n", (F.col("n") <= F.coalesce(known[F.col("kind")], F.lit(OTHERS))).alias("allowed"))
+
+
+def limit_stream(events: DataFrame, seconds: int = 60, idle: str = "300 seconds") -> DataFrame:
+    """The limiter on a stream with a watermark on ts: a key keeps the times of its last window, and is forgotten when it has been idle for longer (event time)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    wait = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(frames)).sort_values(["s", "event_id"])
+        out = []
+        for s, group in rows.groupby("s", sort=True):
+            times = [x for x in times if x > s - seconds] + [int(s)] * len(group)
+            out += [(int(e), len(times), len(times) <= LIMITS.get(key[1], OTHERS)) for e in group.event_id]
+        state.update((times,))
+        state.setTimeoutTimestamp(max(int(rows.s.max()) * 1000, state.getCurrentWatermarkMs()) + wait)
+        yield pd.DataFrame(out, columns=["event_id", "n", "allowed"])
+
+    keyed = events.withColumn("s", F.unix_timestamp("ts")).groupBy("pol", "kind")
+    return keyed.applyInPandasWithState(step, "event_id long, n long, allowed boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def merge_stream(stream: DataFrame, path: str, key: str, version: str, checkpoint: str):

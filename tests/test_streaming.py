@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from plumbline.plans.tables import Tables
+from plumbline.streaming import windows
 from plumbline.streaming.windows import merge_stream, tumbling
 
 
@@ -24,3 +25,40 @@ def test_merge_stream(spark, sf_dir, tmp_path):
     last = sorted((tmp_path / "out").iterdir(), key=lambda p: int(p.name[1:]))[-1]
     got = {(r.id, r.version) for r in spark.read.parquet(str(last)).collect()}
     assert got == {(r.id, r.v) for r in rows.groupBy("id").agg(F.max("version").alias("v")).collect()}
+
+
+def test_feed_sends_changes_only(spark, sf_dir, tmp_path):
+    t = Tables(spark, sf_dir)
+    rows = t.event.select("event_id", "ts", "kind")
+    sent = []
+    for part, df in (("a", rows.orderBy(F.col("ts").desc()).limit(200)), ("b", rows.orderBy("ts").limit(20))):
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        windows.follow_feed(stream, lambda x, k, part=part: sent.append((part, {r.event_id for r in x.collect()})), str(tmp_path / "s"), str(tmp_path / "c"), trigger={"availableNow": True}).awaitTermination(90)
+    # the old rows of the second batch change nothing
+    assert [p for p, _ in sent] == ["a"] and len(sent[0][1]) >= 8
+
+
+def test_limiter_stream(spark, tmp_path):
+    times = [(e, 10_000 + s) for e, s in ((1, 0), (2, 10), (3, 59), (4, 61), (5, 1000), (6, 1001))]
+    rows = spark.createDataFrame([(e, 7, "error", s) for e, s in times], "event_id long, pol long, kind string, s long").selectExpr("event_id", "pol", "kind", "timestamp_seconds(s) ts")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).withWatermark("ts", "10 seconds")
+    q = windows.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    got = {r.event_id: (r.n, r.allowed) for r in spark.table("limited").collect()}
+    assert got == {e: (n := sum(1 for _, x in times if s - 60 < x <= s), n <= 1) for e, s in times}
+
+
+def test_audit_log(spark, tmp_path):
+    from plumbline.sources import extract
+
+    path = str(tmp_path / "log")
+    for k in range(3):
+        extract.append_audit(spark.createDataFrame([(f"t{k}{i}", f"entry {i}") for i in range(4)], "ts string, entry string"), path)
+    assert [r.valid for r in extract.verify_audit(spark, path).orderBy("batch").collect()] == [True] * 3
+    target = next(p for p in sorted((tmp_path / "log" / "entries").glob("*.json")) if "entry 2" in p.read_text() and "t1" in p.read_text())
+    target.write_text(target.read_text().replace("entry 2", "entry X"))
+    for crc in target.parent.glob(".*.crc"):
+        crc.unlink()
+    assert [r.valid for r in extract.verify_audit(spark, path).orderBy("batch").collect()] == [True, False, True]
