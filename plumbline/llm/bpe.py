@@ -29,10 +29,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import released
+from plumbline.llm.common import give_back, released
 
 #: Bytes of texts that are encoded at once.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_000_000
 #: Verdicts on pairs that are kept between chunks.
 PAIRS = 500_000
 #: Words of more symbols than this are proposed and merged one by one, over a heap.
@@ -433,7 +433,7 @@ class Codec:
 
     def chunks(self, texts: pa.Array) -> Iterator[tuple[int, int]]:
         """Ranges of texts that come to CHUNK_BYTES together, one text at least."""
-        upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < len(texts):
             before = int(upto[at - 1]) if at else 0
@@ -443,9 +443,9 @@ class Codec:
 
     def run(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, pa.Array]]:
         """Chunk by chunk: first text, text after the last, ids, offsets of each text's ids, decoded texts."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
         for at, end in self.chunks(texts):
-            ids, sizes = self.encode_chunk(texts.slice(at, end - at))
+            # a chunk's texts only: a batch holds the whole texts of thousands of rows
+            ids, sizes = self.encode_chunk(pc.fill_null(texts.slice(at, end - at).cast(pa.large_string()), ""))
             offsets = np.r_[0, np.cumsum(sizes)]
             yield at, end, ids.astype("<u4"), offsets, self.decode_all(ids, offsets)
 
@@ -473,6 +473,8 @@ def codec(path: str) -> Codec:
     """One codec for each file and worker."""
     if path not in _codecs:
         _codecs[path] = Codec(path)
+        # reading the file takes several times what the codec keeps
+        give_back()
     return _codecs[path]
 
 

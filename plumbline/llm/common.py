@@ -45,6 +45,15 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no such function in this C library
+        pass
+
+
 def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """f over a partition; when it ends, a reused Python worker gives its free memory back to the system."""
 
@@ -53,10 +62,6 @@ def released(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
         try:
             yield from f(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # no such function in this C library
-                pass
+            give_back()
 
     return run
