@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, html_extract, license_scan, mixing, near_dedup, pii, quality, token_counts, topk, toxicity
+from plumbline.llm import bpe, conversations, hard_negatives, html_extract, license_scan, mixing, near_dedup, pii, quality, sharding, token_counts, topk, toxicity
 from plumbline.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k_of_table(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_table(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_digests(table(spark, sf_dir, "conversations"))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_slots(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_bpe": op2_bpe,
@@ -71,10 +83,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_html": op9_html,
     "op10_topk": op10_topk,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_conversations": op12_conversations,
+    "op13_sharding": op13_sharding,
 }
 
 _RULES = " AND ".join([f"{name} >= {least}" for name, least, _ in quality.THRESHOLDS if least is not None] + [f"{name} <= {most}" for name, _, most in quality.THRESHOLDS if most is not None])
 
+_USER, _OTHER = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+
+
+def _step(state: str, cost: int | str, edit: str, row: str) -> str:
+    """SQL of a state, a list of padded cost with audit and repaired text, after one more edit."""
+    return f"list_transform([{state}], lambda z: CASE WHEN z IS NOT NULL THEN [lpad(CAST(CAST(z[1][1:6] AS BIGINT) + {cost} AS VARCHAR), 6, '0') || z[1][7:] || '{edit}', z[2] || {row}] END)[1]"
+
+
 ORACLES: dict[str, str] = {
     "op7_quality": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -114,4 +137,55 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM s)
         SELECT query_id, CAST(k AS INTEGER) AS "rank", vec_id, score FROM r WHERE k <= 10
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id AS vec_id, a.label = c.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id % 100 = 0 AND c.vec_id <> a.vec_id),
+        p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+              QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+        n AS (
+            SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+                   row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS k
+            FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score)
+        SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS "rank", negative_id, positive_score, negative_score FROM n WHERE k <= 5
+    """,
+    # crc32 by its shift register over the bytes of the key; then one step a row, keeping for each state the best that leads to it
+    "op12_conversations": rf"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+        b AS (SELECT *, flatten(list_transform(string_split(k, ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])) AS b FROM c),
+        h AS (SELECT *, xor(list_reduce(b, lambda s, x: CASE WHEN x >= 0 THEN xor(s, x) ELSE xor(s >> 1, 3988292384 * (s & 1)) END, 4294967295::BIGINT), 4294967295::BIGINT) % 20 AS d FROM b),
+        d AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role, CASE WHEN d = 1 THEN '' WHEN d = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+              FROM (SELECT *, unnest(range(CASE WHEN d = 3 THEN 2 ELSE 1 END)) FROM h WHERE d <> 0)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM d),
+        f AS (SELECT *, substring(role, 1, 1) AS x, chr(10) || role || ':' || text AS line, chr(10) || 'user:' || text AS user_line, chr(10) || 'assistant:' || text AS other_line,
+                     CASE WHEN body = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault FROM o),
+        n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+                     count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated FROM f GROUP BY conv_id),
+        g AS (SELECT conv_id, count(*) AS illegal FROM (SELECT conv_id, lag(x) OVER (PARTITION BY conv_id ORDER BY i) || x AS p FROM f) WHERE p NOT IN ('su', 'ua', 'au') GROUP BY conv_id),
+        -- a state is [cost and audit, repaired rows], or null; e: nothing stays yet; s, u, a: the initial that stays last
+        w AS (
+            SELECT conv_id, 0::BIGINT AS i, ['000000', ''] AS e, NULL::VARCHAR[] AS s, ['000002I', {_USER}] AS u, ['000004II', {_USER} || {_OTHER}] AS a FROM n
+            UNION ALL
+            SELECT conv_id, i, e, s, list_min([u, {_step('a', 2, 'I', _USER)}]), list_min([a, {_step('u', 2, 'I', _OTHER)}])
+            FROM (SELECT conv_id, i, e, s, list_min([u, {_step('s', 2, 'I', _USER)}, {_step('e', 2, 'I', _USER)}]) AS u, a
+                  FROM (SELECT f.conv_id, f.i, {_step('e', 3, 'D', "''")} AS e,
+                               list_min([{_step('s', 3, 'D', "''")}, CASE WHEN stays AND x = 's' THEN {_step('e', 'cut', 'K', 'line')} END]) AS s,
+                               list_min([{_step('u', 3, 'D', "''")}, CASE WHEN stays AND x = 'u' THEN {_step('list_min([e, s, a])', 'cut', 'K', 'line')} END,
+                                         CASE WHEN stays THEN {_step('list_min([e, s, a])', '2 + cut', 'R', 'user_line')} END]) AS u,
+                               list_min([{_step('a', 3, 'D', "''")}, CASE WHEN stays AND x = 'a' THEN {_step('u', 'cut', 'K', 'line')} END, CASE WHEN stays THEN {_step('u', '2 + cut', 'R', 'other_line')} END]) AS a
+                        FROM w JOIN (SELECT *, fault IN ('o', 't') AS stays, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS cut FROM f) f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1))),
+        l AS (SELECT n.*, list_min([w.e, w.a]) AS best FROM n JOIN w ON n.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = n.n)
+        SELECT t.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(CAST(best[1][1:6] AS BIGINT), 0) AS cost, coalesce(best[1][7:], '') AS audit, sha256(coalesce(substring(best[2], 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN l ON l.conv_id IS NOT DISTINCT FROM t.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM t.conv_id
+    """,
 }
