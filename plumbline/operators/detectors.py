@@ -30,23 +30,46 @@ def _risk_parts(t: Tables) -> DataFrame:
     return t.politician.join(directed, "pol", "left").join(own, "pol", "left").select("pol", "party", "assets", zero("directed").alias("directed"), zero("own").alias("own"), zero("cases").alias("cases"))
 
 
-@query("dt01_risk_score", """, won_n AS (SELECT comp, count(*) AS n FROM won GROUP BY comp), d AS (SELECT pol, CAST(sum(n) AS BIGINT) AS directed FROM director JOIN won_n USING (comp) GROUP BY pol), o AS (SELECT cust AS pol, count(*) AS own, CAST(sum(CASE WHEN total > 300000 THEN 1 ELSE 0 END) AS BIGINT) AS cases FROM contract GROUP BY cust), x AS (SELECT p.pol, least(10 * coalesce(directed, 0), 35) + least(8 * coalesce(own, 0), 25) + CASE WHEN regexp_matches(CAST(assets AS VARCHAR), '[0-9]') THEN 5 ELSE 0 END + least(3 * coalesce(cases, 0), 5) AS s FROM politician p LEFT JOIN d USING (pol) LEFT JOIN o USING (pol)) SELECT pol, CAST(least(s, 100) AS BIGINT) AS score, CASE WHEN s <= 30 THEN 'LOW' WHEN s <= 60 THEN 'MODERATE' WHEN s <= 80 THEN 'HIGH' ELSE 'VERY_HIGH' END AS level FROM x""")
-def risk_score(t: Tables) -> DataFrame:
-    x = _risk_parts(t)
-    raw = F.least(10 * F.col("directed"), F.lit(35)) + F.least(8 * F.col("own"), F.lit(25)) + F.when(F.col("assets").cast("string").rlike("[0-9]"), 5).otherwise(0) + F.least(3 * F.col("cases"), F.lit(5))
-    return x.select("pol", F.least(raw, F.lit(100)).cast("long").alias("score")).withColumn("level", level(F.col("score")))
+def named_in_audits(names: DataFrame, t: Tables) -> DataFrame:
+    """id and audits: how many audit titles contain each of the names (id, name)."""
+    from plumbline.operators.loaders import contains_join
+
+    found = contains_join(t.audit_title.select(F.col("doc_id").alias("id"), F.col("title").alias("name")), names.select(F.col("id").alias("mid"), F.col("name").alias("mention")))
+    return found.groupBy(F.col("mid").alias("id")).agg(F.count(F.lit(1)).alias("audits"))
+
 
+_PERSON = """, won_n AS (SELECT comp, count(*) AS n FROM won GROUP BY comp), d AS (SELECT pol, CAST(sum(n) AS BIGINT) AS directed FROM director JOIN won_n USING (comp) GROUP BY pol), o AS (SELECT cust AS pol, count(*) AS own, CAST(sum(CASE WHEN total > 300000 THEN 1 ELSE 0 END) AS BIGINT) AS cases FROM contract GROUP BY cust), au AS (SELECT pol, count(*) AS audits FROM audit_title JOIN politician ON contains(lower(title), lower(name)) GROUP BY pol), px AS (SELECT p.pol, least(10 * coalesce(directed, 0), 35) AS contracts, least(8 * coalesce(own, 0), 25) AS own, least(10 * coalesce(audits, 0), 20) AS audit, CASE WHEN regexp_matches(CAST(assets AS VARCHAR), '[0-9]') THEN 5 ELSE 0 END AS assets, least(3 * coalesce(cases, 0), 5) AS cases FROM politician p LEFT JOIN d USING (pol) LEFT JOIN o USING (pol) LEFT JOIN au USING (pol)), ps AS (SELECT *, contracts + own + audit + assets + cases AS s FROM px)"""
 
-@query("dt03_batch_ranking", """, o AS (SELECT cust AS pol, count(*) AS own FROM contract GROUP BY cust) SELECT pol, CAST(least(8 * coalesce(own, 0), 25) AS BIGINT) AS score FROM politician LEFT JOIN o USING (pol) ORDER BY score DESC, pol LIMIT 50""")
-def batch_ranking(t: Tables) -> DataFrame:
-    own = t.contract.groupBy(F.col("cust").alias("pol")).agg(F.count(F.lit(1)).alias("own"))
-    return t.politician.select("pol").join(own, "pol", "left").select("pol", F.least(8 * F.coalesce("own", F.lit(0)), F.lit(25)).cast("long").alias("score")).orderBy(F.col("score").desc(), "pol").limit(50)
+
+@query("dt01_risk_score", _PERSON + """ SELECT pol, CAST(least(s, 100) AS BIGINT) AS score, CASE WHEN s <= 30 THEN 'LOW' WHEN s <= 60 THEN 'MODERATE' WHEN s <= 80 THEN 'HIGH' ELSE 'VERY_HIGH' END AS level FROM ps""")
+def risk_score(t: Tables) -> DataFrame:
+    """Five indicators, each capped, summed: directed companies' contracts, own ones, audits that name the person, declared assets, cases."""
+    x = _risk_parts(t).join(named_in_audits(t.politician.select(F.col("pol").alias("id"), "name"), t).withColumnRenamed("id", "pol"), "pol", "left")
+    audits = F.least(10 * F.coalesce("audits", F.lit(0)), F.lit(20))
+    raw = F.least(10 * F.col("directed"), F.lit(35)) + F.least(8 * F.col("own"), F.lit(25)) + audits + F.when(F.col("assets").cast("string").rlike("[0-9]"), 5).otherwise(0) + F.least(3 * F.col("cases"), F.lit(5))
+    return x.select("pol", F.least(raw, F.lit(100)).cast("long").alias("score")).withColumn("level", level(F.col("score")))
 
 
-@query("dt05_shadow_director", """, a AS (SELECT nk, count(*) AS at_address FROM company GROUP BY nk HAVING count(*) >= 3), m AS (SELECT pol, count(*) AS n FROM director GROUP BY pol HAVING count(*) >= 2) SELECT 'address' AS kind, CAST(nk AS BIGINT) AS id, at_address AS n FROM a UNION ALL SELECT 'person', pol, n FROM m""")
-def shadow_director(t: Tables) -> DataFrame:
-    a = t.company.groupBy("nk").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select(F.lit("address").alias("kind"), F.col("nk").cast("long").alias("id"), "n")
-    return a.union(t.director.groupBy("pol").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select(F.lit("person"), "pol", "n"))
+@query("dt03_batch_ranking", _PERSON + """, ca AS (SELECT comp, count(*) AS audits FROM audit_title JOIN company ON contains(lower(title), lower(name)) GROUP BY comp), b AS (SELECT 'person' AS kind, pol AS id, least(s, 100) AS score FROM ps UNION ALL SELECT 'company', comp, least(8 * coalesce(n, 0), 25) + least(10 * coalesce(audits, 0), 20) FROM company LEFT JOIN won_n USING (comp) LEFT JOIN ca USING (comp)) SELECT kind, id, CAST(score AS BIGINT) AS score, CAST(row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) AS INTEGER) AS place FROM b QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, id) <= 50""")
+def batch_ranking(t: Tables, most: int = 50) -> DataFrame:
+    """The people and the companies of the highest risk scores; a company's indicators are its own contracts and the audits that name it."""
+    people = risk_score(t).select(F.lit("person").alias("kind"), F.col("pol").alias("id"), "score")
+    won = t.won.groupBy(F.col("comp").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    names = t.company.select(F.col("comp").alias("id"), "name")
+    x = names.join(won, "id", "left").join(named_in_audits(names, t), "id", "left")
+    score = F.least(8 * F.coalesce("n", F.lit(0)), F.lit(25)) + F.least(10 * F.coalesce("audits", F.lit(0)), F.lit(20))
+    ranked = people.union(x.select(F.lit("company"), "id", score.cast("long")))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.col("score").desc(), "id"))
+    return ranked.withColumn("place", place).filter(F.col("place") <= most)
+
+
+@query("dt05_shadow_director", """, ad AS (SELECT comp, CASE WHEN comp % 2 = 0 THEN ' ' || upper(state) ELSE state END || ' road ' || comp // 7 % 2 AS address FROM company), a AS (SELECT lower(trim(address)) AS address, count(*) AS n FROM ad GROUP BY 1 HAVING count(*) >= 3), m AS (SELECT pol, count(*) AS n FROM director GROUP BY pol HAVING count(*) >= 10) SELECT 'address' AS kind, address AS id, n FROM a UNION ALL SELECT 'person', CAST(pol AS VARCHAR), n FROM m""")
+def shadow_director(t: Tables, shared: int = 3, seats: int = 10) -> DataFrame:
+    """Addresses, but for case and margins, of three companies and more; people of ten directorships and more. The tables have no addresses: they are put together from state and number."""
+    address = F.concat(F.when(F.col("comp") % 2 == 0, F.concat(F.lit(" "), F.upper("state"))).otherwise(F.col("state")), F.lit(" road "), F.expr("comp div 7 % 2").cast("string"))
+    a = t.company.select(F.lower(F.trim(address)).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= shared)
+    people = t.director.groupBy("pol").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= seats)
+    return a.select(F.lit("address").alias("kind"), "id", "n").union(people.select(F.lit("person"), F.col("pol").cast("string"), "n"))
 
 
 @query("dt07_benford", """, d AS (SELECT CAST(left(ltrim(replace(printf('%.2f', o_totalprice), '.', ''), '0'), 1) AS INTEGER) AS digit FROM orders WHERE o_totalprice >= 1), n AS (SELECT count(*) AS n FROM d), x AS (SELECT g.digit, (SELECT count(*) FROM d WHERE d.digit = g.digit) AS observed, n * log10(1 + 1.0 / g.digit) AS expected, n FROM (SELECT unnest(generate_series(1, 9)) AS digit) g, n) SELECT CAST(digit AS INTEGER) AS digit, observed, round(expected, 4) AS expected, round(sum((observed - expected) ** 2 / expected) OVER (), 4) AS chi_squared, abs(observed / n - expected / n) > 0.05 AS deviates FROM x""")

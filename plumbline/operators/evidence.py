@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import patterns
-from plumbline.operators.graph import undirected
 from plumbline.operators.investigate import FINDINGS, findings
 from plumbline.plans.registry import query
 from plumbline.plans.tables import Tables
@@ -112,32 +110,3 @@ def biography(t: Tables) -> DataFrame:
 def ego_edges(t: Tables) -> DataFrame:
     ends = t.owns.select("src", "dst", F.explode(F.array("src", "dst")).alias("comp"))
     return t.director.join(ends, "comp").select(F.col("pol").alias("ego"), "src", "dst").distinct()
-
-
-@query("gr07_bridges")
-def bridges(t: Tables) -> DataFrame:
-    """Cut edges of each two-hop neighbourhood, one group a company."""
-
-    def cut_edges(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set[str]] = {}
-        for a, b in zip(frame.a, frame.b, strict=True):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        pairs = sorted({tuple(sorted((a, b))) for a, bs in near.items() for b in bs})
-        found = []
-        for a, b in pairs:
-            seen, todo = {a}, [a]
-            while todo:
-                v = todo.pop()
-                for w in near[v]:
-                    if w not in seen and {v, w} != {a, b}:
-                        seen.add(w)
-                        todo.append(w)
-            if b not in seen:
-                found.append((frame.ego.iloc[0], a, b))
-        return pd.DataFrame(found, columns=["ego", "a", "b"])
-
-    e = undirected(t)
-    first = e.filter("src like 'c%'").select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    second = first.select("ego", F.col("b").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").select("ego", "a", "b")
-    return first.union(second).distinct().groupBy("ego").applyInPandas(cut_edges, "ego string, a string, b string")

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import skip_bigrams, similar_pairs, word_shares, FUNCTION_WORDS, SKIP_SQL
+from plumbline.functions.text import cosine_pairs, skip_bigrams, similar_pairs, word_shares, FUNCTION_WORDS, SKIP_SQL
 from plumbline.operators.library import topic_words, sections_of
 from plumbline.plans.registry import query
 from plumbline.plans.tables import Tables
@@ -208,6 +208,53 @@ def template_pairs(t: Tables, least: float = 0.78) -> DataFrame:
     return similar_pairs(sets, least).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+_SHADOW = f", dr AS (SELECT (item_id % 100000) // 10 AS g, item_id, text, CASE WHEN (item_id % 100000) // 10 % 2 = 1 THEN 'audit' WHEN item_id < 100000 THEN 'submission' ELSE 'policy' END AS type FROM {_DRAFTS}), hv AS (SELECT g, count(*) FILTER (type = 'submission') > 0 AND count(*) FILTER (type = 'policy') > 0 AS typed, count(*) AS m FROM dr GROUP BY g), sd AS (SELECT g, item_id, text, CASE WHEN typed THEN CASE type WHEN 'submission' THEN 0 WHEN 'policy' THEN 1 END ELSE CASE WHEN row_number() OVER (PARTITION BY g ORDER BY item_id) <= m // 2 THEN 0 ELSE 1 END END AS side FROM dr JOIN hv USING (g) WHERE m >= 2), f AS (SELECT g, item_id, side, w, count(*) AS n FROM (SELECT g, item_id, side, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM sd WHERE side IS NOT NULL) GROUP BY ALL), l AS (SELECT g, item_id, sqrt(sum(n * n)) AS l FROM f GROUP BY ALL), p AS (SELECT a.g, a.item_id AS a, b.item_id AS b, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.g = b.g AND a.w = b.w AND a.side = 0 AND b.side = 1 GROUP BY ALL), c AS (SELECT p.g, dot / x.l / y.l AS c FROM p JOIN l x ON x.item_id = a AND x.g = p.g JOIN l y ON y.item_id = b AND y.g = p.g)"
+
+
+@query("dt15_shadow_cosine", _SHADOW + " SELECT g, count(*) AS pairs, round(max(c), 4) AS similarity, max(c) >= 0.72 AS shadow FROM c WHERE c > 0.5 GROUP BY g")
+def shadow_cosine(t: Tables, kept: float = 0.5, flagged: float = 0.72) -> DataFrame:
+    """Submissions against policies of one entity by the cosine of their words: pairs above .5, the greatest, and whether it reaches .72.
+    An entity without submissions or without policies has its documents' first half, by number, compared with the rest."""
+    b = t.raw("benchmark")
+    both = b.select("item_id", "text").union(b.select(F.col("item_id") + 100_000, F.concat("text", F.lit(" drafted"))))
+    d = both.withColumn("g", F.expr("(item_id % 100000) div 10"))
+    d = d.withColumn("type", F.when(F.col("g") % 2 == 1, "audit").when(F.col("item_id") < 100_000, "submission").otherwise("policy"))
+    w = Window.partitionBy("g")
+    has = lambda kind: F.max((F.col("type") == kind).cast("int")).over(w) == 1
+    d = d.withColumn("typed", has("submission") & has("policy")).withColumn("m", F.count(F.lit(1)).over(w)).withColumn("k", F.row_number().over(w.orderBy("item_id")))
+    half = (F.col("k") > F.floor(F.col("m") / 2)).cast("int")
+    side = F.when(F.col("typed"), F.when(F.col("type") == "submission", 0).when(F.col("type") == "policy", 1)).otherwise(half)
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    f = d.filter("m >= 2").select("g", F.col("item_id").alias("id"), side.alias("side"), words.alias("w")).groupBy("g", "id", "side", "w").agg(F.count(F.lit(1)).alias("n"))
+    pairs = cosine_pairs(f.filter("side = 0"), kept, f.filter("side = 1"), ("g",)).filter(F.col("cosine") > kept)
+    return pairs.groupBy("g").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.max("cosine"), 4).alias("similarity"), (F.max("cosine") >= flagged).alias("shadow"))
+
+
+_BIDS = ", bd AS (SELECT l_suppkey AS comp, l_orderkey AS contract, string_agg(p_name, ' ' ORDER BY p_name) AS text FROM (SELECT DISTINCT l_suppkey, l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1, 2), tx AS (SELECT DISTINCT text FROM bd), f AS (SELECT text, w, count(*) AS n FROM (SELECT text, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS w FROM tx) GROUP BY 1, 2), l AS (SELECT text, sqrt(sum(n * n)) AS l FROM f GROUP BY 1), c AS (SELECT a, b, dot / x.l / y.l AS c FROM (SELECT a.text AS a, b.text AS b, sum(a.n * b.n) AS dot FROM f a JOIN f b ON a.w = b.w AND a.text < b.text GROUP BY 1, 2) JOIN l x ON x.text = a JOIN l y ON y.text = b WHERE dot / x.l / y.l > 0.3), n AS (SELECT comp, text, count(*) AS n FROM bd GROUP BY 1, 2), s AS (SELECT comp, sum(n) AS bids, sum(n * (n - 1) // 2) AS same FROM n GROUP BY comp HAVING sum(n) >= 3), x AS (SELECT a.comp, sum(a.n * b.n) AS pairs, sum(CASE WHEN c >= 0.72 THEN a.n * b.n ELSE 0 END) AS suspicious FROM c JOIN n a ON a.text = c.a JOIN n b ON b.text = c.b AND a.comp = b.comp GROUP BY a.comp)"
+
+
+@query("dt11_bid_pairs", _BIDS + " SELECT comp, CAST(bids AS BIGINT) AS bids, CAST(same + coalesce(pairs, 0) AS BIGINT) AS pairs, CAST(same + coalesce(suspicious, 0) AS BIGINT) AS suspicious, CASE WHEN same + coalesce(suspicious, 0) >= 3 THEN 'HIGH' WHEN same + coalesce(suspicious, 0) >= 1 THEN 'MODERATE' ELSE 'LOW' END AS level FROM s LEFT JOIN x USING (comp)")
+def bid_pairs(t: Tables, kept: float = 0.3, flagged: float = 0.72, least: int = 3) -> DataFrame:
+    """Of each company with three bids: pairs of bids whose descriptions have a cosine above .3, those at .72 and more, and the level these give.
+
+    A bid is described by the names of its parts. Different descriptions are compared once for all; a company's pairs follow from how
+    often it used each, so many equal bids cost one row."""
+    named = t.raw("lineitem").join(t.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    bids = named.groupBy(F.col("l_suppkey").alias("comp"), F.col("l_orderkey").alias("contract")).agg(F.array_join(F.sort_array(F.collect_set("p_name")), " ").alias("id"))
+    used = bids.groupBy("comp", "id").agg(F.count(F.lit(1)).alias("n"))
+    words = F.explode(F.regexp_extract_all(F.lower("id"), F.lit("[a-z0-9_]+"), F.lit(0)))
+    terms = used.select("id").distinct().select("id", words.alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
+    alike = cosine_pairs(terms, kept).filter(F.col("cosine") > kept)
+    a, b = (used.select("comp", F.col("id").alias(k), F.col("n").alias(f"n{k}")) for k in ("a", "b"))
+    both = F.col("na") * F.col("nb")
+    found = alike.join(a, "a").join(b, ["comp", "b"]).groupBy("comp").agg(F.sum(both).alias("pairs"), F.sum(F.when(F.col("cosine") >= flagged, both).otherwise(0)).alias("suspicious"))
+    n = F.col("n")
+    own = used.groupBy("comp").agg(F.sum("n").alias("bids"), F.sum((n * (n - 1) / 2).cast("long")).alias("same")).filter(F.col("bids") >= least)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    x = own.join(found, "comp", "left").select("comp", "bids", (F.col("same") + zero("pairs")).alias("pairs"), (F.col("same") + zero("suspicious")).alias("suspicious"))
+    return x.withColumn("level", F.when(F.col("suspicious") >= 3, "HIGH").when(F.col("suspicious") >= 1, "MODERATE").otherwise("LOW"))
+
+
 _SERIES = """, xs AS (SELECT pol, value AS x, row_number() OVER (PARTITION BY pol ORDER BY ts, event_id) AS k FROM event), ys AS (SELECT cust AS pol, total / 1000.0 AS y, row_number() OVER (PARTITION BY cust ORDER BY day, contract) AS k FROM contract), xy AS (SELECT pol, k, x, y, count(*) OVER (PARTITION BY pol) AS n FROM xs JOIN ys USING (pol, k))"""
 
 

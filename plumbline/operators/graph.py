@@ -111,42 +111,6 @@ def pagerank_of(e: DataFrame, damping: float = 0.85, rounds: int = 100, toleranc
     return rank.select("id", F.round("rank", 8).alias("rank"))
 
 
-@query("gr02_betweenness")
-def betweenness(t: Tables) -> DataFrame:
-    """Normalised betweenness within each component (Brandes in one group a component)."""
-
-    def brandes(frame: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(frame.src, frame.dst, strict=True):
-            near.setdefault(a, []).append(b)
-        score = dict.fromkeys(near, 0.0)
-        for s in near:
-            order, parents, paths, depth = [], {v: [] for v in near}, dict.fromkeys(near, 0), {s: 0}
-            paths[s], queue = 1, [s]
-            for v in queue:
-                order.append(v)
-                for w in near[v]:
-                    if w not in depth:
-                        depth[w] = depth[v] + 1
-                        queue.append(w)
-                    if depth[w] == depth[v] + 1:
-                        paths[w] += paths[v]
-                        parents[w].append(v)
-            share = dict.fromkeys(near, 0.0)
-            for w in reversed(order):
-                for v in parents[w]:
-                    share[v] += paths[v] / paths[w] * (1 + share[w])
-                if w != s:
-                    score[w] += share[w]
-        n = len(near)
-        scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-        return pd.DataFrame({"id": list(score), "score": [round(x * scale, 8) for x in score.values()]})
-
-    e = settle(undirected(t))
-    root = labels(e).withColumnRenamed("id", "src")
-    return e.join(root, "src").groupBy("root").applyInPandas(brandes, "id string, score double").withColumn("bridge", F.col("score") > 0.1)
-
-
 @query("gr08_ego_role")
 def ego_role(t: Tables) -> DataFrame:
     """Each company's part in its own neighbourhood: degree, betweenness among its neighbours' pairs (those not linked themselves), and whether it is above .3.

@@ -47,8 +47,12 @@ class Tables:
 
     @cached_property
     def director(self) -> DataFrame:
-        p, s = self.politician.select("pol", "nk"), self.company.select("comp", "nk")
-        return p.join(s, (p.nk == s.nk) & (p.pol % 10 == s.comp % 10)).select("pol", "comp")
+        """None to three companies a person, a dozen for one in fifty, drawn by the person's number: rows grow with the people alone."""
+        most = self.raw("supplier").agg((F.max("s_suppkey") + 1).alias("m"))
+        seats = F.when(F.col("pol") % 50 == 0, 12).otherwise(F.col("pol") % 4).cast("int")
+        drawn = self.politician.select("pol", F.explode(F.slice(F.sequence(F.lit(0), F.lit(11)), F.lit(1), seats)).alias("j")).crossJoin(F.broadcast(most))
+        drawn = drawn.select("pol", ((F.col("pol") * 31 + F.col("j") * 7) % F.col("m")).alias("comp")).distinct()
+        return drawn.join(self.company.select("comp"), "comp", "left_semi").select("pol", "comp")
 
     @cached_property
     def owns(self) -> DataFrame:
@@ -65,7 +69,19 @@ class Tables:
     @cached_property
     def audit(self) -> DataFrame:
         d, l = self.raw("documents"), self.raw("labels")
-        return d.join(l, "doc_id").select("doc_id", F.substring("text", 1, 60).alias("title"), F.col("source").alias("scheme"), "lang", F.col("toxic").alias("flag"), (F.col("n_chars") / 100.0).alias("amount"))
+        return d.join(l, "doc_id").select("doc_id", F.col("source").alias("scheme"), "lang", F.col("toxic").alias("flag"), (F.col("n_chars") / 100.0).alias("amount"))
+
+    @cached_property
+    def audit_title(self) -> DataFrame:
+        """doc_id and title of the audits: they name a person, every fourth a company, by number."""
+        named = None
+        for df, key, fourth in ((self.politician.select(F.col("pol").alias("id"), "name"), "pol", False), (self.company.select(F.col("comp").alias("id"), "name"), "comp", True)):
+            most = df.agg((F.max("id") + 1).alias("m"))
+            own = self.raw("documents").join(self.raw("labels").select("doc_id"), "doc_id").select("doc_id").filter((F.col("doc_id") % 4 == 0) == F.lit(fourth))
+            one = own.crossJoin(F.broadcast(most)).select("doc_id", ((F.col("doc_id") * 7) % F.col("m")).alias("id")).join(df, "id")
+            one = one.select("doc_id", F.concat(F.lit("Audit of "), "name", F.lit(" and others")).alias("title"))
+            named = one if named is None else named.union(one)
+        return named
 
     @cached_property
     def event(self) -> DataFrame:
@@ -79,9 +95,10 @@ company AS (SELECT s_suppkey AS comp, s_name AS name, n_name AS state, s_acctbal
 contract AS (SELECT o_orderkey AS contract, CAST(o_orderdate AS DATE) AS day, o_orderpriority AS buyer, o_custkey AS cust, o_totalprice AS total FROM orders),
 won AS (SELECT l_suppkey AS comp, l_orderkey AS contract, round(sum(l_extendedprice * (1 - l_discount)), 4) AS amount FROM lineitem GROUP BY 1, 2),
 awarded AS (SELECT contract, state AS ministry FROM contract JOIN politician ON cust = pol),
-director AS (SELECT pol, comp FROM politician p JOIN company s ON p.nk = s.nk AND p.pol % 10 = s.comp % 10),
+director AS (SELECT DISTINCT pol, (pol * 31 + j * 7) % (SELECT max(s_suppkey) + 1 FROM supplier) AS comp FROM (SELECT pol, unnest(range(CASE WHEN pol % 50 = 0 THEN 12 ELSE pol % 4 END)) AS j FROM politician) WHERE (pol * 31 + j * 7) % (SELECT max(s_suppkey) + 1 FROM supplier) IN (SELECT comp FROM company)),
 ring AS (SELECT comp, nk, (row_number() OVER (PARTITION BY nk ORDER BY comp) - 1) // 4 AS g FROM company),
 owns AS (SELECT comp AS src, dst FROM (SELECT comp, coalesce(lead(comp) OVER (PARTITION BY nk, g ORDER BY comp), min(comp) OVER (PARTITION BY nk, g)) AS dst FROM ring) WHERE comp <> dst),
-audit AS (SELECT d.doc_id, substring(text, 1, 60) AS title, source AS scheme, lang, toxic AS flag, n_chars / 100.0 AS amount FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+audit AS (SELECT d.doc_id, source AS scheme, lang, toxic AS flag, n_chars / 100.0 AS amount FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+audit_title AS (SELECT doc_id, 'Audit of ' || name || ' and others' AS title FROM audit JOIN politician ON doc_id % 4 <> 0 AND pol = doc_id * 7 % (SELECT max(pol) + 1 FROM politician) UNION ALL SELECT doc_id, 'Audit of ' || name || ' and others' FROM audit JOIN company ON doc_id % 4 = 0 AND comp = doc_id * 7 % (SELECT max(comp) + 1 FROM company)),
 event AS (SELECT event_id, ts, user_id AS pol, event_type AS kind, value, props FROM events)
 """

@@ -42,8 +42,8 @@ def html_rows(html: Column, least: int = 1) -> Column:
 def table_rows(t: Tables) -> DataFrame:
     """Rows of HTML tables: the header goes, short rows go, markup in cells goes."""
     page = F.concat(F.lit("<table><TR><th>Name</th><th>Brand</th></TR><tr><td>short</td></tr>\n<tr class='r'><td> <b>"), "p_name", F.lit("</b>\n</td><td><a href='/x'>"), "p_brand", F.lit("</a></td></tr></table>"))
-    rows = t.raw("part").select("p_partkey", F.slice(html_rows(page, 2), F.lit(2), F.lit(1_000)).alias("rows"))
-    return rows.select("p_partkey", F.explode("rows").alias("r")).select("p_partkey", F.get("r", F.lit(0)).alias("name"), F.get("r", F.lit(1)).alias("brand"))
+    rows = t.raw("part").select("p_partkey", html_rows(page, 2).alias("rows"))
+    return rows.select("p_partkey", F.posexplode("rows").alias("k", "r")).filter("k > 0").select("p_partkey", F.get("r", F.lit(0)).alias("name"), F.get("r", F.lit(1)).alias("brand"))
 
 
 @query("src04_links", """SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) || regexp_extract(a, 'href="([^"]*)"', 1) AS link, regexp_extract(a, '>([^<]*)<', 1) AS label FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS a FROM pages) WHERE length(regexp_extract(a, '>([^<]*)<', 1)) >= 4 AND (contains(lower(a), 'th') OR contains(lower(a), 'en'))""")
