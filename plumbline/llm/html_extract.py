@@ -1,25 +1,29 @@
 """Main text of web pages by tag-path ratios.
 
 Every text node belongs to a root-to-leaf tag path. Per path the text length and the
-punctuation are summed and divided by the number of its nodes. Text on a path through a menu,
-header, footer or aside counts nothing, text in links LINK of its length (headlines in links
-are headlines), other text its length and one more. The two ratios are fused (root of the
-length, times 1 + log of 1 + punctuation), smoothed over neighbouring nodes of the same kind
+punctuation are summed and divided by the number of its nodes; the two ratios are fused (root of
+the length, times 1 + log of 1 + punctuation), smoothed over neighbouring nodes of the same kind
 with weights that fall with distance and with the difference of the paths, and averaged per
-path. Paths above SHARE of the largest value, at most LIMIT, are content, and a block of text
-is part of the article if one of its nodes has such a path. So menus and link lists fall by
-their ratios, while short items of plain text stay.
+path. The threshold follows from the page: the mean of its nodes' ratios and SPREAD_SHARE of their
+deviation, at most MOST_OF of the largest ratio. Nodes on paths that reach it are content.
 
-Scripts, forms and hidden elements hold no text. Class and id names are evidence: an element
-so named goes with its text, unless it holds the page's headline or main element, or hardly
-anything were left without it. Where an <article> or <main> holds most of the content, the
-article is there.
+Names weigh, they do not decide: a path in links counts LINK (headlines in links are headlines), one
+through a menu, aside, footer or page header counts LOW, and so does text in elements whose class or id says
+so, unless hardly anything were left without it. A header in an article is no page header.
+
+A node below the threshold stays by its neighbours: if it lies in the lowest element that holds blocks
+and all content, on a plain path, and its own part of that element is a single block or a list (in an <article> or
+<main>: any part), it is kept; beside that element, single blocks stay too while a common container
+below the body holds both, and a first-level headline always. So short paragraphs, headlines and lists of
+an article stay, and boxes of short texts and lists of links fall. A block of text is part
+of the article if one of its nodes is kept. Scripts, forms and hidden elements hold no text.
 
 Map-only over Arrow batches, one page at a time; the scan is linear in the page.
 
 Defined results: a null or empty page, or one without text, gives the empty text; a page
-cut off in a tag, comment or script ends there; where every text node lies in excluded
-elements the result is empty; character references without a closing semicolon are decoded
+cut off in a tag, comment or script ends there; where all content lies in menus, asides,
+footers or page headers the result is empty; an empty table gives no rows, other columns (also of
+clashing names) are ignored; character references without a closing semicolon are decoded
 as browsers do; <br> is white space inside its block; repeated rows give equal texts, a
 null page_id or url stays null, and very long or deeply nested pages are read whole.
 """
@@ -39,7 +43,7 @@ from plumbline.llm.common import released
 #: Elements by role in a page.
 RAW = frozenset("script style noscript template iframe textarea xmp noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Paths through these count nothing.
+#: Paths through these count LOW.
 BOILERPLATE = frozenset("nav header footer aside menu".split())
 SKIPPED = frozenset("head form button select option dialog svg math object audio video canvas label fieldset legend datalist progress meter".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -60,15 +64,16 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、！？；：]")
 
 SPREAD = 2
-SHARE = 0.025
-LIMIT = 1.9
-LINK = 0.06
-#: Kinds of paths.
-_NOTHING, _LINK, _PLAIN = 0, 1, 2
+SPREAD_SHARE, MOST_OF = 1.0, 0.5
+LINK, LOW = 0.25, 0.02
+#: Kinds of paths and what they weigh.
+_LOW, _LINK, _PLAIN = 0, 1, 2
+WEIGHT = {_LOW: LOW, _LINK: LINK, _PLAIN: 1.0}
+#: Parts of an element that hold blocks and still are one block, and elements that hold whole pages.
+LISTS = frozenset("ul ol dl blockquote figure".split())
+PAGES = frozenset("html body".split())
 #: The share of the text that must be left without the elements that names exclude.
 LEFT = 0.1
-#: The share of the content that makes an <article> or <main> the article.
-MOST = 0.5
 #: What ends the search for an open element of the same kind, by element.
 _LIKE = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)), "option": (("option",), ("select",))}
 
@@ -106,9 +111,12 @@ class _Page:
         self.open_at: dict[str, list[int]] = {}
         self.block = 0
         self.paths: dict[tuple[int, str], int] = {}
-        self.path_parent, self.path_depth, self.path_kind, self.path_heading = [0], [0], [_PLAIN], [False]
+        self.path_parent, self.path_depth, self.path_kind, self.path_heading, self.path_article = [0], [0], [_PLAIN], [False], [False]
         #: Element 0 is the page.
         self.parent: list[int] = [0]
+        self.name: list[str] = ["html"]
+        #: Whether an element holds block elements.
+        self.holds: list[bool] = [True]
         self.named: set[int] = set()
         self.articles: set[int] = set()
         self.heads: set[int] = set()
@@ -127,7 +135,9 @@ class _Page:
             self.path_depth.append(self.path_depth[parent] + 1)
             heading = self.path_heading[parent] or name in HEADINGS
             self.path_heading.append(heading)
-            own = _NOTHING if name in BOILERPLATE else _LINK if name == "a" and not heading else _PLAIN
+            article = self.path_article[parent]
+            self.path_article.append(article or name in ("article", "main"))
+            own = _LOW if name in BOILERPLATE and not (article and name == "header") else _LINK if name == "a" and not heading else _PLAIN
             self.path_kind.append(min(self.path_kind[parent], own))
         return found
 
@@ -148,6 +158,10 @@ class _Page:
         hidden, named = _evidence(attributes) if attributes and name not in ("html", "body") else (False, False)
         element = len(self.parent)
         self.parent.append(above)
+        self.name.append(name)
+        self.holds.append(False)
+        if name in BLOCKS:
+            self.holds[above] = True
         if named:
             self.named.add(element)
         if name in ("article", "main"):
@@ -210,11 +224,6 @@ class _Page:
                 if at < 0:
                     return
 
-    def weight(self, text: str, path: int) -> float:
-        """What a node's text counts on its path."""
-        kind = self.path_kind[path]
-        return 0.0 if kind == _NOTHING else len(text.strip()) * (LINK if kind == _LINK else 1.0)
-
     def difference(self, a: int, b: int) -> int:
         """Steps between two paths in the tree of paths."""
         steps = 0
@@ -242,37 +251,49 @@ class _Page:
         return out
 
 
-def ratios(read: _Page, nodes: list[tuple[str, int, int, int]]) -> dict[int, float]:
-    """Per path: length and punctuation a node, fused, smoothed over neighbouring nodes and averaged."""
-    sums: dict[int, list[float]] = {}
-    for text, _, path, _ in nodes:
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += read.weight(text, path)
+Node = tuple[str, int, int, int]
+
+
+def ratios(read: _Page, nodes: list[Node], low: list[bool]) -> dict[tuple[int, bool], float]:
+    """Per path, apart for elements that names make low: length and punctuation a node, fused, weighed, smoothed over neighbouring nodes and averaged."""
+    keys = [(path, low[e]) for _, _, path, e in nodes]
+    sums: dict[tuple[int, bool], list[float]] = {}
+    for (text, *_), key in zip(nodes, keys, strict=True):
+        s = sums.setdefault(key, [0, 0, 0])
+        s[0] += len(text.strip())
         s[1] += len(_PUNCTUATION.findall(text))
         s[2] += 1
-    fused = {p: (read.path_kind[p] == _PLAIN) + math.sqrt(length / n) * (1 + math.log1p(marks / n)) for p, (length, marks, n) in sums.items()}
-    paths = [n[2] for n in nodes]
+    kind = {(p, named): (read.path_kind[p], named) for p, named in sums}
+    fused = {k: WEIGHT[kind[k][0]] * (LOW if k[1] else 1.0) * math.sqrt(length / n) * (1 + math.log1p(marks / n)) for k, (length, marks, n) in sums.items()}
     gap: dict[tuple[int, int], int] = {}
-    total: dict[int, float] = dict.fromkeys(sums, 0.0)
-    for i, p in enumerate(paths):
+    total: dict[tuple[int, bool], float] = dict.fromkeys(sums, 0.0)
+    for i, k in enumerate(keys):
         value = weight = 0.0
-        for j in range(max(0, i - SPREAD), min(len(paths), i + SPREAD + 1)):
-            pair = (p, paths[j])
-            if read.path_kind[p] != read.path_kind[paths[j]]:
+        for j in range(max(0, i - SPREAD), min(len(keys), i + SPREAD + 1)):
+            other = keys[j]
+            if kind[k] != kind[other]:
                 continue
+            pair = (k[0], other[0])
             d = gap.get(pair)
             if d is None:
                 d = gap[pair] = read.difference(*pair)
             w = 1 / (1 + abs(i - j) + d)
-            value += w * fused[paths[j]]
+            value += w * fused[other]
             weight += w
-        total[p] += value / weight
-    return {p: total[p] / sums[p][2] for p in sums}
+        total[k] += value / weight
+    return {k: total[k] / sums[k][2] for k in sums}
+
+
+def threshold(values: list[float]) -> float:
+    """The mean of the nodes' ratios and a share of their deviation, at most a share of the largest."""
+    mean = sum(values) / len(values)
+    deviation = math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    return min(mean + SPREAD_SHARE * deviation, MOST_OF * max(values))
 
 
 def excluded(read: _Page, nodes: list[tuple[str, int, int, int]]) -> list[bool]:
     """Per element whether its names or those of an element above exclude it."""
-    mass = read.sums([(e, read.weight(text, p)) for text, _, p, e in nodes])
+    mass = read.sums([(e, len(text.strip()) * WEIGHT[read.path_kind[p]]) for text, _, p, e in nodes])
     # an element with the headline or the main element is a container
     keep = read.sums([(e, 1.0) for e in read.heads])
     named = {e for e in read.named if not keep[e]}
@@ -288,27 +309,53 @@ def excluded(read: _Page, nodes: list[tuple[str, int, int, int]]) -> list[bool]:
     return [False] * len(read.parent)
 
 
+def kept(read: _Page, full: list[Node]) -> set[int]:
+    """The places in full of the nodes of the article."""
+    low = excluded(read, full)
+    score = ratios(read, full, low)
+    limit = threshold([score[path, low[e]] for _, _, path, e in full])
+    content = {k for k, (_, _, path, e) in enumerate(full) if score[path, low[e]] >= limit}
+    if all(read.path_kind[full[k][2]] == _LOW for k in content):
+        return set()
+    held = read.sums([(full[k][3], 1.0) for k in content])
+    # of the elements that hold all content the last to begin is the lowest
+    core = max(e for e, n in enumerate(held) if n == len(content))
+    # a single block is not yet what holds the article
+    while not read.holds[core]:
+        core = read.parent[core]
+    within, above = read.inside({core}), set()
+    e = core
+    while e:
+        e = read.parent[e]
+        above.add(e)
+    in_article = read.inside(read.articles)
+    out = set(content)
+    for k, (_, _, path, e) in enumerate(full):
+        if k in content or read.path_kind[path] != _PLAIN or low[e]:
+            continue
+        part = None
+        while not held[e]:
+            part, e = e, read.parent[e]
+        single = part is None or not read.holds[part] or read.name[part] in LISTS
+        if within[e]:
+            if single or in_article[e]:
+                out.add(k)
+        elif e in above:
+            headline = read.path_heading[path] and part is not None and read.name[part] == "h1"
+            if headline or single and read.name[e] not in PAGES:
+                out.add(k)
+    return out
+
+
 def extract(page: str) -> str:
     """The main text of one page."""
     read = _Page(page)
-    out = excluded(read, [n for n in read.nodes if n[0].strip()])
-    nodes = [n for n in read.nodes if not out[n[3]]]
-    full = [n for n in nodes if n[0].strip()]
+    full = [n for n in read.nodes if n[0].strip()]
     if not full:
         return ""
-    score = ratios(read, full)
-    limit = min(LIMIT, SHARE * max(score.values()))
-    content = [n for n in full if score[n[2]] > limit]
-    held = read.sums([(e, len(text)) for text, _, _, e in content])
-    above = read.inside(read.articles)
-    outermost = [e for e in read.articles if not above[read.parent[e]]]
-    best = max(outermost, key=lambda e: (held[e], -e), default=0)
-    if best and held[best] >= MOST * held[0]:
-        within = read.inside({best})
-        nodes, content = [n for n in nodes if within[n[3]]], [n for n in content if within[n[3]]]
-    chosen = {n[1] for n in content}
+    chosen = {full[k][1] for k in kept(read, full)}
     blocks: dict[int, list[str]] = {}
-    for text, block, _, _ in nodes:
+    for text, block, _, _ in read.nodes:
         if block in chosen:
             blocks.setdefault(block, []).append(text)
     lines = (" ".join("".join(parts).split()) for parts in blocks.values())

@@ -99,17 +99,39 @@ def test_path_ratios_by_hand():
     fused = []
     for p in paths:
         own = [n[0] for n, q in zip(nodes, paths) if q == p]
-        length = sum(len(x.strip()) * (h.LINK if "a" in p else 1) for x in own) / len(own)
-        fused.append(("a" not in p) + math.sqrt(length) * (1 + math.log1p(sum(len(re.findall(r"[.,;:!?]", x)) for x in own) / len(own))))
+        length = sum(len(x.strip()) for x in own) / len(own)
+        fused.append((h.LINK if "a" in p else 1) * math.sqrt(length) * (1 + math.log1p(sum(len(re.findall(r"[.,;:!?]", x)) for x in own) / len(own))))
     gap = lambda p, q: len(p) + len(q) - 2 * next((k for k, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))
     smooth = []
     for i, p in enumerate(paths):
         near = [(1 / (1 + abs(i - j) + gap(p, paths[j])), fused[j]) for j in range(len(paths)) if abs(i - j) <= h.SPREAD and ("a" in p) == ("a" in paths[j])]
         smooth.append(sum(w * v for w, v in near) / sum(w for w, _ in near))
-    got = h.ratios(read, nodes)
+    got = h.ratios(read, nodes, [False] * len(read.parent))
     for p, path in {n[2]: q for n, q in zip(nodes, paths)}.items():
         own = [s for s, q in zip(smooth, paths) if q == path]
-        assert abs(got[p] - sum(own) / len(own)) < 1e-9
+        assert abs(got[p, False] - sum(own) / len(own)) < 1e-9
+
+
+def test_no_semantic_tags_nor_names():
+    """Without any telling tag or name: menus, boxes of short texts and notes fall by their ratios, short paragraphs stay."""
+    r = random.Random(4)
+    for n in range(40):
+        paragraphs = [PROSE * r.randint(2, 5) if k % 3 else r.choice(("Short.", "A short one, too.", "So it goes")) for k in range(r.randint(4, 9))]
+        article = "".join(f"<p>{x.strip()}</p>" for x in paragraphs)
+        menu = "<ul>" + "".join(f"<li><a href='/{k}'>Item {k}</a></li>" for k in range(r.randint(4, 20))) + "</ul>"
+        box = "<div><div>Log in</div><div>Subscribe now!</div></div>"
+        note = "<div><div><span>Copyright, the site</span></div><div>Imprint</div></div>"
+        head = f"<h1>Headline {n}</h1>"
+        parts = [f"<div>{menu}</div>", box, f"<div>{head}{article}</div>", note] if n % 2 else [menu, box, f"<div><div>{head}<div>{article}</div></div></div>", note]
+        source = "<html><body>" + "".join(parts) + "</body></html>"
+        assert extract(source) == "\n".join([f"Headline {n}", *map(str.strip, paragraphs)]), source
+
+
+def test_header_in_article_and_page_header():
+    article = f"<p>{PROSE * 3}</p>" * 3
+    text = "\n".join([(PROSE * 3).strip()] * 3)
+    assert extract(f"<header><p>Site</p></header><article><header><h1>Headline</h1><p>Lead</p></header>{article}<table><tr><td>a</td><td>b</td></tr></table></article><footer>About us</footer>") == "Headline\nLead\n" + text + "\na\nb"
+    assert extract(f"<div class='related-posts'>{article}</div><div>Log in</div>") == text
 
 
 def test_empty_table(spark):
