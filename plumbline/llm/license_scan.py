@@ -1,13 +1,16 @@
 """License scans: one Aho-Corasick pass finds notice phrases and identifier tags; a shunting-yard parser evaluates the tags' and/or/with expressions.
 
 Map-only over Arrow batches: each worker builds the automaton once; memory is one text
-at a time. The base phrases and the further notices are found as runs of consecutive
-words; the tag is found in the lower-cased text and the expression after it, to the end
-of its line, is parsed.
+at a time. The automaton runs over the text's words for the base phrases and the further notices, runs
+of consecutive words, and over the lower-cased text for the tag. The expression after a tag is read token by
+token where it stands, no further than it goes and never past another tag, so a text takes time in
+proportion to its length, however many tags a line has.
 
 Defined results: a null text counts as empty (no words, no labels, score 0); a tag whose
-expression does not parse adds no label; a label's score is the strength of its evidence
-and a text's score that of its best label, less when an `or` leaves a choice.
+expression does not parse, or meets another tag, adds no label; a label's score is the strength of its
+evidence and a text's score that of its best label, less when an `or` leaves a choice. Very long texts
+are read whole; repeated rows and repeated or null doc_ids give a row each; an empty table gives no rows;
+other columns, also those named like a result, are ignored.
 """
 
 from __future__ import annotations
@@ -64,8 +67,7 @@ IDENTIFIERS = {
 }
 
 _PRECEDENCE = {"or": 1, "and": 2, "with": 3}
-_TOKEN = re.compile(r"\(|\)|[a-z0-9.+:-]+")
-_EXPRESSION = re.compile(r"[ \t]*([a-z0-9.+:() \t-]*)")
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[a-z0-9.+:-]+)")
 
 #: ASCII lower case, and all that is no word byte to a space; bytes above 127 stay.
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
@@ -73,12 +75,19 @@ _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 6
 STRENGTH = {"tag": 1.0, "base": 0.95, "notice": 0.9}
 
 
-def parse(expression: str) -> list[str] | None:
-    """The expression in postfix order, by a shunting yard; None where it is no expression. What follows a complete one on the line is text."""
+def tokens(text: str, at: int = 0) -> Iterator[str]:
+    """Parentheses, operators and identifiers from a place on, to the end of the line or the first other character."""
+    while token := _TOKEN.match(text, at):
+        at = token.end()
+        yield token[1]
+
+
+def parse(text: str, at: int = 0) -> list[str] | None:
+    """The expression at a place of the text in postfix order, by a shunting yard; None where there is none. What follows a complete one on the line is text."""
     out: list[str] = []
     stack: list[str] = []
     want = True  # an operand comes next
-    for token in _TOKEN.findall(expression):
+    for token in tokens(text, at):
         if token == "(":
             if not want:
                 break
@@ -97,7 +106,7 @@ def parse(expression: str) -> list[str] | None:
             stack.append(token)
             want = True
         else:
-            if not want:
+            if not want or TAG in token:
                 break
             out.append(token)
             want = False
@@ -132,6 +141,8 @@ def automaton():
     for kind, phrases in (("base", BASE_PHRASES), ("notice", NOTICE_PHRASES)):
         for phrase, label in phrases:
             found.add_word(f" {phrase} ", (kind, label, len(phrase) + 2))
+    # no word holds its colon, so it is found in texts only, as phrases' spaces and words are in words
+    found.add_word(TAG, ("tag", "", len(TAG)))
     found.make_automaton()
     return found
 
@@ -148,17 +159,13 @@ def scan(text: str, machine) -> dict:
             base.add(label)
         labels.add(label)
         best = max(best, STRENGTH[kind])
-    folded = raw.lower()
-    at = folded.find(TAG.encode())
-    while at >= 0:
-        end = folded.find(b"\n", at)
-        rest = folded[at + len(TAG) : end if end >= 0 else len(folded)].decode("utf-8", "replace")
-        postfix = parse(_EXPRESSION.match(rest)[1])
+    folded = raw.lower().decode("utf-8", "surrogatepass")
+    for end, (kind, *_) in machine.iter(folded):
+        postfix = parse(folded, end + 1) if kind == "tag" else None
         if postfix:
             named, sure = evaluate(postfix)
             labels |= named
             best = max(best, sure * STRENGTH["tag"])
-        at = folded.find(TAG.encode(), at + 1)
     place = lambda c: joined.count(" ", 0, c)
     return {
         "n_words": len(words),

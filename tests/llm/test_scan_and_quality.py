@@ -103,3 +103,25 @@ def test_long_license_expression():
     """An expression is read to the end of its line, however long."""
     text = "SPDX-License-Identifier: (" + "MIT OR " * 900 + "Apache-2.0)\nand GPL-3.0"
     assert license_scan.scan(text, license_scan.automaton())["labels"] == "apache-2,mit"
+
+
+def test_many_tags_on_one_line():
+    """The work follows the text: twice the tags take about twice the tokens, and each tag is read."""
+    machine, read = license_scan.automaton(), []
+    plain = license_scan.tokens
+    try:
+        license_scan.tokens = lambda text, at=0: (read.append(1) or t for t in plain(text, at))
+        counts = []
+        for n in (500, 1000):
+            read.clear()
+            line = "spdx-license-identifier: mit or " * n + "SPDX-License-Identifier: isc"
+            assert license_scan.scan(line, machine)["labels"] == "isc"
+            counts.append(len(read))
+        assert counts[1] < 2.2 * counts[0]
+    finally:
+        license_scan.tokens = plain
+    assert license_scan.scan("x SPDX-License-Identifier: MIT SPDX-License-Identifier: (ISC OR mit)", machine)["labels"] == "isc,mit"
+
+
+def test_licenses_of_an_empty_table(spark):
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels int")).count() == 0
