@@ -13,15 +13,22 @@ from plumbline.plans.registry import query
 from plumbline.plans.tables import Tables
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Ends the lineage with a reliable checkpoint; on a local master without a folder, in a temporary one."""
-    spark: SparkSession = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master a temporary one where that is unset."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local["):
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="plumbline-"))
+        found = tempfile.mkdtemp(prefix="plumbline-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Ends the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -132,31 +139,94 @@ def ego_role(t: Tables) -> DataFrame:
     return x.select("ego", "degree", F.round(score, 6).alias("betweenness"), (score > 0.3).alias("broker"))
 
 
-@query("gr06_ego_spectrum")
-def ego_spectrum(t: Tables) -> DataFrame:
-    """Second Laplacian eigenvalue of each company's two-hop neighbourhood, and its bridges' number."""
+#: Relationships of a vertex's surroundings that count.
+EGO_EDGES = 100
 
-    def band(value: float) -> str:
-        return "fragile" if value < 0.1 else "loose" if value < 0.5 else "tight"
 
-    def spectrum(frame: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
+def ego_graphs(egos: DataFrame, e: DataFrame, most: int = EGO_EDGES) -> DataFrame:
+    """ego, a and b: the first `most` edges around each ego (ego), its own ones by neighbour, then its neighbours' by their ends.
 
-        names = sorted({*frame.a, *frame.b})
-        at = {v: k for k, v in enumerate(names)}
-        laplacian = np.zeros((len(names), len(names)))
-        for a, b in {tuple(sorted(p)) for p in zip(frame.a, frame.b, strict=True)}:
-            i, j = at[a], at[b]
-            laplacian[i, i] += 1
-            laplacian[j, j] += 1
-            laplacian[i, j] = laplacian[j, i] = -1
-        values = np.linalg.eigvalsh(laplacian)
-        return pd.DataFrame({"ego": [frame.ego.iloc[0]], "n": [len(names)], "fiedler": [round(float(values[1]), 6) if len(names) > 1 else 0.0], "band": [band(float(values[1])) if len(names) > 1 else "none"]})
+    As edges are ranked by their ends, of each vertex only its first edges can count, so a hub joins no more than these."""
+    from pyspark.sql import Window
 
+    first = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
+    near = settle(e.withColumn("_k", first).filter(F.col("_k") <= most + 1).drop("_k"))
+    own = near.join(egos.select(F.col("ego").alias("src")), "src").withColumn("_k", first).filter(F.col("_k") <= most).select(F.col("src").alias("ego"), F.lit(1).alias("hop"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    beyond = own.select("ego", F.col("b").alias("src")).join(near, "src").filter("dst <> ego").select("ego", F.lit(2).alias("hop"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    every = own.union(beyond).groupBy("ego", "a", "b").agg(F.min("hop").alias("hop"))
+    place = F.row_number().over(Window.partitionBy("ego").orderBy("hop", "a", "b"))
+    return every.withColumn("_k", place).filter(F.col("_k") <= most).select("ego", "a", "b")
+
+
+SPECTRUM = "ego string, n long, edges long, fiedler double, bridges long, betweenness double, degree long"
+
+
+def _spectrum(frame: pd.DataFrame) -> pd.DataFrame:
+    """Of one small graph: its algebraic connectivity, its bridges, and the betweenness and degree of the ego."""
+    import numpy as np
+
+    ego = frame.ego.iloc[0]
+    names = sorted({*frame.a, *frame.b})
+    at = {v: k for k, v in enumerate(names)}
+    pairs = [(at[a], at[b]) for a, b in zip(frame.a, frame.b, strict=True)]
+    n = len(names)
+    near = np.zeros((n, n))
+    for i, j in pairs:
+        near[i, j] = near[j, i] = 1
+    values = np.linalg.eigvalsh(np.diag(near.sum(axis=1)) - near)
+
+    def reach(start: int, matrix: np.ndarray) -> np.ndarray:
+        """Distance and number of shortest paths from a vertex, level by level."""
+        distance, paths = np.full(n, -1), np.zeros(n)
+        level = np.zeros(n)
+        distance[start], paths[start], level[start] = 0, 1, 1
+        k = 0
+        while level.any():
+            k += 1
+            step = matrix @ level
+            level = np.where(distance < 0, step, 0)
+            distance[level > 0] = k
+            paths += level
+        return np.stack([distance, paths])
+
+    bridges = 0
+    for i, j in pairs:
+        near[i, j] = near[j, i] = 0
+        bridges += reach(i, near)[0, j] < 0
+        near[i, j] = near[j, i] = 1
+    x = at[ego]
+    own = reach(x, near)
+    between = 0.0
+    for s in range(n):
+        if s != x:
+            far = reach(s, near)
+            on = (far[0, x] > 0) & (own[0] > 0) & (far[0] == far[0, x] + own[0])
+            on[s] = False
+            between += float((far[1, x] * own[1][on] / far[1][on]).sum())
+    pairs_of_others = (n - 1) * (n - 2)
+    return pd.DataFrame({"ego": [ego], "n": [n], "edges": [len(pairs)], "fiedler": [round(max(0.0, float(values[1])), 6)], "bridges": [bridges], "betweenness": [round(between / pairs_of_others, 6) if pairs_of_others else 0.0], "degree": [int(near[x].sum())]})
+
+
+def spectra(t: Tables) -> DataFrame:
     e = undirected(t)
-    first = e.select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b")).filter("ego like 'c%'")
-    second = first.select("ego", F.col("b").alias("a")).join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").select("ego", "a", "b")
-    return first.union(second).distinct().groupBy("ego").applyInPandas(spectrum, "ego string, n long, fiedler double, band string")
+    return ego_graphs(e.filter("src like 'c%'").select(F.col("src").alias("ego")).distinct(), e).groupBy("ego").applyInPandas(_spectrum, SPECTRUM)
+
+
+@query("gr06_ego_spectrum")
+def ego_spectrum(t: Tables) -> DataFrame:
+    """Second Laplacian eigenvalue of the graph around each company, and its band."""
+    band = F.when(F.col("fiedler") < 0.1, "fragile").when(F.col("fiedler") < 0.5, "loose").otherwise("tight")
+    return spectra(t).select("ego", "n", "fiedler", band.alias("band"))
+
+
+@query("dt18_spectral_role")
+def spectral_role(t: Tables) -> DataFrame:
+    """Each company's role by the connectivity of its surroundings, with their bridges and its own part in them, and the findings' severities."""
+    poor, fair = F.col("fiedler") < 0.1, F.col("fiedler") < 0.5
+    x = spectra(t).withColumn("connectivity", F.when(poor, "POORLY_CONNECTED").when(fair, "MODERATELY_CONNECTED").otherwise("WELL_CONNECTED"))
+    x = x.withColumn("role", F.when(poor, "bridge_entity").when(fair, "peripheral_entity").otherwise("core_entity"))
+    found = F.array_compact(F.array(F.when(poor, "structural_bridge HIGH"), F.when(F.col("betweenness") > 0.3, "high_betweenness MODERATE")))
+    return x.withColumn("findings", F.array_join(found, "; "))
 
 
 @query("gr03_label_communities")

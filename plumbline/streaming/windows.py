@@ -21,14 +21,64 @@ def q_tumbling(t: Tables) -> DataFrame:
     return tumbling(t.event).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def sliding(events: DataFrame, width: str = "6 hours", slide: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Counts per sliding window, on a batch or (with `late`, the watermark) on a stream, where a window is given once, when the watermark has passed its end."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if late and events.isStreaming else e
+    return e.groupBy(F.window("ts", width, slide).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
 @query("st02_sliding", """SELECT date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start, count(*) AS n FROM event, (SELECT unnest(range(0, 6)) AS k) GROUP BY 1""")
 def q_sliding(t: Tables) -> DataFrame:
-    return t.event.groupBy(F.window("ts", "6 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return sliding(t.event).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def sessions(events: DataFrame, gap: str = "6 hours", late: str | None = None) -> DataFrame:
+    """Each person's sessions, parted by gaps, on a batch or (with `late`) on a stream, where a session is given once, when the watermark has passed its end."""
+    e = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    e = e.withWatermark("ts", late) if late and events.isStreaming else e
+    return e.groupBy("pol", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("pol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 @query("st_session", """, g AS (SELECT pol, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY pol ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM event), s AS (SELECT pol, ts, sum(new) OVER (PARTITION BY pol ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT pol, min(ts) AS start, count(*) AS n FROM s GROUP BY pol, k""")
 def q_session(t: Tables) -> DataFrame:
-    return t.event.groupBy("pol", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("pol", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
+    return sessions(t.event).select("pol", F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+CHAINED = "chain string, seq long, ts timestamp, entry string, previous string, hash string"
+
+
+def chain_stream(entries: DataFrame) -> DataFrame:
+    """Entries (chain, ts, id, entry) of a stream with their place in their chain, the hash before and their own: a chain's state is its last
+    hash and length alone. Entries of a micro-batch follow by ts and id, batches as they come."""
+    import hashlib
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def step(key, frames, state):
+        length, last = state.get if state.exists else (0, "")
+        # a micro-batch's entries of one chain are sorted together, as they may come in any order
+        rows = pd.concat(list(frames)).sort_values(["ts", "id"])
+        out = []
+        for ts, entry in zip(rows.ts, rows.entry, strict=True):
+            digest = hashlib.sha256(f"{last}|{int(ts.value // 1000)}|{entry}".encode()).hexdigest()
+            out.append((key[0], length, ts, entry, last, digest))
+            length, last = length + 1, digest
+        state.update((length, last))
+        yield pd.DataFrame(out, columns=["chain", "seq", "ts", "entry", "previous", "hash"])
+
+    return entries.groupBy("chain").applyInPandasWithState(step, CHAINED, "length long, last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def broken_links(chained: DataFrame) -> DataFrame:
+    """chain and seq of the entries whose hash is not that of their content or whose previous hash is not that of the entry before; also gaps."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chain").orderBy("seq")
+    again = F.sha2(F.concat_ws("|", "previous", F.unix_micros("ts").cast("string"), "entry"), 256)
+    fine = (again == F.col("hash")) & (F.col("previous") == F.coalesce(F.lag("hash").over(w), F.lit(""))) & (F.col("seq") == F.coalesce(F.lag("seq").over(w) + 1, F.lit(0)))
+    return chained.withColumn("_fine", fine).filter(~F.coalesce("_fine", F.lit(False))).select("chain", "seq")
 
 
 @query("st01_feed", """SELECT kind, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, event_id DESC) AS k FROM event) WHERE k <= 8""")

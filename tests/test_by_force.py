@@ -140,6 +140,39 @@ def test_debate(spark, sf_dir):
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "f"), ("f", "d"), ("f", "g"), ("g", "h")]
 
 
+def check_roles(rows, near):
+    """Roles, bridges and betweenness around each vertex by enumerating all simple shortest paths."""
+    assert {r.ego for r in rows} == set(near)
+    for r in rows:
+        edges = {tuple(sorted((a, b))) for a in {r.ego} | near[r.ego] for b in near[a]}
+        ends = {v: {b if a == v else a for a, b in edges if v in (a, b)} for e in edges for v in e}
+
+        def paths(a, b):
+            found, level = [], [(a,)]
+            while level and not found:
+                level = [(*p, w) for p in level for w in ends[p[-1]] if w not in p]
+                found = [p for p in level if p[-1] == b]
+            return found
+
+        def joined(a, b, without):
+            seen, todo = {a}, [a]
+            while todo:
+                v = todo.pop()
+                for w in ends[v] - seen:
+                    if tuple(sorted((v, w))) != without:
+                        seen.add(w)
+                        todo.append(w)
+            return b in seen
+
+        others = [v for v in ends if v != r.ego]
+        pairs = list(itertools.combinations(others, 2))
+        share = sum(sum(r.ego in p for p in ps) / len(ps) for ps in (paths(a, b) for a, b in pairs))
+        assert r.betweenness == pytest.approx(share / len(pairs) if pairs else 0.0, abs=1e-5)
+        assert (r.edges, r.degree, r.bridges) == (len(edges), len(near[r.ego]), sum(not joined(*e, e) for e in edges))
+        assert r.role == ("bridge_entity" if r.fiedler < 0.1 else "peripheral_entity" if r.fiedler < 0.5 else "core_entity")
+        assert ("high_betweenness" in r.findings) == (r.betweenness > 0.3)
+
+
 def test_graph(spark, monkeypatch):
     both = spark.createDataFrame([(f"c{x}", f"c{y}") for a, b in EDGES for x, y in ((a, b), (b, a))], "src string, dst string")
     ranks = {r.id: r["rank"] for r in graph.pagerank_of(spark.createDataFrame(EDGES, "src string, dst string")).collect()}
@@ -168,6 +201,7 @@ def test_graph(spark, monkeypatch):
             m[j, j] += 1
             m[i, j] = m[j, i] = -1
         assert r.n == len(vs) and math.isclose(r.fiedler, np.linalg.eigvalsh(m)[1], abs_tol=1e-5)
+    check_roles(graph.spectral_role(None).collect(), near)
     communities = graph.label_communities(None).collect()
     assert all(2 <= r.n <= 8 for r in communities) and sum(r.n for r in communities) <= 8
 

@@ -37,7 +37,7 @@ def plain(x):
 #: Queries without SQL, and the tests that check them.
 BY_FORCE = {
     **dict.fromkeys(("er01_star_clusters", "er02_resolve_by_words", "er03_find_matches", "er04_cross_match", "er06_resolve_batch", "sc09_jaro_winkler", "sc11_combined_score", "dt08_shadow_draft", "dt26_debate"), "test_by_force.py"),
-    **dict.fromkeys(("gr01_pagerank", "gr03_label_communities", "gr06_ego_spectrum", "gr08_ego_role"), "test_by_force.py"),
+    **dict.fromkeys(("gr01_pagerank", "gr03_label_communities", "gr06_ego_spectrum", "dt18_spectral_role", "gr08_ego_role"), "test_by_force.py"),
     **dict.fromkeys(("gr02_betweenness", "gr03_communities", "gr07_bridges"), "test_network.py"),
 }
 

@@ -62,3 +62,50 @@ def test_audit_log(spark, tmp_path):
     for crc in target.parent.glob(".*.crc"):
         crc.unlink()
     assert [r.valid for r in extract.verify_audit(spark, path).orderBy("batch").collect()] == [True, False, True]
+
+
+def timed(spark, rows):
+    return spark.createDataFrame(rows, "pol long, s long").selectExpr("pol", "timestamp_seconds(s) ts", "cast(1 as double) value", "'x' kind")
+
+
+def streamed(spark, tmp_path, name, batches, build):
+    """The rows that a stream over one file after the other gives in append mode."""
+    for k, rows in enumerate(batches):
+        timed(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(timed(spark, []).schema).parquet(str(tmp_path / "in"))
+        build(stream).writeStream.format("parquet").option("path", str(tmp_path / name)).outputMode("append").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start().awaitTermination(120)
+    return sorted(map(tuple, spark.read.parquet(str(tmp_path / name)).collect()))
+
+
+HOUR = 3600
+#: Batches of (person, second): the third holds a row that comes after the watermark has passed its windows, and one that is just in time; the last closes all.
+BATCHES = [[(1, 10 * HOUR), (1, 11 * HOUR), (2, 12 * HOUR)], [(1, 40 * HOUR), (2, 13 * HOUR)], [(2, 2 * HOUR), (2, 39 * HOUR)], [(9, 500 * HOUR)]]
+LATE = [(2, 2 * HOUR)]
+
+
+def test_sessions_and_sliding_windows_of_a_stream(spark, tmp_path):
+    """Given once each, equal to the batch without the late row; the window of the closing row stays open."""
+    kept = timed(spark, [r for b in BATCHES for r in b if r not in LATE])
+    got = streamed(spark, tmp_path, "sessions", BATCHES, lambda s: windows.sessions(s, "6 hours", "20 hours"))
+    assert got == sorted(tuple(r) for r in windows.sessions(kept).collect() if r.pol != 9)
+    (tmp_path / "b").mkdir()
+    got = streamed(spark, tmp_path / "b", "sliding", BATCHES, lambda s: windows.sliding(s, late="20 hours"))
+    last = 400 * HOUR
+    assert got == sorted(tuple(r) for r in windows.sliding(kept).collect() if r.start.timestamp() < last)
+
+
+def test_chains_carry_their_last_hash(spark, tmp_path):
+    """Chains go on over batches and restarts; a changed, a lost and an exchanged entry show."""
+    schema = "chain string, ts timestamp, id long, entry string"
+    for k in range(3):
+        rows = [(f"c{i % 2}", i) for i in range(k * 10, k * 10 + 6)]
+        df = spark.createDataFrame(rows, "chain string, id long").selectExpr("chain", "timestamp_seconds(1000 + id div 2) ts", "id", "concat('entry ', id) entry")
+        df.repartition(3).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        windows.chain_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert [(r.chain, r.n) for r in out.groupBy("chain").agg(F.max("seq").alias("n")).orderBy("chain").collect()] == [("c0", 8), ("c1", 8)]
+    assert windows.broken_links(out).count() == 0
+    one = (F.col("chain") == "c0") & (F.col("seq") == 4)
+    assert [tuple(r) for r in windows.broken_links(out.withColumn("entry", F.when(one, "changed").otherwise(F.col("entry")))).collect()] == [("c0", 4)]
+    assert [tuple(r) for r in windows.broken_links(out.filter(~one)).collect()] == [("c0", 5)]
