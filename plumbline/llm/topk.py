@@ -22,7 +22,8 @@ Defined results: vectors that are null, empty or hold a null or non-finite compo
 no part, nor does a null vec_id; shorter vectors count zeros for what they lack; a row with
 the query's own vec_id is its own; equal scores go to the smaller vec_id. Components beyond
 the range of 64-bit integers count as its end; products beyond it rank exactly, and their
-score is shown as its end. Repeated rows are candidates each; an empty table gives no rows.
+score is shown as its end. Repeated rows are candidates each, but one query; query rows that share a
+vec_id and differ in vector get a ranking each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -190,12 +191,12 @@ class SlicedBlock:
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int | None = None, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
     """query_id, rank, vec_id and score: for each query (vec_id, v) its k best of vectors (vec_id, v)."""
-    vectors, queries = cut(vectors), cut(queries)
+    vectors, queries = cut(vectors), cut(queries.select("vec_id", "v").distinct().withColumn("query", F.monotonically_increasing_id()))
     n_candidates, n = max(1, -(-vectors.count() // candidate_block)), queries.count()
     query_block = query_block or min(MOST_QUERIES, max(LEAST_QUERIES, -(-n * n_candidates // GROUPS)))
     n_queries = max(1, -(-n // query_block))
     block = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
-    left = queries.select(block(n_queries, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("cb"), F.col("vec_id").alias("query_id"), "v")
+    left = queries.select(block(n_queries, 1).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_candidates - 1))).alias("cb"), "query", F.col("vec_id").alias("query_id"), "v")
     right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("qb"), block(n_candidates, 2).alias("cb"), "vec_id", "v")
 
     def pair(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -203,12 +204,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, query_block: int
         if len(q) and len(c):
             width = max(q.v.map(len).max(), c.v.map(len).max())
             sliced = SlicedBlock(c.vec_id.to_numpy(np.int64), _matrix(c.v, width))
-            for query_id, v in zip(q.query_id.to_numpy(np.int64), _matrix(q.v, width), strict=True):
-                found += [(int(query_id), i, s) for i, s in sliced.search(int(query_id), v, k)]
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+            for query, query_id, v in zip(q["query"].to_numpy(np.int64), q.query_id.to_numpy(np.int64), _matrix(q.v, width), strict=True):
+                found += [(int(query), int(query_id), i, s) for i, s in sliced.search(int(query_id), v, k)]
+        return pd.DataFrame(found, columns=["query", "query_id", "vec_id", "score"])
 
-    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(pair, "query long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

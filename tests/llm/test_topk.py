@@ -43,6 +43,16 @@ def test_edges(spark):
     assert topk.top_k_of_table(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_repeated_queries(spark):
+    """A repeated query row is one query; two vectors of one query vec_id rank for themselves; candidates repeat."""
+    rows = [(100, [1.0, 0.0])] * 2 + [(1, [1.0, 0.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0]), (3, [0.25, 0.0])]
+    got = [tuple(r)[1:3] for r in topk.top_k_of_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect()]
+    assert sorted(got) == [(1, 1), (2, 2), (3, 2)]
+    rows += [(100, [-1.0, 0.0])]
+    got = sorted(tuple(r)[1:3] for r in topk.top_k_of_table(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3).collect())
+    assert got == [(1, 1), (1, 3), (2, 2), (2, 2), (3, 2), (3, 2)]
+
+
 def test_slices_prune():
     r = np.random.default_rng(1)
     v = np.floor(1024 * r.normal(size=(5000, 64)) / 8).astype(np.int64)
