@@ -50,7 +50,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import cut, released, text_of
+from plumbline.llm.common import batches_of, cut, released, text_of
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -66,6 +66,8 @@ CELL_KMERS = 1_000_000
 CELL_PAIRS = 4096
 #: Bins of a profile, least and most, as powers of two.
 BINS = (6, 13)
+#: Rows of an Arrow batch that hold profiles or sequences.
+WIDE_ROWS = 512
 #: Hash values that one step of sketching holds.
 HASHED = 1 << 20
 _WORD = re.compile(r"\w+")
@@ -253,7 +255,8 @@ def sequences_of(docs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFra
             yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "seq": pa.array(found, pa.binary())})
         _word_hash.clear()
 
-    found = cut(texts.mapInArrow(sequences, "id long, seq binary"))
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        found = cut(texts.mapInArrow(sequences, "id long, seq binary"))
     # repeated rows of a doc_id have equal sequences
     if found.count() > wanted.count():
         found = cut(found.groupBy("id").agg(F.first("seq").alias("seq")))
@@ -284,11 +287,12 @@ def possible(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame
             fine = [apart(x, y) <= m for x, y, m in zip(batch.column("a_profile").to_pylist(), batch.column("b_profile").to_pylist(), most, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(fine, pa.bool_()))
 
-    return cut(sided.mapInArrow(test, "a long, b long"))
+    with batches_of(pairs.sparkSession, WIDE_ROWS):
+        return cut(sided.mapInArrow(test, "a long, b long"))
 
 
 def aligned(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) of nodes whose texts align."""
+    """The pairs (a, b) of nodes whose texts align; written."""
     found = sequences_of(docs, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), known)
     sided = pairs.join(found.select(F.col("id").alias("a"), F.col("seq").alias("x")), "a").join(found.select(F.col("id").alias("b"), F.col("seq").alias("y")), "b")
 
@@ -299,7 +303,8 @@ def aligned(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: flo
             close = [alignment(unique(x[k].as_buffer()), unique(y[k].as_buffer()), similarity) >= similarity for k in range(len(batch))]
             yield batch.select(["a", "b"]).filter(pa.array(close, pa.bool_()))
 
-    return sided.select("a", "b", "x", "y").mapInArrow(align, "a long, b long")
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        return cut(sided.select("a", "b", "x", "y").mapInArrow(align, "a long, b long"))
 
 
 def verify(docs: DataFrame, pairs: DataFrame, known: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -416,7 +421,8 @@ def cells(docs: DataFrame, open_: DataFrame, known: DataFrame, similarity: float
         none = pa.nulls(len(a), pa.int64())
         return pa.table({"bucket": none, "left": none.cast(pa.int32()), "right": none.cast(pa.int32()), "a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    sifted = cut(placed.join(known.select("id", "profile"), "id").groupBy(*cell).applyInArrow(sift, "bucket long, left int, right int, a long, b long"))
+    with batches_of(docs.sparkSession, WIDE_ROWS):
+        sifted = cut(placed.join(known.select("id", "profile"), "id").groupBy(*cell).applyInArrow(sift, "bucket long, left int, right int, a long, b long"))
     links = aligned(docs, cut(sifted.filter("a is not null").select("a", "b").distinct()), known, similarity)
     whole = sifted.filter("bucket is not null").select(*cell)
     if whole.isEmpty():
@@ -434,7 +440,8 @@ def cells(docs: DataFrame, open_: DataFrame, known: DataFrame, similarity: float
 
 def grouped(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """For every row of docs: id, h (hash of its text), class, its group's first row (struct of id and h), copy_id, n_copies and n_links; written."""
-    rows = cut(classes_of(docs))
+    with batches_of(docs.sparkSession, 4 * WIDE_ROWS):
+        rows = cut(classes_of(docs))
     # one row a class; the sketches of equal texts are equal. A class without any doc_id is in no pair
     first = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h"))).alias("first")
     classes = cut(rows.filter("class is not null").groupBy("class").agg(first, F.count(F.lit(1)).alias("n_copies"), F.first("node").alias("node"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("profile").alias("profile")))
