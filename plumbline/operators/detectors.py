@@ -131,10 +131,13 @@ def cartel_rotation(t: Tables) -> DataFrame:
 
 @query("dt16_event_study", """, e AS (SELECT pol, ts, value, kind FROM event) SELECT p.pol, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN -5 AND -1 THEN 1 ELSE 0 END) AS BIGINT) AS before, CAST(sum(CASE WHEN date_diff('day', CAST(p.ts AS DATE), CAST(q.ts AS DATE)) BETWEEN 0 AND 5 THEN 1 ELSE 0 END) AS BIGINT) AS after FROM e p JOIN e q ON p.pol = q.pol AND p.kind = 'signup' AND q.kind = 'purchase' GROUP BY p.pol""")
 def event_study(t: Tables, days: int = 5) -> DataFrame:
-    p = t.event.filter("kind = 'signup'").select("pol", F.to_date("ts").alias("p"))
+    """Purchases in the days before and after a person's signups; each signup meets the days of its window only."""
+    p = t.event.filter("kind = 'signup'").groupBy("pol", F.to_date("ts").alias("p")).agg(F.count(F.lit(1)).alias("m"))
     q = t.event.filter("kind = 'purchase'").groupBy("pol", F.to_date("ts").alias("q")).agg(F.count(F.lit(1)).alias("n"))
-    gap = F.datediff("q", "p")
-    return p.join(q, "pol").groupBy("pol").agg(F.sum(F.when(gap.between(-days, -1), F.col("n")).otherwise(0)).alias("before"), F.sum(F.when(gap.between(0, days), F.col("n")).otherwise(0)).alias("after"))
+    near = p.select("pol", "m", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("gap"), "p").select("pol", "m", "gap", F.date_add("p", F.col("gap")).alias("q")).join(q, ["pol", "q"])
+    seen = near.groupBy("pol").agg(*(F.sum(F.when(side, F.col("m") * F.col("n")).otherwise(0)).alias(name) for name, side in (("before", F.col("gap") < 0), ("after", F.col("gap") >= 0))))
+    both = p.select("pol").distinct().join(q.select("pol"), "pol", "left_semi")
+    return both.join(seen, "pol", "left").select("pol", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
 @query("dt17_fourier", """, s AS (SELECT cust AS pol, total / 1000.0 AS v, row_number() OVER (PARTITION BY cust ORDER BY day, contract) - 1 AS i, count(*) OVER (PARTITION BY cust) AS n, avg(total / 1000.0) OVER (PARTITION BY cust) AS m FROM contract), f AS (SELECT pol, k, n, sum((v - m) * cos(2 * pi() * k * i / n)) AS re, sum((v - m) * sin(2 * pi() * k * i / n)) AS im FROM s, LATERAL (SELECT unnest(generate_series(1, n // 2)) AS k) WHERE n >= 4 GROUP BY pol, k, n), w AS (SELECT pol, k, n, re * re + im * im AS power FROM f) SELECT pol, round(max(power) / sum(power), 4) AS share FROM w GROUP BY pol""")
@@ -174,10 +177,19 @@ def report_hash(t: Tables) -> DataFrame:
     return t.politician.select("pol", F.sha2(F.concat_ws("|", F.col("pol").cast("string"), "name", "party"), 256).alias("hash"))
 
 
-@query("dt34_audit_roots", """SELECT CAST(ts AS DATE) AS day, sha256(string_agg(sha256(CAST(event_id AS VARCHAR) || kind), '|' ORDER BY ts, event_id)) AS root FROM event GROUP BY 1""")
+#: Hashes that one node of a day's tree takes; three levels hold a billion entries a day.
+FAN, LEVELS_OF_TREE = 1_024, 3
+
+
+@query("dt34_audit_roots", f""", l0 AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) - 1 AS k, sha256(CAST(event_id AS VARCHAR) || kind) AS h FROM event){''.join(f", l{i + 1} AS (SELECT day, k // {FAN} AS k, sha256(string_agg(h, '|' ORDER BY k)) AS h FROM l{i} GROUP BY 1, 2)" for i in range(LEVELS_OF_TREE))} SELECT day, h AS root FROM l{LEVELS_OF_TREE}""")
 def audit_roots(t: Tables) -> DataFrame:
-    e = t.event.select(F.to_date("ts").alias("day"), F.struct("ts", "event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "kind"), 256).alias("h")).alias("e"))
-    return e.groupBy("day").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["h"]), "|"), 256).alias("root"))
+    """The root of each day's hash tree over its entries in order: a node hashes up to FAN hashes, so no row holds a busy day."""
+    place = F.row_number().over(Window.partitionBy("day").orderBy("ts", "event_id")) - 1
+    h = t.event.select(F.to_date("ts").alias("day"), "ts", "event_id", F.sha2(F.concat(F.col("event_id").cast("string"), "kind"), 256).alias("h")).withColumn("k", place.cast("long"))
+    for _ in range(LEVELS_OF_TREE):
+        node = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "|"), 256)
+        h = h.groupBy("day", F.expr(f"k div {FAN}").alias("_up")).agg(node.alias("h")).withColumnRenamed("_up", "k")
+    return h.select("day", F.col("h").alias("root"))
 
 
 @query("wn10_rate_limit", """SELECT event_id, count(*) OVER (PARTITION BY pol ORDER BY epoch(ts) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS n FROM (SELECT event_id, pol, CAST(date_trunc('second', ts) AS TIMESTAMP) AS ts FROM event)""")

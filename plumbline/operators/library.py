@@ -83,10 +83,10 @@ def clean_record(t: Tables) -> DataFrame:
     return t.contract.select("contract", F.lower(F.trim("buyer")).alias("buyer"), F.round(F.col("total") / 1e7, 6).alias("crore"))
 
 
-@query("sc10_key_score", """, k AS (SELECT comp, 'K' || comp % 7 AS pan, CASE WHEN comp % 2 = 0 THEN 'C' || comp % 3 END AS cin FROM company) SELECT a.comp AS a, b.comp AS b, CASE WHEN a.cin IS NOT NULL AND b.cin IS NOT NULL THEN CASE WHEN a.cin = b.cin THEN 1.0 ELSE 0.0 END ELSE 1.0 END AS score FROM k a JOIN k b ON a.comp < b.comp AND a.pan = b.pan""")
+@query("sc10_key_score", """, k AS (SELECT comp, 'K' || comp // 3 AS pan, CASE WHEN comp % 2 = 0 THEN 'C' || comp % 3 END AS cin FROM company) SELECT a.comp AS a, b.comp AS b, CASE WHEN a.cin IS NOT NULL AND b.cin IS NOT NULL THEN CASE WHEN a.cin = b.cin THEN 1.0 ELSE 0.0 END ELSE 1.0 END AS score FROM k a JOIN k b ON a.comp < b.comp AND a.pan = b.pan""")
 def q_key_score(t: Tables) -> DataFrame:
     """The first key that both have decides; companies meet on an equal key."""
-    raw = t.company.select(F.col("comp").alias("seq"), "name", F.concat(F.lit(" k"), (F.col("comp") % 7).cast("string")).alias("pan"), F.when(F.col("comp") % 2 == 0, F.concat(F.lit("c"), (F.col("comp") % 3).cast("string"))).alias("cin"))
+    raw = t.company.select(F.col("comp").alias("seq"), "name", F.concat(F.lit(" k"), F.expr("comp div 3").cast("string")).alias("pan"), F.when(F.col("comp") % 2 == 0, F.concat(F.lit("c"), (F.col("comp") % 3).cast("string"))).alias("cin"))
     k = resolution.with_keys(raw).withColumn("meet", F.get("keys", F.lit(1)))
     a, b = (k.select(F.col("seq").alias(n), F.col("keys").alias(f"k{n}"), "meet") for n in ("a", "b"))
     return a.join(b, "meet").filter("a < b").select("a", "b", resolution.key_score(F.col("ka"), F.col("kb")).alias("score"))
