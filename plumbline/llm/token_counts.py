@@ -10,11 +10,19 @@ until a new pre-token begins where an old one began, for from there on both cuts
 Only the pre-tokens in between are encoded; their leaf is replaced and the sums on the
 path to the root are updated.
 
-Distribution: map-only over Arrow batches; a tree lives as long as its document's row. The
-counts of pre-tokens are kept in a bounded table. Whole texts, no prefixes.
+Stored trees. `trees` gives each document's text with its leaves as two packed columns, to be written
+beside the documents; `apply_edits` joins a table of edits to them, loads a tree without encoding
+anything, and gives the edited texts with their trees, to be written as the next version.
+
+Distribution: `count_with_edits` is map-only over Arrow batches, and a tree lives as long as its document's
+row; `apply_edits` shuffles by doc_id, and all edits of one document come to its row. The counts of pre-tokens
+are kept in a bounded table. Whole texts, no prefixes.
 
 Defined results: null counts as empty (no tokens); edits beyond the text are cut to it;
-overlapping edits apply one after another, each to the text that the last one left.
+overlapping edits apply one after another, each to the text that the last one left; in a table of
+edits those of a document go by seq, then start, end and new, every row that shares the doc_id gets
+them, and a null doc_id gets none; repeated rows give equal counts; an empty table gives no rows; other
+columns, also those named like a result, are ignored.
 """
 
 from __future__ import annotations
@@ -22,8 +30,10 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 LEAF = 64
 LOOK = 4
@@ -108,10 +118,25 @@ def replace(node: Node, start: int, end: int, sizes: list[int], counts: list[int
 class TokenTree:
     """A text with its token count under edits."""
 
-    def __init__(self, text: str, counter: Counter):
+    def __init__(self, text: str, counter: Counter, leaves: tuple[list[int], list[int]] | None = None):
+        """Encodes the text, unless the sizes and counts of its pre-tokens are given."""
         self.text, self.counter = text, counter
-        pieces = counter.pattern.findall(text)
-        self.root = build(list(map(len, pieces)), list(map(counter.count, pieces)))
+        if leaves is None:
+            pieces = counter.pattern.findall(text)
+            leaves = list(map(len, pieces)), list(map(counter.count, pieces))
+        self.root = build(*leaves)
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Sizes and counts of all pre-tokens in order."""
+        sizes, counts, todo = [], [], [self.root]
+        while todo:
+            node = todo.pop()
+            if node.left is None:
+                sizes += node.sizes
+                counts += node.counts
+            else:
+                todo += [node.right, node.left]
+        return sizes, counts
 
     @property
     def tokens(self) -> int:
@@ -187,3 +212,54 @@ def count_with_edits(docs: DataFrame, path: str, pattern: str, edits=sample_edit
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0)} | {x: pa.array([r[k] for r in rows], pa.int64()) for k, x in enumerate(names)})
 
     return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, "doc_id long, n_tokens long, n_edited long, n_recounted long")
+
+
+def pack(values: list[int]) -> bytes:
+    """Non-negative numbers in the narrowest of 1, 2, 4 bytes each, after a byte that tells which."""
+    x = np.asarray(values, np.uint32)
+    width = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpack(raw: bytes) -> list[int]:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).tolist()
+
+
+TREE = "doc_id long, text string, sizes binary, counts binary, n_tokens long, n_recounted long"
+
+
+def _tree_batch(doc_ids: pa.Array, rows: list[tuple[TokenTree, int]]) -> pa.RecordBatch:
+    leaves = [t.leaves() for t, _ in rows]
+    columns = {"doc_id": doc_ids, "text": pa.array([t.text for t, _ in rows], pa.string()), "sizes": pa.array([pack(x) for x, _ in leaves], pa.binary()), "counts": pa.array([pack(x) for _, x in leaves], pa.binary())}
+    return pa.RecordBatch.from_pydict(columns | {"n_tokens": pa.array([t.tokens for t, _ in rows], pa.int64()), "n_recounted": pa.array([n for _, n in rows], pa.int64())})
+
+
+def trees(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """Every document with its tree: TREE, to be written once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path, pattern)
+        for batch in batches:
+            yield _tree_batch(batch.column(0), [(TokenTree(text or "", c), 0) for text in batch.column(1).to_pylist()])
+
+    return docs.selectExpr("cast(doc_id as bigint) doc_id", "cast(text as string) text").mapInArrow(run, TREE)
+
+
+def apply_edits(stored: DataFrame, edits: DataFrame, path: str, pattern: str) -> DataFrame:
+    """The next version of stored trees after edits (doc_id, seq, start, end, new), with the pre-tokens that each document had counted anew."""
+    edit = F.struct("seq", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.coalesce("new", F.lit("")).alias("new"))
+    listed = edits.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    both = stored.join(listed, "doc_id", "left").select("doc_id", "text", "sizes", "counts", F.col("edits.start").alias("start"), F.col("edits.end").alias("end"), F.col("edits.new").alias("new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = counter(path, pattern)
+        for batch in batches:
+            rows = []
+            for _, text, sizes, counts, *edit in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                tree, before = TokenTree(text, c, (unpack(sizes), unpack(counts))), c.recounted
+                for start, end, new in zip(*(x or () for x in edit), strict=True):
+                    tree.edit(start, end, new)
+                rows.append((tree, c.recounted - before))
+            yield _tree_batch(batch.column(0), rows)
+
+    return both.mapInArrow(run, TREE)
