@@ -17,7 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "jn01_director_contracts"
 
-MODULES = ("operators.patterns", "operators.detectors", "operators.graph", "operators.network", "operators.neighbourhood", "operators.resolution", "operators.library", "operators.loaders", "operators.forensics", "operators.investigate", "operators.case_memory", "operators.evidence", "functions.text", "operators.search", "operators.stored_index", "sources.extract", "streaming.windows")
+MODULES = ("operators.patterns", "operators.detectors", "operators.graph", "operators.network", "operators.neighbourhood", "operators.resolution", "operators.library", "operators.loaders", "operators.forensics", "operators.investigate", "operators.case_memory", "operators.evidence", "functions.text", "functions.scripts", "operators.search", "operators.stored_index", "sources.extract", "streaming.windows")
 
 
 def query(name: str, oracle: str | None = None):
