@@ -4,6 +4,8 @@ All investigators read one row of facts per person; their findings are one array
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +35,13 @@ def facts(t: Tables) -> DataFrame:
         forensics.benami(t).select("pol", F.col("level").alias("benami")),
         forensics.periodicity(t).select("pol", F.col("level").alias("period")),
     )
-    x = t.politician.select("pol", "party", "assets")
-    for part in (boards, own, cases, audited, press, listed(loaders.offshore(t), "offshore"), listed(loaders.sanctioned(t), "sanctioned"), *detectors):
-        x = x.join(part, "pol", "left")
+    # the parts meet in one grouping by person, not in a join each; each is dealt anew, to one partition more than it has been grouped in,
+    # or else Spark would compute the same person's parts in one task, with the memory of all
+    n = int(t.spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    parts = [p.repartition(n, "pol") for p in (boards, own, cases, audited, press, listed(loaders.offshore(t), "offshore"), listed(loaders.sanctioned(t), "sanctioned"), *detectors)]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    known = every.groupBy("pol").agg(*[F.max(c).alias(c) for c in every.columns if c != "pol"])
+    x = t.politician.select("pol", "party", "assets").join(known, "pol", "left")
     return x.fillna(0, ["won_total", "won_n", "companies", "inactive", "own", "buyers", "cases", "audited", "top_schemes", "press", "offshore", "sanctioned"])
 
 
