@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,62 +229,83 @@ def ego_graphs(egos: DataFrame, e: DataFrame, most: int = EGO_EDGES) -> DataFram
 SPECTRUM = "ego string, n long, edges long, fiedler double, bridges long, betweenness double, degree long"
 
 
-def _spectrum(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one small graph: its algebraic connectivity, its bridges, and the betweenness and degree of the ego."""
-    import numpy as np
+def _bridges(near: np.ndarray) -> int:
+    """Edges of one small graph whose removal parts their ends, by the least place that each subtree of a depth-first search reaches."""
+    n, found = len(near), 0
+    place, low = [-1] * n, [0] * n
+    for root in range(n):
+        if place[root] >= 0:
+            continue
+        place[root] = low[root] = 0
+        seen, path = 1, [(root, -1, iter(np.flatnonzero(near[root]).tolist()))]
+        while path:
+            v, parent, rest = path[-1]
+            for w in rest:
+                if place[w] < 0:
+                    place[w] = low[w] = seen
+                    seen += 1
+                    path.append((w, v, iter(np.flatnonzero(near[w]).tolist())))
+                    break
+                if w != parent:
+                    low[v] = min(low[v], place[w])
+            else:
+                path.pop()
+                if parent >= 0:
+                    low[parent] = min(low[parent], low[v])
+                    found += low[v] == place[v]
+    return found
+
+
+def _between(near: np.ndarray, x: int) -> float:
+    """The share of the shortest paths between two others that pass x, over ordered pairs; all sources advance together, level by level."""
+    n = len(near)
+    distance, paths, level, k = np.where(np.eye(n) > 0, 0, -1), np.eye(n), np.eye(n), 0
+    while level.any():
+        k += 1
+        level = np.where(distance < 0, near @ level, 0)
+        distance[level > 0] = k
+        paths += level
+    between = 0.0
+    for s in range(n):
+        if s != x and distance[x, s] > 0:
+            on = (distance[:, x] > 0) & (distance[:, s] == distance[x, s] + distance[:, x])
+            on[s] = False
+            between += float((paths[x, s] * paths[:, x][on] / paths[:, s][on]).sum())
+    pairs_of_others = (n - 1) * (n - 2)
+    return round(between / pairs_of_others, 6) if pairs_of_others else 0.0
 
-    ego = frame.ego.iloc[0]
-    names = sorted({*frame.a, *frame.b})
+
+def _spectrum(ego: str, ends: list[dict[str, str]], whole: bool) -> tuple:
+    """Of one small graph: its algebraic connectivity and, if whole, its bridges and the betweenness of the ego; the ego's degree."""
+    names = sorted({v for p in ends for v in (p["a"], p["b"])})
     at = {v: k for k, v in enumerate(names)}
-    pairs = [(at[a], at[b]) for a, b in zip(frame.a, frame.b, strict=True)]
-    n = len(names)
-    near = np.zeros((n, n))
-    for i, j in pairs:
+    near = np.zeros((len(names), len(names)))
+    for p in ends:
+        i, j = at[p["a"]], at[p["b"]]
         near[i, j] = near[j, i] = 1
     values = np.linalg.eigvalsh(np.diag(near.sum(axis=1)) - near)
-
-    def reach(start: int, matrix: np.ndarray) -> np.ndarray:
-        """Distance and number of shortest paths from a vertex, level by level."""
-        distance, paths = np.full(n, -1), np.zeros(n)
-        level = np.zeros(n)
-        distance[start], paths[start], level[start] = 0, 1, 1
-        k = 0
-        while level.any():
-            k += 1
-            step = matrix @ level
-            level = np.where(distance < 0, step, 0)
-            distance[level > 0] = k
-            paths += level
-        return np.stack([distance, paths])
-
-    bridges = 0
-    for i, j in pairs:
-        near[i, j] = near[j, i] = 0
-        bridges += reach(i, near)[0, j] < 0
-        near[i, j] = near[j, i] = 1
     x = at[ego]
-    own = reach(x, near)
-    between = 0.0
-    for s in range(n):
-        if s != x:
-            far = reach(s, near)
-            on = (far[0, x] > 0) & (own[0] > 0) & (far[0] == far[0, x] + own[0])
-            on[s] = False
-            between += float((far[1, x] * own[1][on] / far[1][on]).sum())
-    pairs_of_others = (n - 1) * (n - 2)
-    return pd.DataFrame({"ego": [ego], "n": [n], "edges": [len(pairs)], "fiedler": [round(max(0.0, float(values[1])), 6)], "bridges": [bridges], "betweenness": [round(between / pairs_of_others, 6) if pairs_of_others else 0.0], "degree": [int(near[x].sum())]})
+    return ego, len(names), len(ends), round(max(0.0, float(values[1])), 6), _bridges(near) if whole else None, _between(near, x) if whole else None, int(near[x].sum())
+
+
+def spectra(t: Tables, whole: bool = True) -> DataFrame:
+    """The measures of every company's surroundings; without `whole` neither bridges nor betweenness. Graphs come as rows of at most EGO_EDGES edges, many to a batch."""
 
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [c.split()[0] for c in SPECTRUM.split(", ")]
+        for frame in frames:
+            yield pd.DataFrame([_spectrum(ego, ends, whole) for ego, ends in zip(frame.ego, frame.ends, strict=True)], columns=columns)
 
-def spectra(t: Tables) -> DataFrame:
     e = undirected(t)
-    return ego_graphs(e.filter("src like 'c%'").select(F.col("src").alias("ego")).distinct(), e).groupBy("ego").applyInPandas(_spectrum, SPECTRUM)
+    near = ego_graphs(e.filter("src like 'c%'").select(F.col("src").alias("ego")).distinct(), e)
+    return near.groupBy("ego").agg(F.collect_list(F.struct("a", "b")).alias("ends")).mapInPandas(measure, SPECTRUM)
 
 
 @query("gr06_ego_spectrum")
 def ego_spectrum(t: Tables) -> DataFrame:
     """Second Laplacian eigenvalue of the graph around each company, and its band."""
     band = F.when(F.col("fiedler") < 0.1, "fragile").when(F.col("fiedler") < 0.5, "loose").otherwise("tight")
-    return spectra(t).select("ego", "n", "fiedler", band.alias("band"))
+    return spectra(t, whole=False).select("ego", "n", "fiedler", band.alias("band"))
 
 
 @query("dt18_spectral_role")
