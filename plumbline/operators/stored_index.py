@@ -1,6 +1,6 @@
 """A stored inverted index: postings are written once, by word and block of entries, with the bounds that let a ranked search skip blocks.
 
-Layout below a folder: `postings/bucket=` holds rows (w, block, label, id, n, length), sorted by word within a bucket of words, so a
+Layout below a folder: `postings/batch=/bucket=` holds rows (w, block, label, id, n, length), sorted by word within a bucket of words, so a
 search reads its words' buckets and, by the files' statistics, little else of them; `blocks/bucket=` holds for each word and block of
 entries how many entries have the word, the largest n and the least length; `sizes` holds each batch's number of entries and words. A new
 batch is appended to all three; `compact` rewrites a grown index as one."""
@@ -8,8 +8,11 @@ batch is appended to all three; `compact` rewrites a grown index as one."""
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,26 +33,52 @@ def _bucket(w: Column) -> Column:
     return F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
 
 
-def append(entries: DataFrame, folder: str) -> None:
-    """Adds entries (label, id, text); an entry is added once."""
-    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
-    x = settle(entries.select("label", "id", split.alias("ws")).filter(F.size("ws") > 0).select("label", "id", F.pmod(F.xxhash64("label", "id"), F.lit(BLOCKS)).cast("int").alias("block"), F.size("ws").alias("length"), "ws"))
-    postings = x.select("label", "id", "block", "length", F.explode("ws").alias("w")).groupBy("w", "block", "label", "id", "length").agg(F.count(F.lit(1)).alias("n"))
-    _write(postings, folder)
-    x.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).write.mode("append").parquet(f"{folder}/sizes")
+POSTINGS = "label string, id string, block int, length int, w string, n long"
+#: Ranges of blocks to which a bucket's postings are dealt.
+SLICES = 16
+#: Postings of one Arrow batch.
+ROWS = 100_000
 
 
-def _write(postings: DataFrame, folder: str) -> None:
-    bucketed = settle(postings.withColumn("bucket", _bucket(F.col("w"))))
-    # a bucket's words go to ranges of words, so that a word that very many entries hold fills files of its own
-    bucketed.repartitionByRange("bucket", "w", "block").sortWithinPartitions("bucket", "w", "block").write.mode("append").partitionBy("bucket").parquet(f"{folder}/postings")
-    blocks = bucketed.groupBy("bucket", "w", "block").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("most"), F.min("length").alias("least"))
+def append(entries: DataFrame, folder: str) -> None:
+    """Adds entries (label, id, text); an entry is added once. Its words are counted where it is read, and only its postings are shuffled, once."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A posting for each different word of each entry (label, id, block, length, ws)."""
+        for batch in batches:
+            ws = batch.column("ws")
+            found = pa.table({"at": pc.list_parent_indices(ws), "w": pc.list_flatten(ws)}).group_by(["at", "w"]).aggregate([([], "count_all")]).combine_chunks()
+            own = batch.select(["label", "id", "block", "length"]).take(found["at"].combine_chunks())
+            n = found["count_all"].combine_chunks().cast("int64")
+            for start in range(0, len(n), ROWS):
+                rows = slice(start, start + ROWS)
+                yield pa.record_batch([*(c[rows] for c in own.columns), found["w"].combine_chunks()[rows], n[rows]], ["label", "id", "block", "length", "w", "n"])
+
+    split = F.filter(F.split(F.lower("text"), r"\s+"), lambda x: x != "")
+    # dealt anew, as a file may be few row groups
+    x = entries.repartition("label", "id").select("label", "id", split.alias("ws")).filter(F.size("ws") > 0)
+    x = x.select("label", "id", F.pmod(F.xxhash64("label", "id"), F.lit(BLOCKS)).cast("int").alias("block"), F.size("ws").alias("length"), "ws")
+    written = _write(x.mapInArrow(counted, POSTINGS), folder)
+    # an entry's counts add up to its length
+    size = written.agg(F.round(F.coalesce(F.sum(F.col("n") / F.col("length")), F.lit(0.0))).cast("long").alias("entries"), F.coalesce(F.sum("n"), F.lit(0)).alias("words"))
+    size.write.mode("append").parquet(f"{folder}/sizes")
+
+
+def _write(postings: DataFrame, folder: str) -> DataFrame:
+    """The postings as written, in a folder of their own below postings/; their blocks are counted from there."""
+    path = f"{folder}/postings/batch=b{uuid.uuid4().hex}"
+    # a bucket's words go to ranges of blocks, so that a word that very many entries hold is in several files
+    dealt = postings.repartition(_bucket(F.col("w")), F.col("block") % SLICES).withColumn("bucket", _bucket(F.col("w")))
+    dealt.sortWithinPartitions("bucket", "w", "block").write.partitionBy("bucket").parquet(path)
+    written = postings.sparkSession.read.schema(dealt.schema).parquet(path)
+    blocks = written.groupBy("bucket", "w", "block").agg(F.count(F.lit(1)).alias("held"), F.max("n").alias("most"), F.min("length").alias("least"))
     blocks.repartition("bucket").sortWithinPartitions("w").write.mode("append").partitionBy("bucket").parquet(f"{folder}/blocks")
+    return written
 
 
 def compact(spark: SparkSession, folder: str, into: str) -> None:
     """The whole index rewritten as one batch in another folder."""
-    _write(spark.read.parquet(f"{folder}/postings").drop("bucket"), into)
+    _write(spark.read.parquet(f"{folder}/postings").drop("batch", "bucket"), into)
     spark.read.parquet(f"{folder}/sizes").agg(F.sum("entries").alias("entries"), F.sum("words").alias("words")).write.parquet(f"{into}/sizes")
 
 
