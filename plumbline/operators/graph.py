@@ -41,8 +41,12 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def undirected(t: Tables) -> DataFrame:
+    # pairs are made distinct one way, then turned; least and greatest would leave a missing end out
     e = edges(t).select("src", "dst")
-    return e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    turned = F.col("src") > F.col("dst")
+    pairs = e.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("a"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("b")).distinct()
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select(F.inline(F.array_distinct(ends)))
 
 
 @query("jn09_paths", """, e AS (SELECT src, dst FROM owns), p AS (SELECT src, dst, 1 AS hops, [src || '>' || dst] AS used FROM e UNION ALL SELECT p.src, e.dst, p.hops + 1, list_append(p.used, e.src || '>' || e.dst) FROM p JOIN e ON p.dst = e.src WHERE p.hops < 3 AND NOT list_contains(p.used, e.src || '>' || e.dst)) SELECT src, dst, CAST(hops AS INTEGER) AS hops FROM p""")
@@ -151,9 +155,83 @@ def contracted(e: DataFrame) -> tuple[DataFrame, DataFrame]:
     return settle(placed.join(least, "up").select("id", "root")), settle(reduce(DataFrame.union, trees))
 
 
+def coded(e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own (id, v: a number of its own for every vertex) and the edges of e (src, dst, both ways) by numbers, one way each (a, b), without loops."""
+    ids = e.filter("src is not null").select(F.col("src").alias("id")).distinct()
+    seed = 0
+    while True:
+        number = lambda c, s=seed: F.xxhash64(F.lit(s), F.col(c))
+        own = settle(ids.select("id", number("id").alias("v")))
+        # numbers are drawn anew if two vertices have the same
+        if own.groupBy("v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+            return own, settle(e.filter("src < dst").select(number("src").alias("a"), number("dst").alias("b")).distinct())
+        seed += 1
+
+
+def _united(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """a and up (the least vertex that it is joined to) of the vertices of few edges (a, b)."""
+    up: dict[int, int] = {}
+
+    def top(v: int) -> int:
+        while v in up:
+            up[v] = v = up.get(up[v], up[v])
+        return v
+
+    for frame in frames:
+        for a, b in zip(frame.a.tolist(), frame.b.tolist(), strict=True):
+            x, y = top(a), top(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pd.DataFrame({"a": list(up), "up": [top(v) for v in list(up)]}, dtype="int64")
+
+
+def joined_to(live: DataFrame) -> DataFrame | None:
+    """a and up of the vertices of the settled edges (a, b: numbers, one way) that are not the one that stands for their component; none without edges.
+
+    Rounds are those of `contracted`, over numbers alone and without a forest. Ranks are the numbers with some bits turned, so the
+    lowest neighbour is a least number."""
+    tops = []
+    while n := live.count():
+        if n <= LAST:
+            tops.append(settle(live.coalesce(1).mapInPandas(_united, "a long, up long")))
+            break
+        turned = F.xxhash64(F.lit(len(tops)))
+        rank = lambda c: F.col(c).bitwiseXOR(turned)
+        ends = live.select("a", rank("b").alias("to")).union(live.select(F.col("b").alias("a"), rank("a").alias("to")))
+        lowest = ends.groupBy("a").agg(F.min("to").alias("to")).filter(F.col("to") < rank("a"))
+        top = settle(lowest.select("a", rank("to").alias("up")))
+        while True:
+            # two doublings a round
+            for _ in range(2):
+                beyond = top.select(F.col("a").alias("up"), F.col("up").alias("beyond"))
+                after = top.select("a", "up").join(beyond, "up", "left").select("a", F.coalesce("beyond", "up").alias("up"), F.col("beyond").isNotNull().alias("moved"))
+                top = after.select("a", "up")
+            after = settle(after)
+            top = after.select("a", "up")
+            if after.filter("moved").isEmpty():
+                break
+        tops.append(top)
+        moved = live.join(top.withColumnRenamed("up", "_a"), "a", "left").join(top.select(F.col("a").alias("b"), F.col("up").alias("_b")), "b", "left")
+        moved = moved.select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).filter("a <> b")
+        live = settle(moved.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not tops:
+        return None
+    found = tops[-1]
+    for top in reversed(tops[:-1]):
+        up = top.join(found.select(F.col("a").alias("up"), F.col("up").alias("root")), "up", "left").select("a", F.coalesce("root", "up").alias("up"))
+        found = settle(up.union(found))
+    return found
+
+
 def labels(e: DataFrame) -> DataFrame:
     """id and root, the smallest vertex of its component, of the settled edges e (src, dst, both ways)."""
-    return contracted(e)[0]
+    own, live = coded(e)
+    found = joined_to(live)
+    if found is None:
+        return settle(own.select("id", F.col("id").alias("root")))
+    placed = own.join(found.withColumnRenamed("a", "v"), "v", "left").select("id", F.coalesce("up", "v").alias("up"))
+    least = placed.groupBy("up").agg(F.min("id").alias("root"))
+    return settle(placed.join(least, "up").select("id", "root"))
 
 
 @query("gr04_components", """, e AS (SELECT 'p' || pol AS a, 'c' || comp AS b FROM director UNION SELECT 'c' || comp, 'p' || pol FROM director UNION SELECT 'c' || src, 'c' || dst FROM owns UNION SELECT 'c' || dst, 'c' || src FROM owns), r AS (SELECT a AS id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id) SELECT root, count(*) AS n FROM (SELECT id, min(root) AS root FROM r GROUP BY id) GROUP BY root""")
