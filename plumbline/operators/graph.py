@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -291,44 +292,43 @@ def ego_role(t: Tables) -> DataFrame:
     return x.select("ego", "degree", F.round(score, 6).alias("betweenness"), (score > 0.3).alias("broker"))
 
 
-#: Relationships of a vertex's surroundings that count.
-EGO_EDGES = 100
+#: Edges of surroundings that come many to a batch, as matrices; larger ones are measured by their edges, each in a group of its own.
+EGO_EDGES = 500
+#: Numbers that are held at once for the betweenness in a larger one, and vectors for its connectivity.
+EGO_STATES, EGO_VECTORS = 4_000_000, 30
 
 
-def ego_graphs(egos: DataFrame, e: DataFrame, most: int = EGO_EDGES) -> DataFrame:
-    """ego, a and b: the first `most` edges around each ego (ego), its own ones by neighbour, then its neighbours' by their ends.
-
-    As edges are ranked by their ends, of each vertex only its first edges can count, so a hub joins no more than these."""
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("src").orderBy("dst"))
-    near = settle(e.withColumn("_k", first).filter(F.col("_k") <= most + 1).drop("_k"))
-    own = near.join(egos.select(F.col("ego").alias("src")), "src").withColumn("_k", first).filter(F.col("_k") <= most).select(F.col("src").alias("ego"), F.lit(1).alias("hop"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    beyond = own.select("ego", F.col("b").alias("src")).join(near, "src").filter("dst <> ego").select("ego", F.lit(2).alias("hop"), F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    every = own.union(beyond).groupBy("ego", "a", "b").agg(F.min("hop").alias("hop"))
-    place = F.row_number().over(Window.partitionBy("ego").orderBy("hop", "a", "b"))
-    return every.withColumn("_k", place).filter(F.col("_k") <= most).select("ego", "a", "b")
+def ego_graphs(egos: DataFrame, e: DataFrame) -> DataFrame:
+    """ego, a and b: all edges around each ego (ego), its own ones and its neighbours', each once."""
+    e = e.filter("src <> dst")
+    own = e.join(egos.select(F.col("ego").alias("src")), "src").select(F.col("src").alias("ego"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    beyond = own.select("ego", F.col("b").alias("src")).join(e, "src").filter("dst <> ego").select("ego", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    return own.union(beyond.distinct())
 
 
 SPECTRUM = "ego string, n long, edges long, fiedler double, bridges long, betweenness double, degree long"
 
 
 def _bridges(near: np.ndarray) -> int:
-    """Edges of one small graph whose removal parts their ends, by the least place that each subtree of a depth-first search reaches."""
+    return _bridges_of([np.flatnonzero(row).tolist() for row in near])
+
+
+def _bridges_of(near: list[list[int]]) -> int:
+    """Edges of one graph whose removal parts their ends, by the least place that each subtree of a depth-first search reaches."""
     n, found = len(near), 0
     place, low = [-1] * n, [0] * n
     for root in range(n):
         if place[root] >= 0:
             continue
         place[root] = low[root] = 0
-        seen, path = 1, [(root, -1, iter(np.flatnonzero(near[root]).tolist()))]
+        seen, path = 1, [(root, -1, iter(near[root]))]
         while path:
             v, parent, rest = path[-1]
             for w in rest:
                 if place[w] < 0:
                     place[w] = low[w] = seen
                     seen += 1
-                    path.append((w, v, iter(np.flatnonzero(near[w]).tolist())))
+                    path.append((w, v, iter(near[w])))
                     break
                 if w != parent:
                     low[v] = min(low[v], place[w])
@@ -359,30 +359,119 @@ def _between(near: np.ndarray, x: int) -> float:
     return round(between / pairs_of_others, 6) if pairs_of_others else 0.0
 
 
-def _spectrum(ego: str, ends: list[dict[str, str]], whole: bool) -> tuple:
+def _spectrum(ego: str, a: np.ndarray, b: np.ndarray, whole: bool) -> tuple:
     """Of one small graph: its algebraic connectivity and, if whole, its bridges and the betweenness of the ego; the ego's degree."""
-    names = sorted({v for p in ends for v in (p["a"], p["b"])})
-    at = {v: k for k, v in enumerate(names)}
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = ends[: len(a)], ends[len(a) :]
     near = np.zeros((len(names), len(names)))
-    for p in ends:
-        i, j = at[p["a"]], at[p["b"]]
-        near[i, j] = near[j, i] = 1
+    near[i, j] = near[j, i] = 1
     values = np.linalg.eigvalsh(np.diag(near.sum(axis=1)) - near)
-    x = at[ego]
-    return ego, len(names), len(ends), round(max(0.0, float(values[1])), 6), _bridges(near) if whole else None, _between(near, x) if whole else None, int(near[x].sum())
+    x = int(np.searchsorted(names, ego))
+    return ego, len(names), len(a), round(max(0.0, float(values[1])), 6), _bridges(near) if whole else None, _between(near, x) if whole else None, int(near[x].sum())
+
+
+def _connectivity(around: Callable[[np.ndarray], np.ndarray], degree: np.ndarray) -> float:
+    """The second eigenvalue of the Laplacian of one connected graph, by Lanczos steps on its inverse; around sums a vector over each vertex's neighbours.
+
+    Each step is solved by conjugate gradients; after EGO_VECTORS of them they begin anew from the best vector, until the value stays."""
+    n = len(degree)
+
+    def solved(q: np.ndarray) -> np.ndarray:
+        z, r = np.zeros(n), q
+        y = r / degree
+        p, ry = y, r @ y
+        for _ in range(10 * n):
+            to = degree * p - around(p)
+            step = ry / (p @ to)
+            z, r = z + step * p, r - step * to
+            r = r - r.mean()
+            y = r / degree
+            if r @ y < 1e-22 or np.linalg.norm(r) < 1e-11:
+                break
+            p, ry = y + (r @ y) / ry * p, r @ y
+        return z - z.mean()
+
+    q = np.random.default_rng(0).standard_normal(n)
+    last = 0.0
+    while True:
+        q = q - q.mean()
+        basis, alpha, beta = [q / np.linalg.norm(q)], [], []
+        while True:
+            z = solved(basis[-1])
+            alpha.append(z @ basis[-1])
+            for _ in range(2):
+                for v in basis:
+                    z = z - (z @ v) * v
+            rest = np.linalg.norm(z)
+            if len(basis) >= min(EGO_VECTORS, n - 1) or rest < 1e-8 * max(alpha):
+                break
+            beta.append(rest)
+            basis.append(z / rest)
+        values, vectors = np.linalg.eigh(np.diag(alpha) + np.diag(beta, 1) + np.diag(beta, -1))
+        if abs(values[-1] - last) <= 1e-8 * values[-1]:
+            return float(1 / values[-1])
+        last, q = values[-1], np.array(basis).T @ vectors[:, -1]
+
+
+def _large_spectrum(ego: str, a: np.ndarray, b: np.ndarray, whole: bool) -> tuple:
+    """The measures of `_spectrum` by the edges of one graph: memory grows with these, and betweenness takes some sources at a time."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    n, x = len(names), int(np.searchsorted(names, ego))
+    i, j = ends[: len(a)], ends[len(a) :]
+    source, to = np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(source, kind="stable")
+    to, degree = to[order], np.bincount(source, minlength=n)
+    start = np.concatenate([[0], np.cumsum(degree)])
+    around = lambda v: np.add.reduceat(v[to], start[:-1], axis=0)
+    fiedler = round(max(0.0, _connectivity(around, degree.astype(float))), 6)
+    if not whole:
+        return ego, n, len(a), fiedler, None, None, int(degree[x])
+
+    def reached(sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = np.zeros((n, len(sources)))
+        level[sources, np.arange(len(sources))] = 1
+        distance, paths, k = np.where(level > 0, 0, -1), level.copy(), 0
+        while level.any():
+            k += 1
+            level = np.where(distance < 0, around(level), 0)
+            distance[level > 0] = k
+            paths += level
+        return distance, paths
+
+    distance, paths = (m[:, 0] for m in reached(np.array([x])))
+    others = np.flatnonzero(np.arange(n) != x)
+    between, width = 0.0, max(1, EGO_STATES // len(to))
+    for s in np.split(others, range(width, len(others), width)):
+        far, ways = reached(s)
+        on = far == distance[:, None] + distance[s]
+        on[x] = False
+        on[s, np.arange(len(s))] = False
+        between += float(np.where(on, paths[:, None] * paths[s] / ways, 0).sum())
+    pairs_of_others = (n - 1) * (n - 2)
+    lists = [v.tolist() for v in np.split(to, start[1:-1])]
+    return ego, n, len(a), fiedler, _bridges_of(lists), round(between / pairs_of_others, 6) if pairs_of_others else 0.0, int(degree[x])
 
 
 def spectra(t: Tables, whole: bool = True) -> DataFrame:
-    """The measures of every company's surroundings; without `whole` neither bridges nor betweenness. Graphs come as rows of at most EGO_EDGES edges, many to a batch."""
+    """The measures of every company's surroundings; without `whole` neither bridges nor betweenness. Graphs of at most EGO_EDGES edges come many to a batch."""
+    columns = [c.split()[0] for c in SPECTRUM.split(", ")]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [c.split()[0] for c in SPECTRUM.split(", ")]
         for frame in frames:
-            yield pd.DataFrame([_spectrum(ego, ends, whole) for ego, ends in zip(frame.ego, frame.ends, strict=True)], columns=columns)
+            yield pd.DataFrame([_spectrum(ego, a, b, whole) for ego, a, b in zip(frame.ego, frame.a, frame.b, strict=True)], columns=columns)
 
-    e = undirected(t)
-    near = ego_graphs(e.filter("src like 'c%'").select(F.col("src").alias("ego")).distinct(), e)
-    return near.groupBy("ego").agg(F.collect_list(F.struct("a", "b")).alias("ends")).mapInPandas(measure, SPECTRUM)
+    def measure_large(rows: pa.Table) -> pa.Table:
+        found = _large_spectrum(rows["ego"][0].as_py(), rows["a"].to_numpy(), rows["b"].to_numpy(), whole)
+        types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+        return pa.table({c.split()[0]: pa.array([v], types[c.split()[1]]) for c, v in zip(SPECTRUM.split(", "), found, strict=True)})
+
+    e = settle(undirected(t))
+    near = settle(ego_graphs(e.filter("src like 'c%'").select(F.col("src").alias("ego")).distinct(), e))
+    large = settle(near.groupBy("ego").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > EGO_EDGES).select("ego"))
+    some = not large.isEmpty()
+    small = near.join(large, "ego", "left_anti") if some else near
+    found = small.groupBy("ego").agg(F.collect_list(F.struct("a", "b")).alias("ends")).select("ego", "ends.a", "ends.b").mapInPandas(measure, SPECTRUM)
+    return found.union(near.join(large, "ego", "left_semi").groupBy("ego").applyInArrow(measure_large, SPECTRUM)) if some else found
 
 
 @query("gr06_ego_spectrum")
